@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lettermill.llm.bpe import bpe_encode
 from lettermill.llm.decontaminate import find_contamination
+from lettermill.llm.fingerprints import fingerprint_edits
 from lettermill.llm.licenses import scan_licenses
+from lettermill.llm.sharding import shard_documents
 
 VOCAB = public_tokenizers.path("word_bpe_49k.json")
 
@@ -20,6 +23,11 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_encode(table(spark, sf_dir, "documents"), VOCAB, with_ids=False)
 
 
+def op2_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = shard_documents(table(spark, sf_dir, "documents"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest")
@@ -29,6 +37,10 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op6_decontaminate, op7_licenses)}
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_shards, op6_decontaminate, op7_licenses, op8_fingerprints)}
 
 ORACLE_SQL: dict[str, str] = {}
