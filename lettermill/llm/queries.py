@@ -10,6 +10,7 @@ from lettermill.llm.bpe import bpe_encode
 from lettermill.llm.decontaminate import find_contamination
 from lettermill.llm.fingerprints import fingerprint_edits
 from lettermill.llm.licenses import scan_licenses
+from lettermill.llm.lines import drop_recurring_lines
 from lettermill.llm.sharding import shard_documents
 
 VOCAB = public_tokenizers.path("word_bpe_49k.json")
@@ -41,6 +42,10 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_shards, op6_decontaminate, op7_licenses, op8_fingerprints)}
+def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_recurring_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_shards, op6_decontaminate, op7_licenses, op8_fingerprints, op9_lines)}
 
 ORACLE_SQL: dict[str, str] = {}
