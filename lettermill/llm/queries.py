@@ -11,6 +11,7 @@ from lettermill.llm.decontaminate import find_contamination
 from lettermill.llm.fingerprints import fingerprint_edits
 from lettermill.llm.licenses import scan_licenses
 from lettermill.llm.lines import drop_recurring_lines
+from lettermill.llm.neardup import near_duplicates
 from lettermill.llm.sharding import shard_documents
 
 VOCAB = public_tokenizers.path("word_bpe_49k.json")
@@ -29,6 +30,10 @@ def op2_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest")
@@ -46,6 +51,6 @@ def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_recurring_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_shards, op6_decontaminate, op7_licenses, op8_fingerprints, op9_lines)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_shards, op5_neardup, op6_decontaminate, op7_licenses, op8_fingerprints, op9_lines)}
 
 ORACLE_SQL: dict[str, str] = {}
