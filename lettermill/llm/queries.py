@@ -13,6 +13,7 @@ from lettermill.llm.licenses import scan_licenses
 from lettermill.llm.lines import drop_recurring_lines
 from lettermill.llm.neardup import near_duplicates
 from lettermill.llm.sharding import shard_documents
+from lettermill.llm.toxicity import fit, score_toxicity
 
 VOCAB = public_tokenizers.path("word_bpe_49k.json")
 
@@ -30,6 +31,12 @@ def op2_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    return score_toxicity(docs, fit(docs, table(spark, sf_dir, "labels"))).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
 def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
 
@@ -51,6 +58,6 @@ def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_recurring_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_shards, op5_neardup, op6_decontaminate, op7_licenses, op8_fingerprints, op9_lines)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_shards, op4_toxicity, op5_neardup, op6_decontaminate, op7_licenses, op8_fingerprints, op9_lines)}
 
 ORACLE_SQL: dict[str, str] = {}
