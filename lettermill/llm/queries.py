@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lettermill.llm.bpe import bpe_encode
 from lettermill.llm.decontaminate import find_contamination
 from lettermill.llm.fingerprints import fingerprint_edits
+from lettermill.llm.html import extract_text
 from lettermill.llm.licenses import scan_licenses
 from lettermill.llm.lines import drop_recurring_lines
 from lettermill.llm.neardup import near_duplicates
@@ -58,6 +59,10 @@ def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_recurring_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_shards, op4_toxicity, op5_neardup, op6_decontaminate, op7_licenses, op8_fingerprints, op9_lines)}
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_shards, op4_toxicity, op5_neardup, op6_decontaminate, op7_licenses, op8_fingerprints, op9_lines, op10_html)}
 
 ORACLE_SQL: dict[str, str] = {}
