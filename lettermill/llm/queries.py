@@ -13,6 +13,7 @@ from lettermill.llm.html import extract_text
 from lettermill.llm.licenses import scan_licenses
 from lettermill.llm.lines import drop_recurring_lines
 from lettermill.llm.neardup import near_duplicates
+from lettermill.llm.quality import score_quality
 from lettermill.llm.sharding import shard_documents
 from lettermill.llm.toxicity import fit, score_toxicity
 
@@ -32,6 +33,10 @@ def op2_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
@@ -63,6 +68,6 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_shards, op4_toxicity, op5_neardup, op6_decontaminate, op7_licenses, op8_fingerprints, op9_lines, op10_html)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_shards, op3_quality, op4_toxicity, op5_neardup, op6_decontaminate, op7_licenses, op8_fingerprints, op9_lines, op10_html)}
 
 ORACLE_SQL: dict[str, str] = {}
