@@ -89,7 +89,7 @@ def test_cascade(inbox, sent):
     assert (code[1], code[2], code[3], code[4]) == ("bulk", "auto-submitted", "thread-participant", "impersonation")
     assert got[5].label == "now" and got[5].escalate and [r.code for r in got[5].reasons] == ["addressing:direct", "urgency-cue", "direct-question", "first-contact"]
     assert got[5].confidence == 0.718 and got[5].score_now == 4.5 and got[5].score_later == 1.0 and got[5].reasons[1].weight == {"now": 1.5}
-    assert got[7].label == "brief" and not got[1].escalate
+    assert got[7].label == "later" and not got[1].escalate
 
 
 def test_future_never_changes_the_past(inbox, sent):
