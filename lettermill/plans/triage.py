@@ -9,7 +9,10 @@ from lettermill.operators.cascade import classify, escalation, merge_model
 from lettermill.plans.adapters import MAIL_SQL, OWN, messages
 from lettermill.plans.registry import query, table
 
-_AS_OF = F.timestamp_seconds(F.lit(1_704_067_200 + 43_200 * 60))
+def _as_of():
+    return F.timestamp_seconds(F.lit(1_704_067_200 + 43_200 * 60))
+
+
 #: Prices of a list kept by hand: dollars for a million tokens.
 PRICES = [("base", 1.0, 5.0), ("base-2", 3.0, 15.0), ("base-2-mini", 0.5, 2.0), ("large", 10.0, 50.0)]
 
@@ -50,7 +53,7 @@ def decisions(spark, sf_dir):
     domains = m.groupBy(F.col("from.domain").alias("d")).agg(F.count_if(answered).alias("domain_sent_to"))
     full = m.join(people, F.col("from.email") == F.col("e")).join(domains, F.col("from.domain") == F.col("d"))
     nothing = {"is_vip": F.lit(False), "is_muted": F.lit(False), "user_messages": F.lit(0), "median_latency_ms": F.lit(None).cast("double")}
-    return classify(full.withColumns(nothing), OWN, as_of=_AS_OF)
+    return classify(full.withColumns(nothing), OWN, as_of=_as_of())
 
 
 _ESC = "code IS NULL AND confidence < 0.75"
@@ -91,7 +94,7 @@ def scored(spark, sf_dir):
     d = decisions(spark, sf_dir)
     replied = d.where(F.array_contains("flags", "\\Answered") & (F.col("uid") % 5 == 0)).select("threadId").distinct().withColumn("replied", F.lit(True))
     d = d.join(replied, "threadId", "left")
-    age = (F.unix_seconds(_AS_OF) - F.unix_seconds("date")) / 86400.0
+    age = (F.unix_seconds(_as_of()) - F.unix_seconds("date")) / 86400.0
     truth = ground_truth(F.col("flags"), F.coalesce("replied", F.lit(False)), age)
     return d.select("uid", F.col("label").alias("predicted"), F.col("escalate").alias("escalated"), truth.alias("actual")).withColumns({"settled": F.col("actual").isNotNull(), "agree": F.col("predicted") == F.col("actual")})
 
