@@ -1,7 +1,7 @@
 """A cleaning pipeline over documents: each stage works on all that its predecessor kept.
 
 toxicity: documents scored toxic go; line dedup: recurring lines go from all but their first
-document; near duplicates: one document of each group stays; decontamination: documents with
+document, and documents of nothing else go; near duplicates: one document of each group stays; decontamination: documents with
 benchmark passages go; encoding: what is left becomes tokens.
 """
 
@@ -27,7 +27,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    left = drop_recurring_lines(docs).drop("n_lines", "n_dropped")
+    # what lost all of its text was a copy of lines that other documents keep
+    left = drop_recurring_lines(docs).where("n_dropped = 0 or trim(text) <> ''").drop("n_lines", "n_dropped")
     return left.withColumn("n_chars", F.char_length("text").cast(dict(docs.dtypes)["n_chars"])).select(docs.columns)
 
 

@@ -167,70 +167,123 @@ def star_candidates(reps: DataFrame) -> DataFrame:
     return entries.repartition("key").mapInArrow(link, "a long, b long").distinct()
 
 
+#: Bits of the map of a set that bounds how much two sets can share.
+BITS = 2048
+#: Documents of an index entry that are compared in one go.
+BLOCK = 2000
+_SLOTS = [(c, kept) for c, chunk in enumerate(CHUNKS) for kept in combinations(range(len(chunk)), len(chunk) - ERRORS)]
+
+
+def _first_slots() -> list[np.ndarray]:
+    """For each chunk, the first entry that two signatures share, by the places (as bits) in which they differ there; or -1."""
+    out = []
+    for c, chunk in enumerate(CHUNKS):
+        table = np.full(1 << len(chunk), -1, np.int16)
+        for slot in range(len(_SLOTS) - 1, -1, -1):
+            if _SLOTS[slot][0] == c:
+                keep = sum(1 << i for i in _SLOTS[slot][1])
+                table[[m for m in range(len(table)) if not m & keep]] = slot
+        out.append(table)
+    return out
+
+
+_FIRST = _first_slots()
+
+
+def shared_first(sig: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """The first entry that each signature shares with another, -1 if none."""
+    differ = sig != one
+    out = np.full(len(sig), -1, np.int16)
+    for chunk, table in zip(reversed(CHUNKS), reversed(_FIRST), strict=True):
+        slot = table[differ[:, chunk] @ (1 << np.arange(len(chunk)))]
+        out = np.where(slot >= 0, slot, out)
+    return out
+
+
+def bit_map(value: np.ndarray) -> bytes:
+    bits = np.zeros(BITS, np.uint8)
+    bits[(value >> np.uint64(64 - BITS.bit_length() + 1)).astype(np.int64)] = 1
+    return np.packbits(bits).tobytes()
+
+
+def block_pairs(slot: int, ids: np.ndarray, comp: np.ndarray, n: np.ndarray, sig: np.ndarray, bits: np.ndarray, percent: int) -> list[np.ndarray]:
+    """Pairs of documents of one entry that may be linked and aren't connected: of different components,
+    in this entry first, within reach, near in size, and with maps that allow enough in common."""
+    names, where, counts = np.unique(comp, return_inverse=True, return_counts=True)
+    main = where == counts.argmax()  # pairs within the largest component need no look
+    out = []
+    for i in np.flatnonzero(~main):
+        at = np.flatnonzero((comp != comp[i]) & (main | (ids < ids[i])) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])))
+        at = at[((sig[at] != sig[i]).sum(1) <= REACH)]
+        at = at[shared_first(sig[at], sig[i]) == slot]
+        # what one map has and the other lacks is surely not shared
+        less = np.bitwise_count(bits[i] & ~bits[at]).sum(1, dtype=np.int64)
+        more = np.bitwise_count(bits[at] & ~bits[i]).sum(1, dtype=np.int64)
+        both = np.minimum(n[i] - less, n[at] - more)
+        at = at[100 * both >= percent * (n[i] + n[at] - both)]
+        if len(at):
+            out.append(np.stack([np.maximum(ids[at], ids[i]), np.minimum(ids[at], ids[i])], 1))
+    return out
+
+
 def rest_candidates(reps: DataFrame, percent: int) -> DataFrame:
-    """(a, b): pairs of different components that share an index entry, are within reach and near enough in size.
+    """(a, b): pairs of different components that share an index entry and may be linked.
 
-    Columns of reps: id, comp, n, sig. An entry whose documents are all of one component makes
-    nothing; other entries are compared in blocks inside the task, and only pairs within reach leave it.
+    Columns of reps: id, comp, n, sig, bits. An entry whose documents are all of one component makes
+    nothing; the others are compared inside the task, large ones in blocks dealt over tasks, and only
+    pairs whose sets can be similar enough leave it, each from the first entry they share.
     """
+    slots = len(_SLOTS)
 
     def enter(batches):
         for batch in batches:
             if batch.num_rows:
                 entries = index_entries(_signs(batch.column("sig")))
-                who = pa.array(np.repeat(np.arange(batch.num_rows), entries.shape[1]))
-                yield pa.RecordBatch.from_arrays([pa.array(entries.ravel().view(np.int64)), batch.column("id").take(who), batch.column("comp").take(who)], names=["key", "id", "comp"])
+                who = pa.array(np.repeat(np.arange(batch.num_rows), slots))
+                slot = pa.array(np.tile(np.arange(slots, dtype=np.int16), batch.num_rows))
+                yield pa.RecordBatch.from_arrays([pa.array(entries.ravel().view(np.int64)), slot, batch.column("id").take(who), batch.column("comp").take(who)], names=["key", "slot", "id", "comp"])
 
     def compare(batches):
         for batch in batches:
-            rows = batch.to_pydict()
-            pairs = set()
-            for ids, comps, sizes, signs in zip(rows["ids"], rows["comps"], rows["ns"], rows["sigs"], strict=True):
-                ids, comps, n = np.array(ids), np.array(comps), np.array(sizes)
-                s = np.frombuffer(b"".join(signs), np.uint16).reshape(-1, PLACES)
-                for i in range(len(ids)):
-                    near = (comps[i + 1 :] != comps[i]) & (100 * np.minimum(n[i + 1 :], n[i]) >= percent * np.maximum(n[i + 1 :], n[i]))
-                    at = np.flatnonzero(near) + i + 1
-                    at = at[(s[at] != s[i]).sum(1) <= REACH]
-                    pairs.update((max(int(ids[i]), x), min(int(ids[i]), x)) for x in ids[at].tolist())
-            if pairs:
-                found = np.array(sorted(pairs), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
-
-    entries = stored(reps.select("id", "comp", "sig").mapInArrow(enter, "key long, id long, comp long"), "entries")
-    open_ = entries.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    # a document meets the others of an entry in blocks, dealt over tasks by both blocks
-    rows = entries.join(open_, "key").join(reps.select("id", "n", "sig"), "id")
-    sizes = stored(rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(16)).cast("int")), "open-entries")
-    big = sizes.groupBy("key").agg(F.count("*").alias("c")).where(f"c > {BLOCK}")
-    small = sizes.join(big, "key", "left_anti").groupBy("key").agg(*(F.collect_list(c).alias(f"{c}s") for c in ("id", "comp", "n", "sig")))
-    large = sizes.join(big.select("key", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")), "key")
-    large = large.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    large = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    large = large.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
-    large = large.groupBy("key", "lo", "hi").agg(*(F.collect_list(c).alias(f"{c}s") for c in ("id", "comp", "n", "sig"))).drop("lo", "hi")
-    return small.unionByName(large).drop("key").mapInArrow(compare, "a long, b long").distinct()
-
-
-#: Documents of an index entry that are compared in one go.
-BLOCK = 2000
-
-
-def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough; pairs is a stored table."""
+            for row in range(batch.num_rows):
+                slot, ids, comp, n, sig, bits = (batch.column(c)[row] for c in ("slot", "ids", "comps", "ns", "sigs", "bitss"))
+                ids, comp, n = (np.array(x.as_py(), np.int64) for x in (ids, comp, n))
+                pairs = block_pairs(slot.as_py(), ids, comp, n, np.frombuffer(b"".join(sig.as_py()), np.uint16).reshape(-1, PLACES), np.frombuffer(b"".join(bits.as_py()), np.uint64).reshape(len(ids), -1), percent)
+                if pairs:
+                    found = np.unique(np.concatenate(pairs), axis=0)
+                    yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+
+    entries = stored(reps.select("id", "comp", "sig").mapInArrow(enter, "key long, slot short, id long, comp long"), "entries")
+    open_ = entries.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).where("lo <> hi").select("key", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
+    rows = entries.join(open_, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    # every pair of blocks of an entry meets once
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", "slot", "id", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    rows = rows.join(reps.select("id", "comp", "n", "sig", "bits"), "id")
+    groups = rows.groupBy("key", "lo", "hi").agg(F.first("slot").alias("slot"), *(F.collect_list(c).alias(f"{c}s") for c in ("id", "comp", "n", "sig", "bits")))
+    return groups.drop("key", "lo", "hi").mapInArrow(compare, "a long, b long").distinct()
+
+
+def full_sets(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+    """(id, set, bits): the whole shingle sets of the documents of pairs (a stored table), and their maps."""
     wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("w")).distinct(), "wanted")
 
     def sets(batches):
         for batch in batches:
-            texts, out = encoded(batch.column(1)), []
+            texts, out, maps = encoded(batch.column(1)), [], []
             for a, b in pieces(texts):
                 value, first = shingle_sets(Words(texts[a:b], SPACED), size)
-                out.extend(value[first[i] : first[i + 1]].tobytes() for i in range(b - a))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["id", "set"])
+                for i in range(b - a):
+                    out.append(value[first[i] : first[i + 1]].tobytes())
+                    maps.append(bit_map(value[first[i] : first[i + 1]]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), pa.array(maps, pa.binary())], names=["id", "set", "bits"])
 
     few = wanted.count() * 16 <= 32 << 20  # ids only: broadcast while small, else the texts are shuffled
     texts = docs.select(F.col(id_col).alias("w"), F.col(text_col).alias("t")).join(F.broadcast(wanted) if few else wanted, "w", "left_semi")
-    table = stored(texts.mapInArrow(sets, "id long, set binary").dropDuplicates(["id"]), "sets")
+    return stored(texts.mapInArrow(sets, "id long, set binary, bits binary").dropDuplicates(["id"]), "sets")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets are similar enough."""
 
     def check(batches):
         for batch in batches:
@@ -244,8 +297,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, siz
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left = pairs.join(table.select(F.col("id").alias("a"), F.col("set").alias("x")), "a")
-    return left.join(table.select(F.col("id").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a")
+    return left.join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = PERCENT) -> DataFrame:
@@ -255,26 +308,25 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     words, or the whole text as one where it is shorter; documents with similar sets are linked and
     component_id is the least id reachable. Null and empty texts have empty sets and are linked with
     nothing. Equal sets are taken together first, so copies cost nothing. Rows that repeat an id must
-    repeat its text. Ids are integers; an empty table gives an empty result; other columns are dropped.
+    repeat its text; rows without an id are linked with nothing. Ids are integers; an empty table gives an empty result; other columns are dropped.
     """
     prepare(df.sparkSession)
     given = df.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col))
     docs = stored(sketch(given, id_col, text_col, shingle), "sketches")
-    full = docs.where("sig is not null")
+    full = docs.where("sig is not null and id is not null")
     classes = full.groupBy("set_hash").agg(F.min("id").alias("rep"), F.first("sig").alias("sig"), F.first("n").alias("n"))
     reps = stored(classes.select(F.col("rep").alias("id"), "set_hash", "sig", "n"), "classes")
     # first, documents of an entry with its least one
     pairs = stored(star_candidates(reps), "candidates")
-    links = stored(confirmed(pairs, given, id_col, text_col, shingle, percent), "links")
+    sets = full_sets(pairs, given, id_col, text_col, shingle)
+    links = stored(confirmed(pairs, sets, percent), "links")
     comps = stored(connected_components(links), "components")
     # then what shares an entry and isn't connected yet
-    met = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "met")
-    open_ = reps.join(met, "id", "left_semi").join(comps.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("comp"), "n", "sig")
-    rest = stored(rest_candidates(open_, percent).join(pairs, ["a", "b"], "left_anti"), "rest")
+    open_ = reps.join(sets.select("id", "bits"), "id").join(comps.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("comp"), "n", "sig", "bits")
+    rest = stored(rest_candidates(stored(open_, "open"), percent).join(pairs, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
-        more = confirmed(rest, given, id_col, text_col, shingle, percent)
-        comps = stored(connected_components(links.unionByName(more)), "components")
+        comps = stored(connected_components(links.unionByName(confirmed(rest, sets, percent))), "components")
     named = reps.join(comps.withColumnRenamed("node", "id"), "id", "left").select("set_hash", F.coalesce("component", "id").alias("component_id"))
     out = docs.select("id", "n", "set_hash").join(named, "set_hash", "left").select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
     return out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))

@@ -27,7 +27,7 @@ ORDER, DECAY, POWER = 3, 0.8, 3
 #: Longer words are read in overlapping stretches of so many letters.
 LONGEST = 20
 #: At most so many labelled documents are taken to fit, those with the least hash of the id.
-TRAIN_DOCS = 4000
+TRAIN_DOCS = 3000
 LANDMARKS = 72
 #: Clean sentences to fit on: so many nearest to toxic landmarks, and as many others.
 CLEAN_SENTENCES = 10_000
@@ -99,7 +99,7 @@ class Kernel:
         self.value = np.array(list(table.values()))
 
     def __call__(self, words: list[str]) -> np.ndarray:
-        out = np.zeros((len(words), len(self.landmarks)))
+        out = np.zeros((len(words), len(self.landmarks)), np.float32)
         by: dict[int, list[int]] = {}
         for i, w in enumerate(words):
             by.setdefault(len(w), []).append(i)
@@ -163,7 +163,7 @@ def fit_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 1.0)
     ridge[-1, -1] = 1e-6
     for turn in range(25):
         active = y * (x @ w) < 1
-        xa, ca = x[active], cost * weight[active]
+        xa, ca = x[active].astype(float), cost * weight[active]
         step = np.linalg.solve(ridge + xa.T @ (xa * ca[:, None]), xa.T @ (ca * y[active]))
         if np.abs(step - w).max() < 1e-6:
             break
@@ -233,25 +233,24 @@ def train(texts: list[str], labels: list[int]) -> Model | None:
     tokens = sorted({t for d in docs for s in d for t in s})
     index = {t: i for i, t in enumerate(tokens)}
     parts = [stretches(t) for t in tokens]
-    flat = kernel([p for ps in parts for p in ps])
-    own = np.repeat(np.arange(len(tokens)), [len(p) for p in parts])
-    k = np.zeros((len(tokens), len(marks)))
-    np.maximum.at(k, own, flat)
+    begin = np.cumsum([0] + [len(p) for p in parts])[:-1]
+    k = np.maximum.reduceat(kernel([p for ps in parts for p in ps]), begin, axis=0)
+    del parts
     gram = kernel(marks)
     val, vec = np.linalg.eigh(gram)
-    root = (vec / np.sqrt(np.maximum(val, 1e-3))) @ vec.T
+    root = ((vec / np.sqrt(np.maximum(val, 1e-3))) @ vec.T).astype(np.float32)
     lengths = [len(s) for d in docs for s in d]
-    place = np.array([index[t] for d in docs for s in d for t in s])
+    place = np.fromiter((index[t] for d in docs for s in d for t in s), np.int32, sum(lengths))
     doc = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
     begin = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(int)
-    x = np.zeros((len(lengths), len(marks) + 1))
+    x = np.zeros((len(lengths), len(marks) + 1), np.float32)
     for a in range(0, len(lengths), 5000):  # in parts: a row for each word is large
         b = min(len(lengths), a + 5000)
         last = begin[b] if b < len(lengths) else len(place)
         x[a:b, :-1] = np.add.reduceat(k[place[begin[a] : last]], begin[a:b] - begin[a], axis=0)
 
     near = np.zeros(len(lengths))  # of the nearest word to a toxic landmark
-    np.maximum.at(near, np.repeat(np.arange(len(lengths)), lengths), k[place, : 5 * len(marks) // 6].max(1))
+    np.maximum.at(near, np.repeat(np.arange(len(lengths)), lengths), k[:, : 5 * len(marks) // 6].max(1)[place])
     # most clean sentences are alike: the ones nearest to landmarks, and a share of the others that stands for all
     clean = np.flatnonzero(y[doc] == 0)
     clean = clean[np.argsort(-near[clean], kind="stable")]
