@@ -27,7 +27,7 @@ ORDER, DECAY, POWER = 3, 0.8, 3
 #: Longer words are read in overlapping stretches of so many letters.
 LONGEST = 20
 #: At most so many labelled documents are taken to fit, those with the least hash of the id.
-TRAIN_DOCS = 3000
+TRAIN_DOCS = 4000
 LANDMARKS = 72
 #: Clean sentences to fit on: so many nearest to toxic landmarks, and as many others.
 CLEAN_SENTENCES = 10_000
