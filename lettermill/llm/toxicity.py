@@ -96,27 +96,24 @@ class Kernel:
                 table.setdefault(f, np.zeros(len(landmarks)))[j] += w / norm[0]
         self.row = np.full(64**3, _MISS, np.int32)
         self.row[list(table)] = np.arange(len(table))
-        self.value = np.array(list(table.values()))
+        self.value = np.array([*table.values(), np.zeros(len(landmarks))], np.float32)
 
     def __call__(self, words: list[str]) -> np.ndarray:
         out = np.zeros((len(words), len(self.landmarks)), np.float32)
         by: dict[int, list[int]] = {}
         for i, w in enumerate(words):
             by.setdefault(len(w), []).append(i)
+        width = len(self.value)  # the last feature stands for those of no landmark and weighs nothing
         for n, which in by.items():
             if n < ORDER:
                 continue
-            step = max(1, 400_000 // len(_picks(n)[1]))
+            step = max(1, min(400_000 // len(_picks(n)[1]), 1_500_000 // width))
             for a in range(0, len(which), step):
                 some = which[a : a + step]
                 number, weight, norm = features([words[i] for i in some])
-                row = self.row[number]
-                r, c = np.nonzero(row != _MISS)
-                if len(r):
-                    part = weight[c][:, None] * self.value[row[r, c]]
-                    begin = np.flatnonzero(np.append(True, r[1:] != r[:-1]))
-                    got = r[begin]
-                    out[np.array(some)[got]] = (np.add.reduceat(part, begin, axis=0) / norm[got][:, None]) ** POWER
+                at = self.row[number] % width + np.arange(len(some))[:, None] * width
+                mass = np.bincount(at.ravel(), np.broadcast_to(weight, at.shape).ravel(), len(some) * width)
+                out[some] = (mass.astype(np.float32).reshape(-1, width) @ self.value / norm[:, None]) ** POWER
         return out
 
 
@@ -291,21 +288,24 @@ def train(texts: list[str], labels: list[int]) -> Model | None:
 
 
 class Scorer:
-    """Scores texts; keeps the weights of words it has seen, up to a bound."""
+    """Scores texts; keeps the weights of tokens and of their letters that it has seen, up to a bound."""
 
     KEPT = 400_000
 
     def __init__(self, model: Model | None):
-        self.model, self.known = model, {}
+        self.model, self.known, self.weights = model, {}, {}
 
     def __call__(self, texts: list[str | None]) -> list[float]:
         if self.model is None:
             return [0.0] * len(texts)
         if len(self.known) > self.KEPT:
             self.known.clear()
+            self.weights.clear()
         docs = [sentences(t or "") for t in texts]
-        new = list({t for d in docs for s in d for t in s} - self.known.keys())
-        self.known.update(zip(new, self.model.word_weights(new), strict=True))
+        new = [(t, letters_of(t)) for t in {t for d in docs for s in d for t in s} - self.known.keys()]
+        letters = list({x for _, x in new} - self.weights.keys())
+        self.weights.update(zip(letters, self.model.word_weights(letters), strict=True))
+        self.known.update((t, self.weights[x]) for t, x in new)
         get = self.known.__getitem__
         return [self.model.score([sum(map(get, s)) for s in d], sum(map(len, d))) for d in docs]
 
