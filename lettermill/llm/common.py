@@ -108,7 +108,7 @@ class Words:
         return b" ".join(self.data[s:e].lower() for s, e in zip(self.start[i:j], self.end[i:j], strict=True))
 
 
-def pieces(texts: list[bytes], limit: int = 1 << 21):
+def pieces(texts: list[bytes], limit: int = 1 << 20):
     """Runs (from, to) of texts of at most ``limit`` bytes, or of one text."""
     begin = size = 0
     for i, t in enumerate(texts):

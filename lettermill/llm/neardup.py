@@ -115,6 +115,10 @@ def _signs(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, PLACES)
 
 
+#: Documents whose entries a task combines in one go.
+COMBINED = 2500
+
+
 def star_candidates(reps: DataFrame) -> DataFrame:
     """(a, b): within each index entry, every document with the entry's least one.
 
@@ -123,9 +127,7 @@ def star_candidates(reps: DataFrame) -> DataFrame:
     """
 
     def combine(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (b.slice(a, COMBINED) for b in batches for a in range(0, b.num_rows, COMBINED)):
             ids, entries = batch.column(0).to_numpy(), index_entries(_signs(batch.column(1)))
             key, own = entries.ravel(), np.repeat(ids, entries.shape[1])
             order = np.lexsort((own, key))
@@ -236,12 +238,11 @@ def rest_candidates(reps: DataFrame, percent: int) -> DataFrame:
     slots = len(_SLOTS)
 
     def enter(batches):
-        for batch in batches:
-            if batch.num_rows:
-                entries = index_entries(_signs(batch.column("sig")))
-                who = pa.array(np.repeat(np.arange(batch.num_rows), slots))
-                slot = pa.array(np.tile(np.arange(slots, dtype=np.int16), batch.num_rows))
-                yield pa.RecordBatch.from_arrays([pa.array(entries.ravel().view(np.int64)), slot, batch.column("id").take(who), batch.column("comp").take(who)], names=["key", "slot", "id", "comp"])
+        for batch in (b.slice(a, COMBINED) for b in batches for a in range(0, b.num_rows, COMBINED)):
+            entries = index_entries(_signs(batch.column("sig")))
+            who = pa.array(np.repeat(np.arange(batch.num_rows), slots))
+            slot = pa.array(np.tile(np.arange(slots, dtype=np.int16), batch.num_rows))
+            yield pa.RecordBatch.from_arrays([pa.array(entries.ravel().view(np.int64)), slot, batch.column("id").take(who), batch.column("comp").take(who)], names=["key", "slot", "id", "comp"])
 
     def compare(batches):
         for batch in batches:

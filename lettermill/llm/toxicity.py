@@ -288,25 +288,24 @@ def train(texts: list[str], labels: list[int]) -> Model | None:
 
 
 class Scorer:
-    """Scores texts; keeps the weights of tokens and of their letters that it has seen, up to a bound."""
+    """Scores texts; keeps the weights of the letters of tokens it has seen, up to a bound."""
 
     KEPT = 400_000
 
     def __init__(self, model: Model | None):
-        self.model, self.known, self.weights = model, {}, {}
+        self.model, self.weights = model, {}
 
     def __call__(self, texts: list[str | None]) -> list[float]:
         if self.model is None:
             return [0.0] * len(texts)
-        if len(self.known) > self.KEPT:
-            self.known.clear()
+        if len(self.weights) > self.KEPT:
             self.weights.clear()
         docs = [sentences(t or "") for t in texts]
-        new = [(t, letters_of(t)) for t in {t for d in docs for s in d for t in s} - self.known.keys()]
-        letters = list({x for _, x in new} - self.weights.keys())
-        self.weights.update(zip(letters, self.model.word_weights(letters), strict=True))
-        self.known.update((t, self.weights[x]) for t, x in new)
-        get = self.known.__getitem__
+        letters = {t: letters_of(t) for t in {t for d in docs for s in d for t in s}}
+        new = list(set(letters.values()) - self.weights.keys())
+        self.weights.update(zip(new, self.model.word_weights(new), strict=True))
+        known = {t: self.weights[x] for t, x in letters.items()}
+        get = known.__getitem__
         return [self.model.score([sum(map(get, s)) for s in d], sum(map(len, d))) for d in docs]
 
 
@@ -331,10 +330,9 @@ def score_toxicity(df: DataFrame, model: Model | None, id_col: str = "doc_id", t
     def run(batches):
         score = Scorer(model)
         for batch in batches:
-            texts = batch.column(at).to_pylist()
             found: list[float] = []
-            for a in range(0, len(texts), 500):
-                found += score(texts[a : a + 500])
+            for a in range(0, batch.num_rows, 500):
+                found += score(batch.column(at).slice(a, 500).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64()), pa.array([int(x >= threshold) for x in found], pa.int32())], names=[*batch.schema.names, "score", "predicted"])
 
     from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
