@@ -209,10 +209,10 @@ def bpe_encode(df: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col:
     def run(batches):
         tok = tokenizer(vocab_path)
         for batch in batches:
-            texts, keys = batch.column(1).to_pylist(), batch.column(0).to_pylist()
-            for at in range(0, len(texts), 256):
+            for at in range(0, batch.num_rows, 256):
                 out: list[list] = [[] for _ in range(6)]
-                for key, text in zip(keys[at : at + 256], texts[at : at + 256], strict=True):
+                some = batch.slice(at, 256)
+                for key, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
                     ids = tok.encode(text or "")
                     decoded = tok.decode(ids)
                     row = (key, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())

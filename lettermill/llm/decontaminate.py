@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lettermill.llm.common import ALNUM, Words, encoded, pieces, prepare
+from lettermill.llm.common import ALNUM, Words, encoded, pieces, prepare, stored
 
 WINDOW = 13
 #: Test items are looked up in blocks of so many bytes; a block is what tasks get at once.
@@ -196,8 +196,13 @@ def find_contamination(docs: DataFrame, test: DataFrame, id_col: str = "doc_id",
     return found.mapInArrow(run, schema).withColumnRenamed("k", id_col)
 
 
+#: Ids of documents to drop are broadcast up to so many bytes.
+BROADCAST_BYTES = 32 << 20
+
+
 def decontaminate(docs: DataFrame, test: DataFrame, **options) -> DataFrame:
     """The documents, with their own columns, that aren't contaminated."""
     key = options.get("id_col", "doc_id")
-    bad = find_contamination(docs, test, **options).where("contaminated").select(F.col(key).alias("__bad"))
-    return docs.join(bad, docs[key].eqNullSafe(bad["__bad"]), "left_anti")
+    bad = stored(find_contamination(docs, test, **options).where("contaminated").select(F.col(key).alias("__bad")).distinct(), "contaminated")
+    few = bad.count() * 16 <= BROADCAST_BYTES  # ids only; beyond that the texts are shuffled
+    return docs.join(F.broadcast(bad) if few else bad, docs[key].eqNullSafe(bad["__bad"]), "left_anti")
