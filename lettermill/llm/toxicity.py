@@ -222,17 +222,20 @@ def train(texts: list[str], labels: list[int]) -> Model | None:
     y = np.array(labels, float)
     if not 0 < y.sum() < len(y):
         return None
-    docs = [sentences(t) for t in texts]
+    once: dict[str, str] = {}  # a token is one object, however often it occurs
+    docs = [[[once.setdefault(t, t) for t in s] for s in sentences(x)] for x in texts]
     marks = choose_landmarks(docs, y)
     if not marks:
         return None
     kernel = Kernel(marks)
-    tokens = sorted({t for d in docs for s in d for t in s})
+    tokens = sorted(once)
+    del once
     index = {t: i for i, t in enumerate(tokens)}
-    parts = [stretches(t) for t in tokens]
-    begin = np.cumsum([0] + [len(p) for p in parts])[:-1]
-    k = np.maximum.reduceat(kernel([p for ps in parts for p in ps]), begin, axis=0)
-    del parts
+    k = np.zeros((len(tokens), len(marks)), np.float32)
+    for a in range(0, len(tokens), 20_000):
+        parts = [stretches(t) for t in tokens[a : a + 20_000]]
+        begin = np.cumsum([0] + [len(p) for p in parts])[:-1]
+        k[a : a + len(parts)] = np.maximum.reduceat(kernel([p for ps in parts for p in ps]), begin, axis=0)
     gram = kernel(marks)
     val, vec = np.linalg.eigh(gram)
     root = ((vec / np.sqrt(np.maximum(val, 1e-3))) @ vec.T).astype(np.float32)
