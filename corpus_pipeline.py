@@ -28,7 +28,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # what lost all of its text was a copy of lines that other documents keep
-    left = drop_recurring_lines(docs).where("n_dropped = 0 or trim(text) <> ''").drop("n_lines", "n_dropped")
+    left = drop_recurring_lines(docs, min_tokens=1).where("n_dropped = 0 or trim(text) <> ''").drop("n_lines", "n_dropped")
     return left.withColumn("n_chars", F.char_length("text").cast(dict(docs.dtypes)["n_chars"])).select(docs.columns)
 
 

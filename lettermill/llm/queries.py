@@ -61,7 +61,7 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drop_recurring_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
+    return drop_recurring_lines(table(spark, sf_dir, "documents"), min_tokens=1).select("doc_id", "text", "n_lines", "n_dropped")
 
 
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -425,6 +425,20 @@ def test_lines_query_drops_what_repeats(spark, docs):
             assert {i for i in ids if line in rows[i].text.split("\n")} <= {min(ids)}
 
 
+def test_short_lines_count_like_others(spark, docs):
+    texts = [(1, "Yes.\nOne two three four\n\nown words of one"), (2, "Yes.\nOne two three four\n\nand words of another"), (3, None)]
+    got = {r.doc_id: r for r in drop_recurring_lines(frame(spark, texts), min_tokens=1).collect()}
+    assert got[1].text == texts[0][1] and got[2].text == "\nand words of another" and got[2].n_dropped == 2 and got[3].text is None
+    rows = {r.doc_id: r for r in Q.op9_lines(spark, SF).collect()}
+    first = {}
+    for i in sorted(docs):
+        for line in docs[i].split("\n"):
+            first.setdefault(" ".join(line.split()), i)
+    for i, r in rows.items():
+        left = [" ".join(x.split()) for x in r.text.split("\n")]
+        assert all(first[x] == i for x in left if x)
+
+
 # --- 10 -----------------------------------------------------------------------
 
 
