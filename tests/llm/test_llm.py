@@ -439,7 +439,7 @@ def test_short_lines_count_like_others(spark, docs):
         assert all(first[x] == i for x in left if x)
 
 
-def test_templates_share_a_leaf(spark):
+def test_templates_share_a_leaf(spark, monkeypatch):
     one = lambda x: f"dear customer {x} your order has been sent today with care from us"
     two = lambda x: f"dear customer {x} we could not take any money off your card us"
     # two templates of one size, lines that only join the leaf, and a short template
@@ -448,6 +448,9 @@ def test_templates_share_a_leaf(spark):
     assert len({(len(x.split()), *x.split()[:2], x.split()[-1]) for x in made[:24]}) == 1
     got = {r.doc_id: r.text for r in drop_recurring_lines(frame(spark, list(enumerate(made)))).collect()}
     assert {i for i, t in got.items() if not t} == {1, 3, 25}
+    monkeypatch.setattr("lettermill.llm.lines.PAIRS", 3)  # the leaf is split first
+    got = {r.doc_id: r.text for r in drop_recurring_lines(frame(spark, list(enumerate(made)))).collect()}
+    assert {i for i, t in got.items() if not t} == {1, 3, 25}
 
 
 # --- 10 -----------------------------------------------------------------------
