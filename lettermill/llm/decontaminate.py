@@ -158,11 +158,30 @@ def find_contamination(docs: DataFrame, test: DataFrame, id_col: str = "doc_id",
     contaminated (n_hit > 0 and 20 * n_hit >= n_words). Null and empty texts have no words and are
     clean; an item without words matches nothing; repeated items count once for each id; an empty
     table of items leaves every document clean. With more than one block of items, documents are
-    read once for each block and merged by id, so ids must then be unique.
+    read once for each block and merged by a key of their rows: rows that repeat an id, or have
+    none, keep results of their own.
     """
     prepare(docs.sparkSession)
+    blocks = list(_blocks(test, item_col, item_text))
+    if len(blocks) > 1 and id_col != ROW:
+        rows = _keyed(docs.select(id_col, text_col))
+        found = _found(rows, blocks, ROW, text_col, width)
+        return rows.select(ROW, id_col).join(found, ROW).drop(ROW)
+    return _found(docs, blocks, id_col, text_col, width)
+
+
+#: Column with the key of a document's row.
+ROW = "__row"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Rows with a key of their own, stored so that it stays the same."""
+    return stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "document-rows")
+
+
+def _found(docs: DataFrame, blocks: list, id_col: str, text_col: str, width: int) -> DataFrame:
     key = dict(docs.dtypes)[id_col]
-    passes = [_pass(docs, TestSuffixes(block, width), id_col, text_col, key) for block in _blocks(test, item_col, item_text)]
+    passes = [_pass(docs, TestSuffixes(block, width), id_col, text_col, key) for block in blocks]
     if len(passes) > 1:
         every = passes[0]
         for more in passes[1:]:
@@ -196,13 +215,13 @@ def find_contamination(docs: DataFrame, test: DataFrame, id_col: str = "doc_id",
     return found.mapInArrow(run, schema).withColumnRenamed("k", id_col)
 
 
-#: Ids of documents to drop are broadcast up to so many bytes.
+#: Keys of rows to drop are broadcast up to so many bytes.
 BROADCAST_BYTES = 32 << 20
 
 
 def decontaminate(docs: DataFrame, test: DataFrame, **options) -> DataFrame:
     """The documents, with their own columns, that aren't contaminated."""
-    key = options.get("id_col", "doc_id")
-    bad = stored(find_contamination(docs, test, **options).where("contaminated").select(F.col(key).alias("__bad")).distinct(), "contaminated")
-    few = bad.count() * 16 <= BROADCAST_BYTES  # ids only; beyond that the texts are shuffled
-    return docs.join(F.broadcast(bad) if few else bad, docs[key].eqNullSafe(bad["__bad"]), "left_anti")
+    rows = _keyed(docs)
+    bad = stored(find_contamination(rows, test, **options | {"id_col": ROW}).where("contaminated").select(ROW), "contaminated")
+    few = bad.count() * 16 <= BROADCAST_BYTES  # keys only; beyond that the texts are shuffled
+    return rows.join(F.broadcast(bad) if few else bad, ROW, "left_anti").select(docs.columns)

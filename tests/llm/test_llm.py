@@ -18,7 +18,7 @@ from lettermill.llm import queries as Q
 from lettermill.llm.bpe import Tokenizer, bpe_decode, bpe_encode
 from lettermill.llm.common import ALNUM, SPACED, Words
 from lettermill.llm.components import connected_components
-from lettermill.llm.decontaminate import find_contamination
+from lettermill.llm.decontaminate import decontaminate, find_contamination
 from lettermill.llm.fingerprints import fingerprint_documents, fingerprint_edits
 from lettermill.llm.html import article, common, extract_text, page_lines
 from lettermill.llm.licenses import scan_licenses
@@ -316,6 +316,18 @@ def test_contamination_odd(spark, monkeypatch):
     assert find_contamination(frame(spark, []), test).count() == 0
 
 
+def test_contamination_goes_by_row(spark, monkeypatch):
+    passage = " ".join(f"w{i}" for i in range(20))
+    texts = [(None, passage), (None, "clean words"), (None, None), (8, passage), (8, "other clean words")]
+    test = spark.createDataFrame([(10, passage), (11, "never seen item")], "item_id long, text string")
+    for size in (8 << 20, 100):
+        monkeypatch.setattr("lettermill.llm.decontaminate.BLOCK_BYTES", size)
+        rows = find_contamination(frame(spark, texts), test).collect()
+        assert sorted((r.doc_id or 0, r.n_words, r.n_hit) for r in rows) == [(0, 0, 0), (0, 2, 0), (0, 20, 20), (8, 3, 0), (8, 20, 20)]
+        kept = decontaminate(frame(spark, texts), test)
+        assert kept.columns == frame(spark, []).columns and sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == [(0, ""), (0, "clean words"), (8, "other clean words")]
+
+
 # --- 7 ------------------------------------------------------------------------
 
 
