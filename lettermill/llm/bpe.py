@@ -10,25 +10,19 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-import unicodedata
 from array import array
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer as Library
 
-from lettermill.llm.common import prepare
+from lettermill.llm.common import prepare, released
 
 START = 0
-#: Fixed values of the vocabulary file's kind: how bytes are written as characters.
-_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
-
-
-def byte_letters() -> list[str]:
-    """A printable character for each byte."""
-    rest = iter(range(256, 512))
-    return [chr(b) if b in set(_PLAIN) else chr(next(rest)) for b in range(256)]
 
 
 class MergeAutomaton:
@@ -73,12 +67,14 @@ class MergeAutomaton:
             if u == v:
                 self.lost[state * n + t] = at
         self.table: dict[int, bool] = {}
-        #: Arc labels inside a word and at its end, and the longest inner label by its first letters.
+        #: Arc labels inside a word and at its end, and lengths of inner labels, longest first, by their first three letters.
         self.inner = {x: i for x, i in vocab.items() if not (suffix and x.endswith(suffix))}
         self.final = {x[: len(x) - len(suffix)]: i for x, i in vocab.items() if x.endswith(suffix)} if suffix else vocab
-        self.reach: dict[str, int] = {}
+        self.longest = max(map(len, self.final), default=0)
+        lengths: dict[str, set[int]] = {}
         for x in self.inner:
-            self.reach[x[:2]] = max(self.reach.get(x[:2], 1), len(x))
+            lengths.setdefault(x[:3], {1, 1 + (x[:2] in self.inner)}).add(len(x))
+        self.lengths = {x: tuple(sorted(n, reverse=True)) for x, n in lengths.items()}
 
     def _had(self, state: int, token: int, time: int) -> bool:
         """Whether the state had an arc for the token just before the merge at ``time``."""
@@ -92,10 +88,15 @@ class MergeAutomaton:
             else:
                 time, token = self.made[token], self.left[token]
 
+    #: Transitions that are tabled at a time; beyond it the table begins anew.
+    TABLED = 200_000
+
     def step(self, state: int, token: int) -> bool:
         key = state * self.n + token
         known = self.table.get(key)
         if known is None:
+            if len(self.table) >= self.TABLED:
+                self.table.clear()
             known = self.table[key] = self._had(state, token, 1 << 60)
         return known
 
@@ -104,84 +105,129 @@ class MergeAutomaton:
 
         Longer arcs are tried first; where no arc leads on, the walk takes its last arc back.
         """
-        size, inner, final, reach, target, table, n = len(letters), self.inner, self.final, self.reach, self.target, self.table, self.n
-        path: list[tuple[int, int]] = []  # where an arc began, its token
+        size, inner, final, target, table, n = len(letters), self.inner.get, self.final.get, self.target, self.table.get, self.n
+        reach, pairs, longest = self.lengths.get, ((1,), (2, 1)), self.longest
+        path: list[int] = []
         lengths: list[int] = []
         dead: set[tuple[int, int]] = set()
         at, state, most = 0, START, size
         while at < size:
-            if most >= size - at:
-                token = final.get(letters[at:])
+            arcs, left = state * n, size - at
+            if longest >= left <= most:
+                token = final(letters[at:])
                 if token is not None:
-                    alive = table.get(state * n + token)
+                    alive = table(arcs + token)
                     if self.step(state, token) if alive is None else alive:
-                        return [t for _, t in path] + [token]
-            for length in range(min(most, reach.get(letters[at : at + 2], 1), size - at - 1), 0, -1):
-                token = inner.get(letters[at : at + length])
-                if token is not None:
-                    alive = table.get(state * n + token)
-                    if (self.step(state, token) if alive is None else alive) and (not dead or (at + length, target[token]) not in dead):
-                        path.append((at, token))
-                        lengths.append(length)
-                        at, state, most = at + length, target[token], size
-                        break
+                        path.append(token)
+                        return path
+            if most < left:
+                left = most + 1
+            for length in reach(letters[at : at + 3]) or pairs[letters[at : at + 2] in self.inner]:
+                if length < left:
+                    token = inner(letters[at : at + length])
+                    if token is not None:
+                        alive = table(arcs + token)
+                        if (self.step(state, token) if alive is None else alive) and (not dead or (at + length, target[token]) not in dead):
+                            path.append(token)
+                            lengths.append(length)
+                            at, state, most = at + length, target[token], size
+                            break
             else:
                 if not path:
-                    raise ValueError(f"no path for {letters!r}")
+                    raise ValueError(f"no path for {letters[:99]!r}")
                 dead.add((at, state))
-                at = path.pop()[0]
-                most = lengths.pop() - 1
-                state = target[path[-1][1]] if path else START
+                path.pop()
+                length = lengths.pop()
+                at, most = at - length, length - 1
+                state = target[path[-1]] if path else START
         return []
 
     def decode(self, ids) -> str:
         return " ".join(map(self.label.__getitem__, ids))
 
 
+class Kept:
+    """Ids by piece or word, in two generations: what is asked for again stays. Bounded by bytes."""
+
+    #: What an entry costs besides its bytes.
+    ENTRY_BYTES = 190
+
+    def __init__(self, most: int):
+        self.young: dict = {}
+        self.old: dict = {}
+        self.half, self.bytes = most // 2, 0
+
+    def put(self, key: bytes | str, ids: bytes) -> None:
+        if self.bytes > self.half:
+            self.old = self.young.copy()
+            self.young.clear()  # the same object: callers hold its get
+            self.bytes = 0
+        self.young[key] = ids
+        self.bytes += len(key) + len(ids) + self.ENTRY_BYTES
+
+
 class Tokenizer:
-    """Encodes and decodes as the vocabulary file says: NFC, lower case, word split, bytes, merges."""
+    """Encodes and decodes as the vocabulary file says.
+
+    The tokenizers library reads the file's normaliser and word split, and splits what white space
+    separates; words then go through the automaton. ASCII white space ends a word in every file of
+    this kind and never composes with what follows, so a text's pieces can be taken one by one.
+    """
 
-    #: Words kept with their ids in each worker, to walk the automaton once for frequent words.
-    KEPT = 300_000
+    #: Bytes of pieces, and of words, that are kept with their ids in each worker; and the longest that is kept.
+    PIECE_BYTES, WORD_BYTES, LENGTH = 16 << 20, 32 << 20, 48
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
+        if any(x["single_word"] or x["lstrip"] or x["rstrip"] or x["normalized"] for x in spec["added_tokens"]):
+            raise ValueError("special tokens of this kind aren't known here")
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.automaton = MergeAutomaton(model["vocab"], [tuple(x) for x in model["merges"]], model["end_of_word_suffix"] or "")
         self.automaton.label.extend([""] * (max(self.special.values(), default=-1) + 1 - len(self.automaton.label)))
         for text, i in self.special.items():
             self.automaton.label[i] = text
         self.marks = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self.split = regex.compile(pattern).findall
-        #: The same split for ASCII, where letters and digits need no Unicode classes.
-        self.split_ascii = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\x09-\x0d a-z0-9]+").findall
-        self.letters = byte_letters()
-        self.plain = re.compile(r"[!-~]+").fullmatch
-        self.kept: dict[str, bytes] = {}
+        splitter = Library.from_str(json.dumps(spec | {"added_tokens": [], "post_processor": None, "truncation": None, "padding": None, "model": model | {"vocab": {}, "merges": []}}))
+        self.normalize, self.split = splitter.normalizer.normalize_str, splitter.pre_tokenizer.pre_tokenize_str
+        self.pieces, self.words = Kept(self.PIECE_BYTES), Kept(self.WORD_BYTES)
+        #: The file's own split for printable ASCII, where it needs no Unicode classes and bytes are written as they are.
+        self.ascii_split = None
+        kinds = [x["type"] for y in (spec["normalizer"], spec["pre_tokenizer"]) for x in y.get("normalizers", y.get("pretokenizers", []))]
+        if kinds == ["NFC", "Replace", "Lowercase", "Split", "ByteLevel"]:
+            split, level = spec["pre_tokenizer"]["pretokenizers"]
+            if spec["normalizer"]["normalizers"][1]["pattern"] == {"Regex": r"\s+"} and split["behavior"] == "Removed" and split["invert"] and not level["add_prefix_space"] and not level["use_regex"]:
+                self.ascii_split = regex.compile(split["pattern"]["Regex"]).findall
+        self.printable = re.compile(rb"[!-~]+").fullmatch
 
     def word(self, word: str) -> bytes:
-        letters = word if self.plain(word) else "".join(map(self.letters.__getitem__, word.encode()))
-        if len(self.kept) >= self.KEPT:
-            self.kept.clear()
-        self.kept[word] = ids = array("I", self.automaton.encode(letters)).tobytes()
+        ids = self.words.old.get(word) or array("I", self.automaton.encode(word)).tobytes()
+        if len(word) <= self.LENGTH:
+            self.words.put(word, ids)
+        return ids
+
+    def piece(self, piece: bytes) -> bytes:
+        """Ids of what stands between white space."""
+        ids = self.pieces.old.get(piece)
+        if ids is None:
+            if self.ascii_split and self.printable(piece):
+                words = self.ascii_split(piece.decode().lower())
+            else:
+                words = [x for x, _ in self.split(self.normalize(piece.decode()))]
+            get, word = self.words.young.get, self.word
+            ids = b"".join([get(x) or word(x) for x in words])
+        if len(piece) <= self.LENGTH:
+            self.pieces.put(piece, ids)
         return ids
 
     def _segment(self, text: str) -> bytes:
-        if text.isascii():
-            words = self.split_ascii(text.lower())
-        else:
-            if not unicodedata.is_normalized("NFC", text):
-                text = unicodedata.normalize("NFC", text)
-            words = self.split(text.replace("Σ", "σ").lower())
-        get, word = self.kept.get, self.word
-        return b"".join([get(w) or word(w) for w in words])
+        get, piece = self.pieces.young.get, self.piece
+        return b"".join([get(p) or piece(p) for p in text.encode().split()])
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        if self.marks is None or "<|" not in text:
+        if self.marks is None or not self.marks.search(text):
             return self._segment(text)
         return b"".join(array("I", [self.special[x]]).tobytes() if x in self.special else self._segment(x) for x in self.marks.split(text))
 
@@ -195,46 +241,46 @@ def tokenizer(path: str) -> Tokenizer:
     return Tokenizer(path)
 
 
-def bpe_encode(df: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
+def bpe_encode(df: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, with_decoded: bool = True) -> DataFrame:
     """Encode whole texts and decode them again, a row for each input row.
 
-    Columns: id, n_tokens, ids_sha256, decoded_sha256 and, with ``with_ids``, token_ids
-    (array<int>) and decoded. A null text counts as empty (no tokens, empty decoded text); repeated
-    rows stay; other columns are dropped, so clashing names can't matter. ``vocab_path`` must be
-    readable on every worker.
+    Columns: id, n_tokens, ids_sha256, decoded_sha256, with ``with_ids`` token_ids (array<int>) and
+    with ``with_decoded`` decoded. A null text counts as empty (no tokens, empty decoded text); null
+    ids stay null; repeated rows stay; other columns are dropped, so clashing names can't matter; an
+    empty table gives an empty result. ``vocab_path`` must be readable on every worker.
     """
     prepare(df.sparkSession)
     kind = dict(df.dtypes)[id_col]
+    types = {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
 
     def run(batches):
         tok = tokenizer(vocab_path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                out: list[list] = [[] for _ in range(6)]
-                some = batch.slice(at, 256)
-                for key, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
-                    ids = tok.encode(text or "")
-                    decoded = tok.decode(ids)
-                    row = (key, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
-                    if with_ids:
-                        row += (array("i", ids), decoded)
-                    for column, value in zip(out, row, strict=False):
-                        column.append(value)
-                names = ["k", "n_tokens", "ids_sha256", "decoded_sha256"]
-                cols = [pa.array(out[0], batch.schema.field(0).type), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string()), pa.array(out[3], pa.string())]
+            for at in range(0, batch.num_rows, 128):
+                some = batch.slice(at, 128)
+                ids = [tok.encode(text or "") for text in some.column(1).to_pylist()]
+                texts, marks = [], []
+                for x in ids:
+                    decoded = tok.decode(x)
+                    marks.append(hashlib.sha256(decoded.encode()).hexdigest())
+                    if with_decoded:
+                        texts.append(decoded)
+                values = ([len(x) // 4 for x in ids], [hashlib.sha256(x).hexdigest() for x in ids], marks)
+                cols = {"k": some.column(0), **{c: pa.array(v, types[c]) for c, v in zip(types, values, strict=True)}}
                 if with_ids:
-                    names += ["token_ids", "decoded"]
-                    cols += [pa.array(out[4], pa.list_(pa.int32())), pa.array(out[5], pa.string())]
-                yield pa.RecordBatch.from_arrays(cols, names=names)
+                    ends = np.cumsum([0] + [len(x) // 4 for x in ids]).astype(np.int32)
+                    cols["token_ids"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), np.int32)))
+                if with_decoded:
+                    cols["decoded"] = pa.array(texts, pa.string())
+                yield pa.RecordBatch.from_arrays([*cols.values()], names=[*cols])
 
-    schema = f"k {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", token_ids array<int>, decoded string" if with_ids else "")
-    return df.select(df[id_col], df[text_col]).mapInArrow(run, schema).withColumnRenamed("k", id_col)
+    schema = f"k {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * with_ids + ", decoded string" * with_decoded
+    return df.select(df[id_col], df[text_col]).mapInArrow(released(run), schema).withColumnRenamed("k", id_col)
 
 
 def bpe_decode(df: DataFrame, vocab_path: str, ids_col: str = "token_ids", out_col: str = "decoded") -> DataFrame:
-    """Add the decoded text of an array<int> column; null ids decode to null."""
+    """Add the decoded text of an array<int> column; null ids decode to null, no ids to an empty text."""
     prepare(df.sparkSession)
-    from pyspark.sql import functions as F
 
     @F.pandas_udf("string")
     def decode(ids):

@@ -25,7 +25,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe_encode(table(spark, sf_dir, "documents"), VOCAB, with_ids=False)
+    return bpe_encode(table(spark, sf_dir, "documents"), VOCAB, with_ids=False, with_decoded=False)
 
 
 def op2_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
