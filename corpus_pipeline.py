@@ -42,7 +42,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe_encode(docs, VOCAB).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "token_ids")
+    return bpe_encode(docs, VOCAB, with_decoded=False).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "token_ids")
 
 
 STAGES = [
