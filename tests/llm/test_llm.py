@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -460,11 +461,70 @@ def test_templates_share_a_leaf(spark, monkeypatch):
     assert len({(len(x.split()), *x.split()[:2], x.split()[-1]) for x in made[:24]}) == 1
     got = {r.doc_id: r.text for r in drop_recurring_lines(frame(spark, list(enumerate(made)))).collect()}
     assert {i for i, t in got.items() if not t} == {1, 3, 25}
-    monkeypatch.setattr("lettermill.llm.lines.PAIRS", 3)  # the leaf is split first
+    monkeypatch.setattr("lettermill.llm.lines.TOGETHER", 3)  # the leaf is brought down first
+    monkeypatch.setattr("lettermill.llm.lines.BROADCAST_BYTES", 0)  # and joins shuffle
     got = {r.doc_id: r.text for r in drop_recurring_lines(frame(spark, list(enumerate(made)))).collect()}
     assert {i for i, t in got.items() if not t} == {1, 3, 25}
 
 
+def tree_by_hand(texts, min_docs=2):
+    """What the tree drops, line by line; leaves are small."""
+    field = re.compile(r"(?<![^ ])(?=[^ 0-9]*[0-9])[^ ]+")
+    order = lambda w: int.from_bytes(xxhash.xxh64(w.encode(), seed=42).digest(), "big", signed=True)
+    lines = {i: [field.sub("<*>", " ".join(re.split(r"[ \t\n\x0b\f\r]+", x)).strip(" ")) for x in t.split("\n")] for i, t in texts.items()}
+    leaves = {}
+    for w in {w for ws in lines.values() for w in ws if w}:
+        leaves.setdefault((len(w.split(" ")), *w.split(" ")[:2]), []).append(w)
+    template = {}
+    for ws in leaves.values():
+        leads = []
+        for w in sorted(ws, key=order):
+            x = w.split(" ")
+            agree = [y for y in leads if sum(a == b for a, b in zip(x, y.split(" "), strict=True)) >= max(math.ceil(len(x) * 0.6), 3)]
+            if not agree:
+                leads.append(w)
+            template[w] = (agree or [w])[0]
+    docs = {}
+    for i, ws in lines.items():
+        for w in filter(None, ws):
+            docs.setdefault(template[w], set()).add(i)
+    gone = {t: min(d) for t, d in docs.items() if len(d) >= min_docs}
+    return {i: "\n".join(x for x, w in zip(texts[i].split("\n"), ws, strict=True) if not w or gone.get(template[w], i) == i) for i, ws in lines.items()}
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_lines_equal_brute_force(spark, docs, monkeypatch, small):
+    if small:
+        monkeypatch.setattr("lettermill.llm.lines.BROADCAST_BYTES", 0)
+    texts = {i: t for i, t in docs.items() if t is not None}
+    for least in (2, 3):
+        got = {r.doc_id: r.text for r in drop_recurring_lines(frame(spark, list(texts.items())), min_docs=least, min_tokens=1).collect()}
+        assert got == tree_by_hand(texts, least)
+
+
+def test_planted_templates_are_found(spark, monkeypatch):
+    names = [f"{a}{b}" for a in ("al", "bo", "ca", "du", "ev") for b in ("ice", "bby", "rol", "ncan", "elyn", "ina", "ert", "ton")]
+    forms = [lambda x: f"dear reader {x} has left a note on our front page", lambda x: f"dear reader we thank our good friend from far off {x}", lambda x: f"{x} wrote to us about the weather of last week", lambda x: f"please ask {x}"]
+    own = [" ".join(f"own{chr(97 + i // 26)}{chr(97 + i % 26)}{chr(97 + k)}" for k in range(12)) for i in range(160)]
+    rows = [(40 * f + i, f"{own[40 * f + i]}\n{form(x)}") for f, form in enumerate(forms) for i, x in enumerate(names)]
+    for together in (128, 8):
+        monkeypatch.setattr("lettermill.llm.lines.TOGETHER", together)
+        got = {r.doc_id: r for r in drop_recurring_lines(frame(spark, rows), min_tokens=1).collect()}
+        assert all(r.text.split("\n")[0] == own[i] for i, r in got.items())  # nobody's own line goes
+        # the first two forms share a leaf with each other's lines; a template whose first token varies can't share a leaf, nor one of too few places
+        assert [sum(got[40 * f + i].n_dropped for i in range(40)) for f in range(4)] == [39, 39, 0, 0]
+
+
+def test_lines_without_id_or_with_a_repeated_one(spark):
+    line = "this line stands in many documents of the table"
+    rows = [(None, f"{line}\nown words of the first without an id here"), (1, f"{line}\nunique sentence of the first row with this id"), (1, f"another unique sentence of this id\n{line}"), (2, line), (2, line), (None, line)]
+    got = sorted((r.doc_id is None, r.doc_id, r.text) for r in drop_recurring_lines(frame(spark, rows)).collect())
+    kept = [x for x in got if line in x[2]]
+    assert len(got) == 6 and len(kept) == 1 and kept[0][1] == 1
+    assert {x[2] for x in got} - {kept[0][2]} <= {"", "own words of the first without an id here", "unique sentence of the first row with this id", "another unique sentence of this id"}
+    assert sum("unique sentence" in x[2] for x in got) == 2
+
+
 # --- 10 -----------------------------------------------------------------------
 
 
