@@ -1,27 +1,34 @@
 """Main text of web pages by nearest-URL page differencing.
 
-A page is read into lines (blocks). Markup says of some lines that they are the article or that
-they can't be. The lines it leaves open are compared with the pages whose URLs are nearest within
-the host: lines are aligned by longest common subsequence, and what both pages share is template.
+A page is read into lines (blocks). Every page is compared with the page whose URL is nearest within
+the host and that is no copy of it: their lines are aligned by longest common subsequence, and shared
+lines are deleted. Markup is evidence on single lines: what stands in a menu, footer, form or the
+like can't be the article, and a line inside an article element is only deleted if most pages of the
+host have it too.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
-from collections import Counter, defaultdict
+from collections import Counter, defaultdict, deque
 from html import unescape
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lettermill.llm.common import prepare
+from lettermill.llm.common import prepare, released, stored
 
-#: Pages are dealt by URL to stretches between so many keys at most, those of a fixed choice of pages.
-STRETCHES = 4096
-#: A neighbour that shares more than this of a page's open lines is a copy and says nothing.
-COPY = 0.6
+#: Pages of a stretch of URLs, and stretches at most; so many keys are looked at for each stretch to place its ends.
+STRETCH_PAGES, STRETCHES, LOOKS = 5_000, 20_000, 20
+#: A neighbour that shares more than this of what a page has besides the host's recurring lines is a copy and says nothing.
+COPY = 0.5
+#: A line recurs on a host if this share of its different pages has it, and so many at least.
+RECURRING, RECURRING_PAGES = 0.5, 3
+#: Pages that are looked at ahead for one that is no copy, where there is none before.
+AHEAD = 16
 
 # Elements that end a block, that hold no text of the page, that aren't the article.
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe legend li main menu nav noscript ol optgroup option p pre search section select summary table tbody td template textarea tfoot th thead title tr ul".split())
@@ -160,19 +167,56 @@ def common(a: list[str], b: list[str]) -> list[int]:
     return [*range(head), *reversed(middle), *range(len(a) - tail, len(a))]
 
 
-def article(lines: list[tuple[int, str]], neighbours: list[list[str]]) -> str:
-    """The page's text: its MAIN lines; without any, its OPEN lines but those shared with the nearest page that is no copy."""
-    own = [text for kind, text in lines if kind == MAIN]
-    if own:
-        return "\n".join(own)
-    texts = [text for _, text in lines]
-    for other in neighbours:
-        both = Counter(texts) & Counter(other)
-        if not both or sum(len(t) * c for t, c in both.items()) > COPY * sum(map(len, texts)):
-            continue
-        shared = set(common(texts, other))
-        return "\n".join(t for i, t in enumerate(texts) if i not in shared)
-    return "\n".join(texts)
+class Page:
+    """The lines of a page, and what it has of its own besides the host's recurring lines."""
+
+    def __init__(self, key: str, kinds: list[int], lines: list[str], recurring: frozenset[int]):
+        self.key, self.kinds, self.lines = key, kinds, lines
+        self.recurs = [line_hash(t) in recurring for t in lines]
+        self.all = Counter(lines)
+        self.own = Counter(t for t, r in zip(lines, self.recurs, strict=True) if not r)
+        self.size = sum(len(t) * c for t, c in self.own.items())
+
+    def copies(self, other: Page) -> bool:
+        both = self.own & other.all
+        return sum(len(t) * c for t, c in both.items()) > COPY * self.size
+
+    def text(self, other: Page | None) -> str:
+        """What is left of the page without the lines it shares with the other; without another, those that recur on the host go."""
+        shared = set(common(self.lines, other.lines)) if other else {i for i, r in enumerate(self.recurs) if r}
+        marked = MAIN in self.kinds
+        keep = (i not in shared or (kind == MAIN and not r) for i, (kind, r) in enumerate(zip(self.kinds, self.recurs, strict=True)))
+        return "\n".join(t for t, kind, k in zip(self.lines, self.kinds, keep, strict=True) if k and (kind == MAIN or not marked))
+
+
+def line_hash(text: str) -> int:
+    x = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))
+    return x - (1 << 64) if x >= 1 << 63 else x
+
+
+def differences(pages):
+    """(page, other) for pages of one host in the order of their URLs: the nearest page that is no copy, before or else ahead.
+
+    Copies that stand together count as one page, so that each meets what stands before them.
+    """
+    before: list[Page] = []
+    ahead: deque[Page] = deque()
+
+    def next_one():
+        page = ahead.popleft()
+        other = next((x for x in (*reversed(before), *ahead) if not page.copies(x)), None)
+        if before and page.copies(before[-1]):
+            before[-1] = page
+        else:
+            before[:] = [*before, page][-2:]
+        return page, other
+
+    for page in pages:
+        ahead.append(page)
+        if len(ahead) > AHEAD:
+            yield next_one()
+    while ahead:
+        yield next_one()
 
 
 def url_key(url: str | None) -> tuple[str, str]:
@@ -183,83 +227,153 @@ def url_key(url: str | None) -> tuple[str, str]:
     return host.lower(), re.sub(r"\d+", lambda m: m[0].lstrip("0").rjust(12, "0"), path.rstrip("/"))
 
 
-def _key_column():
-    @F.pandas_udf("string")
-    def key(urls):
-        return urls.map(lambda u: "\x01".join(url_key(u)))
+def page_key(url: str | None, id_: object, html: str) -> str:
+    """Orders pages by host and path; equal URLs by a hash of the page, so that they can be parted too."""
+    host, path = url_key(url)
+    return f"{host}\x01{path}\x02{xxhash.xxh64_hexdigest(f'{id_}{html}'.encode('utf-8', 'surrogatepass'))}"
+
+
+def _host(key: str) -> str:
+    return key.split("\x01", 1)[0]
+
 
-    return key
+def _sketches(df: DataFrame) -> DataFrame:
+    """(key, host, page, lines): each page's key, and the hashes of all of its lines together and of each."""
+
+    def run(batches):
+        for batch in batches:
+            keys, whole, lines = [], [], []
+            for id_, url, html in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                keys.append(page_key(url, id_, html or ""))
+                lines.append(sorted({line_hash(t) for _, t in page_lines(html or "")}))
+                whole.append(line_hash(str(lines[-1])))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([_host(k) for k in keys], pa.string()), pa.array(whole, pa.int64()), pa.array(lines, pa.list_(pa.int64()))], names=["key", "host", "page", "lines"])
+
+    return df.mapInArrow(released(run), "key string, host string, page long, lines array<long>")
+
+
+def recurring_lines(sketches: DataFrame) -> DataFrame:
+    """(host, lines): hashes of each host's recurring lines, at most 1 / RECURRING times as many as a page has on average."""
+    once = sketches.groupBy("host", "page").agg(F.first("lines").alias("lines"))  # equal pages count once
+    size = once.groupBy("host").agg(F.count("*").alias("pages"))
+    often = once.select("host", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= RECURRING_PAGES)
+    return often.join(size, "host").where(F.col("n") >= RECURRING * F.col("pages")).groupBy("host").agg(F.collect_list("line").alias("lines"))
+
+
+def _bounds(sketches: DataFrame) -> list[str]:
+    """Keys that part the pages in stretches of similar counts: quantiles of keys chosen by their hash."""
+    pages = sketches.count()
+    want = min(STRETCHES, pages // STRETCH_PAGES) + 1
+    if want == 1:
+        return []
+    every = max(1, pages // (want * LOOKS))
+    keys = sorted(r.key for r in sketches.where(F.pmod(F.xxhash64("key"), F.lit(every)) == 0).select("key").collect())
+    return sorted({keys[i * len(keys) // want] for i in range(1, want)}) if keys else []
 
 
 def extract_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Main text of each page: id, url, text, n_chars.
 
     Null or empty html gives an empty text; a null url counts as a host of its own kind (empty).
-    Pages of equal URLs are neighbours in the order of their ids; repeated rows stay. A page alone
-    on its host is judged by its markup only. Other columns are dropped; an empty table gives an
-    empty result. Nothing is capped.
+    Pages of equal URLs are neighbours in the order of a hash; repeated rows stay. A page with copies
+    only in reach loses the host's recurring lines; one alone on its host is judged by its markup. Null ids stay null; other columns are
+    dropped; an empty table gives an empty result. Nothing is capped.
     """
     prepare(df.sparkSession)
-    spark = df.sparkSession
-    key = _key_column()
-    keys = df.select(F.col(id_col).alias("id"), key(F.coalesce(url_col, F.lit(""))).alias("key"))
-    # exact neighbours across stretches: each stretch also gets the last page before it and the first after it
-    bounds = sorted({r.key for r in keys.orderBy(F.xxhash64("key"), "key").limit(STRETCHES).collect()})
-    ends = keys.withColumn("part", _part(bounds)("key")).groupBy("part").agg(F.min(F.struct("key", "id")).alias("lo"), F.max(F.struct("key", "id")).alias("hi")).orderBy("part").collect()
-    ghost = []
-    for a, b in zip(ends, ends[1:], strict=False):
-        if a.hi.key.split("\x01")[0] == b.lo.key.split("\x01")[0]:
-            ghost += [(b.part, a.hi.id, a.hi.key), (a.part, b.lo.id, b.lo.key)]
+    given = df.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html"))
+    sketches = stored(_sketches(given), "page-sketches")
+    bounds = _bounds(sketches)
+    # each stretch also gets the last page before it and the first after it, if the host goes on
+    ghosts = _ghosts(sketches, bounds)
 
     def read(batches):
         for batch in batches:
-            out: list[list] = [[] for _ in range(4)]
-            for url, html in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                k = "\x01".join(url_key(url))
-                lines = page_lines(html or "")
-                for column, value in zip(out, (k, bisect_right(bounds, k), [kind for kind, _ in lines], [text for _, text in lines]), strict=True):
-                    column.append(value)
-            cols = [pa.array(x, t) for x, t in zip(out, (pa.string(), pa.int32(), pa.list_(pa.int8()), pa.list_(pa.string())), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], names=["id", "url", "key", "part", "kinds", "lines"])
-
-    id_type = dict(df.dtypes)[id_col]
-    schema = f"id {id_type}, url string, key string, part int, kinds array<byte>, lines array<string>"
-    pages = df.select(F.col(id_col), F.col(url_col).cast("string"), F.col(html_col)).mapInArrow(read, schema).withColumn("ghost", F.lit(False))
-    if ghost:
-        edge = spark.createDataFrame(ghost, f"to int, gid {id_type}, gkey string")
-        wanted = F.broadcast(edge.select("gid").distinct())
-        extra = df.join(wanted, df[id_col].eqNullSafe(wanted["gid"]), "left_semi").select(F.col(id_col), F.col(url_col).cast("string"), F.col(html_col)).mapInArrow(read, schema)
-        extra = extra.join(F.broadcast(edge), extra["id"].eqNullSafe(edge["gid"]) & (extra["key"] == edge["gkey"])).select("id", "url", "key", F.col("to").alias("part"), "kinds", "lines", F.lit(True).alias("ghost"))
-        pages = pages.unionByName(extra)
+            for at in range(0, batch.num_rows, 200):
+                out: list[list] = [[] for _ in range(7)]
+                for id_, url, html in zip(*(batch.column(k).slice(at, 200).to_pylist() for k in range(3)), strict=True):
+                    key, lines = page_key(url, id_, html or ""), page_lines(html or "")
+                    for part, ghost in [(bisect_right(bounds, key), False), *((p, True) for p in ghosts.get(key, ()))]:
+                        for column, value in zip(out, (id_, url, key, part, [kind for kind, _ in lines], [text for _, text in lines], ghost), strict=True):
+                            column.append(value)
+                types = (batch.schema.field(0).type, pa.string(), pa.string(), pa.int32(), pa.list_(pa.int8()), pa.list_(pa.string()), pa.bool_())
+                cols = [pa.array(x, t) for x, t in zip(out, types, strict=True)]
+                yield pa.RecordBatch.from_arrays([*cols, pa.nulls(len(out[0]), pa.list_(pa.int64()))], names=["id", "url", "key", "part", "kinds", "lines", "ghost", "recurring"])
+
+    def head(batches):
+        for batch in batches:
+            hosts, lines = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            rows = [(f"{h}\x01", p, r) for h, r in zip(hosts, lines, strict=True) for p in range(bisect_right(bounds, f"{h}\x01"), bisect_right(bounds, f"{h}\x02") + 1)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))], names=["key", "part", "recurring"])
+
+    kind = dict(given.dtypes)["id"]
+    pages = given.mapInArrow(released(read), f"id {kind}, url string, key string, part int, kinds array<byte>, lines array<string>, ghost boolean, recurring array<long>")
+    # a host's recurring lines stand before its pages in each of its stretches
+    heads = recurring_lines(sketches).mapInArrow(head, "key string, part int, recurring array<long>")
+    pages = pages.unionByName(heads.withColumn("ghost", F.lit(True)), allowMissingColumns=True)
 
     def differ(batches):
-        before, held, after = None, None, None  # (part, host, texts) of the page before; the page in hand
+        host, recurring, rows, types = None, frozenset(), [], None
+
+        def hosts():
+            """Pages one after the other, in runs of one host and stretch."""
+            nonlocal types, recurring
+            for batch in batches:
+                types = batch.schema
+                for row in batch.to_pylist():
+                    yield (row["part"], _host(row["key"])), row
+
+        def run(first, rest):
+            """Pages of the run that begins with the row ``first``; what comes after is left in ``rest``."""
+            nonlocal recurring
+            recurring = frozenset()
+            name, row = first
+            while row is not None:
+                if row["recurring"] is not None:
+                    recurring = frozenset(row["recurring"])
+                else:
+                    page = Page(row["key"], row["kinds"], row["lines"], recurring)
+                    page.row = row
+                    yield page
+                following = next(rest, (None, None))
+                if following[0] != name:
+                    left.append(following)
+                    return
+                row = following[1]
+
+        stream, left = hosts(), []
+        first = next(stream, (None, None))
+        while first[1] is not None:
+            for page, other in differences(run(first, stream)):
+                if not page.row["ghost"]:
+                    rows.append((page.row["id"], page.row["url"], page.text(other)))
+                if len(rows) >= 200:
+                    yield _texts(rows, types)
+                    rows = []
+            first = left.pop() if left else (None, None)
+        if rows:
+            yield _texts(rows, types)
+
+    found = pages.repartition("part").sortWithinPartitions("part", "key").mapInArrow(released(differ), f"id {kind}, url string, text string, n_chars long")
+    return found.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", "n_chars")
 
-        def done(page, neighbours):
-            return page["id"], page["url"], article(list(zip(page["kinds"], page["lines"], strict=True)), [n["lines"] for n in neighbours if n and (n["part"], n["host"]) == (page["part"], page["host"])])
 
-        for batch in batches:
-            out = []
-            for row in batch.to_pylist():
-                row["host"] = row["key"].split("\x01")[0]
-                if held and not held["ghost"]:
-                    out.append(done(held, [before, row]))
-                before, held = held, row
-            yield _table(out, batch.schema)
-            after = batch.schema
-        if held and not held["ghost"]:
-            yield _table([done(held, [before])], after)
-
-    def _table(rows, schema):
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], schema.field("id").type), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string()), pa.array([len(r[2]) for r in rows], pa.int64())], names=["id", "url", "text", "n_chars"])
-
-    found = pages.repartition("part").sortWithinPartitions("part", "key", "id").mapInArrow(differ, f"id {id_type}, url string, text string, n_chars long")
-    return found.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", "n_chars")
+def _texts(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], schema.field("id").type), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string()), pa.array([len(r[2]) for r in rows], pa.int64())], names=["id", "url", "text", "n_chars"])
+
 
+def _ghosts(sketches: DataFrame, bounds: list[str]) -> dict[str, list[int]]:
+    """Stretches that get a page besides its own, by the page's key."""
+    if not bounds:
+        return {}
 
-def _part(bounds: list[str]):
     @F.pandas_udf("int")
     def part(keys):
         return keys.map(lambda k: bisect_right(bounds, k))
 
-    return part
+    ends = sketches.withColumn("part", part("key")).groupBy("part").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).orderBy("part").collect()
+    found: dict[str, list[int]] = {}
+    for a, b in zip(ends, ends[1:], strict=False):
+        if _host(a.hi) == _host(b.lo):
+            found.setdefault(a.hi, []).append(b.part)
+            found.setdefault(b.lo, []).append(a.part)
+    return found

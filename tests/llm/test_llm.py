@@ -21,7 +21,7 @@ from lettermill.llm.common import ALNUM, SPACED, Words
 from lettermill.llm.components import connected_components
 from lettermill.llm.decontaminate import decontaminate, find_contamination
 from lettermill.llm.fingerprints import fingerprint_documents, fingerprint_edits
-from lettermill.llm.html import article, common, extract_text, page_lines
+from lettermill.llm.html import MAIN, Page, common, extract_text, line_hash, page_lines, url_key
 from lettermill.llm.licenses import scan_licenses
 from lettermill.llm.lines import drop_recurring_lines
 from lettermill.llm.neardup import near_duplicates
@@ -528,23 +528,70 @@ def test_lines_without_id_or_with_a_repeated_one(spark):
 # --- 10 -----------------------------------------------------------------------
 
 
+def alone(html):
+    lines = page_lines(html)
+    return Page("k", [kind for kind, _ in lines], [text for _, text in lines], frozenset()).text(None)
+
+
 def test_html_lines():
     page = """<html><head><title>T</title></head><body class="home"><header>H</header><nav><ul><li>m</ul></nav><!-- <p>no</p> --><div class="ad x">ad</div>
     <article><h1>A &amp; b</h1><p>one<br>two &#8212; <b>th</b>ree<p>four &lt;x&gt;&nbsp;y<div class="comments"><p>c</p></div><script>"</p>"</script></article><p>after</p><footer>f</footer>"""
-    assert article(page_lines(page), []) == "A & b\none two — three\nfour <x> y"
-    assert page_lines("") == [] and page_lines("a < b <") == [(0, "a < b <")] and article(page_lines("<p>x<aside>y</aside>z"), []) == "x\nz"
-
-
-def test_page_differencing(spark):
-    page = lambda i: f"<div>Site name</div><div>Home | About</div><p>Own words of page {i} alone {i}</p><p>And more of page number {i}</p><div>All the rest (c)</div>"
-    rows = [(i, f"http://h.example/a/{i}?q#x", page(i)) for i in range(12)] + [(50, "http://other.example/", page(50)), (51, None, None), (52, "http://h.example/a/3", page(3)), (53, "", "")]
+    assert alone(page) == "A & b\none two — three\nfour <x> y"
+    assert page_lines("") == [] and page_lines("a < b <") == [(0, "a < b <")] and alone("<p>x<aside>y</aside>z") == "x\nz"
+
+
+@pytest.mark.parametrize("pages", [5000, 3])
+def test_page_differencing(spark, monkeypatch, pages):
+    monkeypatch.setattr("lettermill.llm.html.STRETCH_PAGES", pages)
+    page = lambda i, tag="div": f"<div>Site name</div><div>Home | About</div><{tag}><p>Own words of page {i} alone {i}</p><p>And more of page number {i}</p><div>Read our paper edition</div></{tag}><div>All the rest (c)</div>"
+    want = lambda i: f"Own words of page {i} alone {i}\nAnd more of page number {i}"
+    rows = [(i, f"http://h.example/a/{i}?q#x", page(i)) for i in range(12)] + [(50, "http://other.example/", page(50)), (51, None, None), (52, "http://h.example/a/3", page(3)), (53, "", ""), (None, "http://h.example/a/20", page(20))]
+    # a template of most of the text, many copies of a page at one URL, and marked articles with a notice inside
+    rows += [(100 + i, f"http://m.example/n/{i}", page(i, "article")) for i in range(9)] + [(200 + i, "http://h.example/a/7", page(7)) for i in range(30)]
     df = spark.createDataFrame([(*r, "t", 1) for r in rows], "page_id long, url string, html string, text string, n_chars int")
     got = {r.page_id: r for r in extract_text(df.repartition(3)).collect()}
-    assert len(got) == len(rows) and got[5].text == "Own words of page 5 alone 5\nAnd more of page number 5" and got[3].text == got[52].text
-    assert got[50].text.startswith("Site name") and got[51].text == got[53].text == "" and got[5].n_chars == len(got[5].text)
+    assert len(got) == len(rows) and got[50].text.startswith("Site name") and got[51].text == got[53].text == "" and got[5].n_chars == len(got[5].text)
+    assert [got[i].text for i in (*range(12), 52, None)] == [want(i) for i in (*range(12), 3, 20)]
+    assert {got[200 + i].text for i in range(30)} == {want(7)} and [got[100 + i].text for i in range(9)] == [want(i) for i in range(9)]
     assert extract_text(df.limit(0)).count() == 0
 
 
+def differenced_by_hand(pages):
+    """Each page's text: the nearest page of the host, in the order of URLs, that is no copy; no two pages are copies that stand together."""
+    out, hosts = {}, {}
+    for i, url, html in sorted(pages, key=lambda p: url_key(p[1])):
+        hosts.setdefault(url_key(url)[0], []).append((i, page_lines(html)))
+    for rows in hosts.values():
+        count = Counter(t for _, lines in rows for t in {t for _, t in lines})
+        recurs = {t for t, n in count.items() if n >= max(3, len(rows) / 2)}
+        for k, (i, lines) in enumerate(rows):
+            texts = [t for _, t in lines]
+            own = Counter(t for t in texts if t not in recurs)
+            other = None
+            for j in [*range(k - 1, max(-1, k - 3), -1), *range(k + 1, min(len(rows), k + 17))]:
+                both = own & Counter(t for _, t in rows[j][1])
+                if sum(len(t) * c for t, c in both.items()) <= sum(len(t) * c for t, c in own.items()) / 2:
+                    other = [t for _, t in rows[j][1]]
+                    break
+            shared = set(common(texts, other)) if other is not None else {n for n, t in enumerate(texts) if t in recurs}
+            marked = any(kind == MAIN for kind, _ in lines)
+            out[i] = "\n".join(t for n, (kind, t) in enumerate(lines) if (kind == MAIN or not marked) and (n not in shared or kind == MAIN and t not in recurs))
+    return out
+
+
+def test_html_equals_brute_force(spark):
+    pages = [(r.page_id, r.url, r.html) for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    for change in (lambda h: h, lambda h: h.replace("<article>", "<div>").replace("</article>", "</div>")):
+        given = [(i, u, change(h)) for i, u, h in pages]
+        got = {r.page_id: r.text for r in extract_text(spark.createDataFrame(given, "page_id long, url string, html string")).collect()}
+        want = differenced_by_hand(given)
+        assert sum(got[i] == want[i] for i in want) == len(want) == len(got)
+
+
+def test_line_hash_is_signed():
+    assert all(-(1 << 63) <= line_hash(str(i)) < 1 << 63 for i in range(50))
+
+
 def test_common_is_longest():
     import random
 
