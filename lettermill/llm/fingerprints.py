@@ -7,6 +7,8 @@ are compared, and different texts under one hash get different fingerprints.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,8 +16,8 @@ from lettermill.llm.common import stored
 
 #: A side of a join is broadcast up to so many bytes; beyond it, the join shuffles.
 BROADCAST_BYTES = 32 << 20
-#: Coarse stretches of ids that are counted to place the fine ones.
-STRETCHES = 4096
+#: Rows of a stretch of ids, and stretches at most; so many keys are looked at for each stretch to place its ends.
+STRETCH_ROWS, STRETCHES, LOOKS = 20_000, 20_000, 20
 
 
 def canonical(text: Column) -> Column:
@@ -35,61 +37,73 @@ def _hex(a: str, b: str) -> Column:
     return F.lower(F.concat(F.lpad(F.hex(a), 16, "0"), F.lpad(F.hex(b), 16, "0")))
 
 
-def _joined(left: DataFrame, right: DataFrame, on: str | list[str], width: int, how: str = "inner") -> DataFrame:
-    """Join; the right side, a stored table of ``width`` bytes a row, is broadcast if it is known to be small."""
-    return left.join(F.broadcast(right) if right.count() * width <= BROADCAST_BYTES else right, on, how)
+def _small(df: DataFrame, width: int) -> DataFrame:
+    """The stored table, to be broadcast if its rows of ``width`` bytes are known to be few."""
+    return F.broadcast(df) if df.count() * width <= BROADCAST_BYTES else df
+
 
+def _collisions(members: DataFrame) -> DataFrame | None:
+    """(h1, h2, canon, ordinal) of hashes that stand for more than one canonical text, if there are any; columns of members: h1, h2, canon.
 
-def _collisions(members: DataFrame) -> DataFrame:
-    """(row, kind, ordinal) of rows whose hash stands for more than one canonical text; columns of members: row, kind, h1, h2, canon."""
-    mixed = members.groupBy("h1", "h2").agg(F.min("canon").alias("lo"), F.max("canon").alias("hi")).where("lo <> hi").select("h1", "h2")
-    texts = members.join(mixed, ["h1", "h2"], "left_semi")
-    each = texts.select("h1", "h2", "canon").distinct().withColumn("ordinal", F.row_number().over(Window.partitionBy("h1", "h2").orderBy("canon")))
-    return texts.join(each, ["h1", "h2", "canon"]).select("row", "kind", "ordinal")
+    Equal texts are put together where they are read, so a large group of copies is a row a task.
+    """
+    mixed = stored(members.groupBy("h1", "h2").agg(F.min("canon").alias("lo"), F.max("canon").alias("hi")).where("lo <> hi").select("h1", "h2"), "mixed-hashes")
+    if mixed.isEmpty():
+        return None
+    texts = members.join(_small(mixed, 16), ["h1", "h2"], "left_semi").groupBy("h1", "h2", "canon").agg(F.lit(1).alias("one"))
+    # different texts of one 128-bit hash: few
+    return stored(texts.withColumn("ordinal", F.row_number().over(Window.partitionBy("h1", "h2").orderBy("canon"))).drop("one"), "collisions")
 
 
 def fingerprint_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Add fingerprint (hex) and copies (how many rows have it) to the rows.
 
     Null texts count as empty. Equal canonical texts have equal fingerprints, others have different
-    ones. Repeated rows stay; an empty table gives an empty result. Columns named like the new
-    ones are replaced.
+    ones. Repeated rows stay; null ids are like any others; an empty table gives an empty result.
+    Columns named like the new ones are replaced.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     keep = df.drop("fingerprint", "copies")
-    rows = keep.withColumns({"__canon": canonical(text)}).withColumns(dict(zip(("__h1", "__h2"), wide_hash(F.col("__canon")), strict=True)))
-    groups = rows.groupBy("__h1", "__h2").agg(F.count("*").alias("n")).where("n > 1")
-    mixed = rows.join(groups, ["__h1", "__h2"], "left_semi").groupBy("__h1", "__h2").agg(F.min("__canon").alias("lo"), F.max("__canon").alias("hi")).where("lo <> hi").select("__h1", "__h2")
-    odd = rows.join(mixed, ["__h1", "__h2"], "left_semi").select("__h1", "__h2", "__canon").distinct()
-    odd = odd.withColumn("__o", F.row_number().over(Window.partitionBy("__h1", "__h2").orderBy("__canon")))
-    named = rows.join(odd, ["__h1", "__h2", "__canon"], "left").withColumn("fingerprint", F.concat(_hex("__h1", "__h2"), F.coalesce(F.concat(F.lit("-"), F.col("__o")), F.lit(""))))
-    counts = named.groupBy("fingerprint").agg(F.count("*").alias("copies"))
-    return named.join(counts, "fingerprint").select(*keep.columns, "fingerprint", "copies")
-
-
-def _stretches(df: DataFrame, id_col: str, at_least: int) -> tuple[Column, int]:
-    """A column that deals rows to many stretches of ids of similar counts, rising with the id."""
-    lo, hi, n = df.agg(F.min(id_col), F.max(id_col), F.count(id_col)).first()
-    if not n:
-        return F.lit(0), 1
-    width = max(1, -(-(hi - lo + 1) // STRETCHES))
-    coarse = F.expr(f"cast((`{id_col}` - {lo}) div {width} as int)")
-    counts = [0] * STRETCHES
-    for k, c in df.where(F.col(id_col).isNotNull()).groupBy(coarse.alias("k")).count().collect():
-        counts[k] = c
-    want = max(1, min(20_000, n // at_least))
-    parts = [max(1, min(width, round(c / want))) for c in counts]
-    start, starts = 0, []
-    for p in parts:
-        starts.append(start)
-        start += p
-    array = lambda xs: F.array(*(F.lit(x) for x in xs))
-    within = F.expr(f"(`{id_col}` - {lo}) % {width}")
-    if start == STRETCHES:  # enough by themselves: neighbours are put together
-        group = max(1, STRETCHES // max(at_least, n // 20_000))
-        return F.coalesce((coarse / group).cast("int"), F.lit(-1)), STRETCHES // group + 1
-    fine = F.get(array(starts), coarse) + (within * F.get(array(parts), coarse) / width).cast("int")
-    return F.coalesce(fine, F.lit(-1)), start
+    rows = keep.withColumn("__canon", canonical(text)).withColumns(dict(zip(("__h1", "__h2"), wide_hash(F.col("__canon")), strict=True)))
+    hashes = rows.select(F.col("__h1").alias("h1"), F.col("__h2").alias("h2"), F.col("__canon").alias("canon"))
+    groups = _small(stored(hashes.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1"), "equal-hashes"), 24)
+    odd = _collisions(hashes.join(groups.drop("n"), ["h1", "h2"], "left_semi"))
+    if odd is None:  # a hash is a text
+        named = rows.join(groups.toDF("__g1", "__g2", "__n"), (F.col("__h1") == F.col("__g1")) & (F.col("__h2") == F.col("__g2")), "left")
+        return named.select(*keep.columns, _hex("__h1", "__h2").alias("fingerprint"), F.coalesce("__n", F.lit(1)).cast("long").alias("copies"))
+    named = rows.join(odd.toDF("__g1", "__g2", "__text", "__o"), (F.col("__h1") == F.col("__g1")) & (F.col("__h2") == F.col("__g2")) & (F.col("__canon") == F.col("__text")), "left")
+    named = named.select(*keep.columns, F.concat(_hex("__h1", "__h2"), F.coalesce(F.concat(F.lit("-"), F.col("__o")), F.lit(""))).alias("fingerprint"))
+    counts = stored(named.groupBy("fingerprint").agg(F.count("*").alias("copies")), "copies")
+    return named.join(_small(counts, 60), "fingerprint").select(*keep.columns, "fingerprint", "copies")
+
+
+def _stretches(rows: DataFrame) -> Column:
+    """A column that deals rows (id, x) to stretches of similar counts, rising with (id, x); a null id comes first.
+
+    The ends are quantiles of keys chosen by their hash, whatever the range of ids.
+    """
+    n = rows.count()
+    want = min(STRETCHES, max(n // STRETCH_ROWS, 2 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    if n < 2 * want:
+        return F.lit(0)
+    every = max(1, n // (want * LOOKS))
+    kind = dict(rows.dtypes)["id"]
+    keys = sorted({(r.id is not None, r.id, r.x) for r in rows.where(F.pmod(F.xxhash64("id", "x"), F.lit(every)) == 0).select("id", "x").collect()}, key=lambda k: (k[0], k[1] if k[0] else 0, k[2]))
+    if not keys:
+        return F.lit(0)
+    ends = [keys[i * len(keys) // want] for i in range(1, want)]
+    ends = [k for i, k in enumerate(ends) if not i or k != ends[i - 1]]
+    # two steps, so that a row is held against a few ends only
+    step = max(1, int(len(ends) ** 0.5))
+    groups = [ends[i : i + step] for i in range(0, len(ends), step)]
+    as_json = lambda xs: [{"id": i, "x": x} for _, i, x in xs]
+    key_type = f"struct<id: {kind}, x: long>"
+    firsts = F.from_json(F.lit(json.dumps(as_json([g[0] for g in groups]))), f"array<{key_type}>")
+    each = F.from_json(F.lit(json.dumps([as_json(g) for g in groups])), f"array<array<{key_type}>>")
+    key = F.struct("id", "x")
+    group = F.size(F.filter(firsts, lambda e: e <= key))
+    within = F.size(F.filter(F.get(each, group - 1), lambda e: e <= key))
+    return F.when(group == 0, 0).otherwise((group - 1) * step + within)
 
 
 def fingerprint_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -99,50 +113,58 @@ def fingerprint_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next (1 if the
     fingerprints are equal, else 0: an exact digest knows no nearer or farther). Null texts count
     as empty; a single document is its own next; equal ids are ordered by their texts' hashes, null
-    ids come last; an empty table gives an empty result. Ids are integers.
+    ids come last; an empty table gives an empty result. Ids are integers (any) or strings.
     """
     spark = df.sparkSession
-    deal, _ = _stretches(df, id_col, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = df.select(F.col(id_col).alias("id"), text.alias("text"), deal.alias("part"))
-    canon = rows.withColumn("canon", canonical(F.col("text")))
-    canon = canon.select("id", "text", "part", *(h.alias(x) for h, x in zip(wide_hash(F.col("canon")), ("h1", "h2"), strict=True)))
-    # the first row of each stretch is also put at the end of the stretch above it
-    tops = {r.part: r.top for r in rows.groupBy("part").agg(F.max(F.struct(F.coalesce("id", F.lit(-(1 << 63))).alias("id"), F.xxhash64("text").alias("x"))).alias("top")).collect()}
+    rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = rows.withColumn("x", F.xxhash64("text"))
+    rows = rows.withColumn("part", _stretches(rows.select("id", "x")))
+    # the first row of each stretch is also put at the end of the stretch above it; a row a stretch is collected
+    tops = {r.part: r.top for r in rows.groupBy("part").agg(F.max(F.struct(F.col("id").isNotNull().alias("some"), "id", "x")).alias("top")).collect()}
     order = sorted(tops, reverse=True)
-    edges = [(part, None if tops[below].id == -(1 << 63) else tops[below].id, tops[below].x) for part, below in zip(order, order[1:] + order[:1], strict=True)]
-    edge = spark.createDataFrame(edges, "above int, id long, x long")
-    ghosts = canon.join(F.broadcast(edge), canon["id"].eqNullSafe(edge["id"]) & (F.xxhash64(canon["text"]) == edge["x"])).select(canon["id"], "text", F.col("above").alias("part"), "h1", "h2").dropDuplicates(["part"]) if edges else canon.limit(0)
-    window = Window.partitionBy("part").orderBy(F.col("ghost"), F.col("id").desc_nulls_last(), F.xxhash64("text").desc())
-    both = canon.withColumn("ghost", F.lit(False)).unionByName(ghosts.withColumn("ghost", F.lit(True)))
-    ahead = both.select("id", "ghost", "text", "h1", "h2", *(F.lead(c).over(window).alias(f"next_{c}") for c in ("id", "text", "h1", "h2"))).where("not ghost")
-    n, third = F.char_length("text"), F.floor(F.char_length("text") / 3).cast("int")
+    edges = [(part, tops[below].id, tops[below].x) for part, below in zip(order, order[1:] + order[:1], strict=True)]
+    edge = F.broadcast(spark.createDataFrame(edges, f"above int, id {dict(rows.dtypes)['id']}, x long"))
+    ghosts = rows.join(edge, rows["id"].eqNullSafe(edge["id"]) & (rows["x"] == edge["x"])).select(rows["id"], "text", rows["x"], F.col("above").alias("part")).dropDuplicates(["part"])
+    window = Window.partitionBy("part").orderBy("ghost", F.col("id").desc_nulls_last(), F.col("x").desc())
+    both = rows.withColumn("ghost", F.lit(False)).unionByName(ghosts.withColumn("ghost", F.lit(True)))
+    both = both.withColumn("canon", canonical(F.col("text"))).select("id", "x", "text", "part", "ghost", *(h.alias(c) for h, c in zip(wide_hash(F.col("canon")), ("h1", "h2"), strict=True)))
+    ahead = both.select("id", "x", "ghost", "text", "h1", "h2", *(F.lead(c).over(window).alias(f"next_{c}") for c in ("id", "x", "text", "h1", "h2"))).where("not ghost")
+    third = F.floor(F.char_length("text") / 3).cast("int")
     edited = F.concat(F.left("text", F.char_length("text") - third), F.left("next_text", third))
-    done = ahead.select("id", "next_id", n.cast("long").alias("n_chars"), "h1", "h2", "next_h1", "next_h2", edited.alias("edited"))
+    done = ahead.select("id", "x", "next_id", "next_x", F.char_length("text").cast("long").alias("n_chars"), "h1", "h2", "next_h1", "next_h2", edited.alias("edited"))
     done = done.withColumn("canon", canonical(F.col("edited")))
-    done = done.select("id", "next_id", "n_chars", "h1", "h2", "next_h1", "next_h2", F.sha2("edited", 256).alias("edited_sha256"), *(h.alias(x) for h, x in zip(wide_hash(F.col("canon")), ("e1", "e2"), strict=True)))
+    done = done.select("id", "x", "next_id", "next_x", "n_chars", "h1", "h2", "next_h1", "next_h2", F.sha2("edited", 256).alias("edited_sha256"), *(h.alias(c) for h, c in zip(wide_hash(F.col("canon")), ("e1", "e2"), strict=True)))
     done = stored(done, "fingerprints")
 
     # bytes are compared where a hash occurs more than once
-    hashes = done.select(F.col("id").alias("row"), "next_id", F.lit(0).alias("kind"), "h1", "h2").unionByName(done.select(F.col("id").alias("row"), "next_id", F.lit(1).alias("kind"), F.col("e1").alias("h1"), F.col("e2").alias("h2")))
-    often = hashes.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
-    members = stored(hashes.join(often, ["h1", "h2"], "left_semi"), "equal-hashes")
-    texts = df.select(F.col(id_col).alias("row"), text.alias("text"))
-    own = _joined(texts, members, "row", 48)
-    plain = own.where("kind = 0").select("row", "kind", "h1", "h2", canonical(F.col("text")).alias("canon"))
-    altered = own.where("kind = 1")
-    after = df.select(F.col(id_col).alias("next_id"), text.alias("next_text"))
-    wanted = members.where("kind = 1").select("next_id").distinct()
-    after = _joined(after, stored(wanted, "next-ids"), "next_id", 16, "left_semi")
-    altered = altered.join(after, "next_id").select("row", "kind", "h1", "h2", edited.alias("edited")).select("row", "kind", "h1", "h2", canonical(F.col("edited")).alias("canon"))
-    odd = stored(_collisions(plain.unionByName(altered)), "collisions")
-    mark = lambda kind, x: odd.where(F.col("kind") == kind).select(F.col("row").alias(f"row_{x}"), F.concat(F.lit("-"), F.col("ordinal")).alias(x))
-    print_, eprint = _hex("h1", "h2"), _hex("e1", "e2")
-    nprint = _hex("next_h1", "next_h2")
-    if odd.isEmpty():
-        done = done.select("*", print_.alias("p"), eprint.alias("e"), nprint.alias("q"))
-    else:
-        a, b, c = mark(0, "a"), mark(1, "b"), mark(0, "c")
-        done = done.join(a, done["id"] == a["row_a"], "left").join(b, done["id"] == b["row_b"], "left").join(c, done["next_id"] == c["row_c"], "left")
-        done = done.select("*", F.concat(print_, F.coalesce("a", F.lit(""))).alias("p"), F.concat(eprint, F.coalesce("b", F.lit(""))).alias("e"), F.concat(nprint, F.coalesce("c", F.lit(""))).alias("q"))
+    row, after = F.struct("id", "x").alias("row"), F.struct(F.col("next_id").alias("id"), F.col("next_x").alias("x")).alias("after")
+    hashes = done.select(row, after, F.lit(0).alias("kind"), "h1", "h2").unionByName(done.select(row, after, F.lit(1).alias("kind"), F.col("e1").alias("h1"), F.col("e2").alias("h2")))
+    often = stored(hashes.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2"), "equal-hashes")
+    members = stored(hashes.join(_small(often, 16), ["h1", "h2"], "left_semi").distinct(), "members")
+    texts = rows.select(F.struct("id", "x").alias("row"), "text")
+    own = texts.join(_small(members, 64), "row")
+    plain = own.where("kind = 0").select("h1", "h2", canonical(F.col("text")).alias("canon"))
+    wanted = stored(members.where("kind = 1").select("after").distinct(), "next-rows")
+    following = rows.select(F.struct("id", "x").alias("after"), F.col("text").alias("next_text")).join(_small(wanted, 24), "after", "left_semi").dropDuplicates(["after"])
+    altered = own.where("kind = 1").join(following, "after").select("h1", "h2", edited.alias("edited")).select("h1", "h2", canonical(F.col("edited")).alias("canon"))
+    odd = _collisions(plain.unionByName(altered))
+    print_, eprint, nprint = _hex("h1", "h2"), _hex("e1", "e2"), _hex("next_h1", "next_h2")
+    if odd is not None:
+        done, (print_, eprint, nprint) = _told_apart(done, rows, odd, edited)
+    done = done.select("*", print_.alias("p"), eprint.alias("e"), nprint.alias("q"))
     return done.select(F.col("id").alias(id_col), "n_chars", "edited_sha256", F.col("p").alias("fingerprint"), F.col("e").alias("edited_fingerprint"), (F.col("p") == F.col("e")).cast("double").alias("near_edited"), (F.col("p") == F.col("q")).cast("double").alias("near_next"))
+
+
+def _told_apart(done: DataFrame, rows: DataFrame, odd: DataFrame, edited: Column) -> tuple[DataFrame, list[Column]]:
+    """Rows with the texts' numbers under their hashes, where a hash stands for several; and the three fingerprints."""
+    texts = rows.dropDuplicates(["id", "x"]).select(F.col("id").alias("t_id"), F.col("x").alias("t_x"), "text")
+    nexts = texts.toDF("n_id", "n_x", "next_text")
+    full = done.join(texts, F.col("id").eqNullSafe(F.col("t_id")) & (F.col("x") == F.col("t_x")))
+    full = full.join(nexts, F.col("next_id").eqNullSafe(F.col("n_id")) & (F.col("next_x") == F.col("n_x"))).drop("t_id", "t_x", "n_id", "n_x")
+    full = full.withColumns({"c0": canonical(F.col("text")), "c1": canonical(edited), "c2": canonical(F.col("next_text"))}).drop("text", "next_text")
+    out = []
+    for a, b, c in (("h1", "h2", "c0"), ("e1", "e2", "c1"), ("next_h1", "next_h2", "c2")):
+        number = odd.select(F.col("h1").alias(f"{c}1"), F.col("h2").alias(f"{c}2"), F.col("canon").alias(f"{c}t"), F.col("ordinal").alias(f"{c}o"))
+        full = full.join(number, (full[a] == number[f"{c}1"]) & (full[b] == number[f"{c}2"]) & (full[c] == number[f"{c}t"]), "left")
+        out.append(F.concat(_hex(a, b), F.coalesce(F.concat(F.lit("-"), F.col(f"{c}o")), F.lit(""))))
+    return full, out

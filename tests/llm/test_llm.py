@@ -393,6 +393,33 @@ def test_fingerprints_odd(spark):
     assert {r.copies for r in fingerprint_documents(frame(spark, ODD)).where("doc_id in (5, 6)").collect()} == {2}
 
 
+def test_fingerprints_of_any_ids(spark, monkeypatch):
+    monkeypatch.setattr("lettermill.llm.fingerprints.STRETCH_ROWS", 40)
+    monkeypatch.setattr("lettermill.llm.fingerprints.BROADCAST_BYTES", 0)
+    texts = {i * (7 if i % 2 else 1): f"text of {i % 50} " * (i % 9) for i in range(1500)} | {-(1 << 62): "low", (1 << 62): "high", (1 << 63) - 1: "text of 1 "}
+    check_prints({r.doc_id: r for r in fingerprint_edits(frame(spark, list(texts.items()))).collect()}, texts)
+    # rows without an id come last, equal ids in the order of their texts' hashes: whoever is next, each row has its own result
+    rows = [(None, f"no id {i} ab") for i in range(300)] + [(5, f"same id {i} abc") for i in range(300)] + [(5, "same id and text")] * 3 + [(6, None)]
+    got = fingerprint_edits(frame(spark, rows)).collect()
+    assert Counter((r.doc_id, r.n_chars) for r in got) == Counter((i, len(t or "")) for i, t in rows)
+    assert len({r.fingerprint for r in got}) == len({t for _, t in rows})
+
+
+def test_stretches_are_even(spark, monkeypatch):
+    from lettermill.llm.fingerprints import _stretches
+
+    monkeypatch.setattr("lettermill.llm.fingerprints.STRETCH_ROWS", 500)
+    from pyspark.sql import functions as F
+
+    ids = spark.range(1, 20_001).unionByName(spark.range(1 << 62, (1 << 62) + 1)).unionByName(spark.range(5000).select(F.lit(None).cast("long").alias("id")))
+    rows = ids.select("id", F.xxhash64(F.monotonically_increasing_id()).alias("x"))
+    rows = rows.withColumn("part", _stretches(rows))
+    counts = [r.asDict() for r in rows.groupBy("part").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi")).orderBy("part").collect()]
+    assert max(c["n"] for c in counts) < 1500 and sum(c["n"] for c in counts) == 25_001
+    some = [c for c in counts if c["lo"] is not None]
+    assert all(a["hi"] <= b["lo"] for a, b in zip(some, some[1:], strict=False))
+
+
 def test_fingerprint_collisions(spark, monkeypatch):
     from pyspark.sql import functions as F
 
