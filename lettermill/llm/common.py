@@ -11,6 +11,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -52,6 +53,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A side of a join is broadcast up to so many bytes; beyond it, the join shuffles.
+BROADCAST_BYTES = 32 << 20
+
+
+def small(df: DataFrame, width: int) -> DataFrame:
+    """The stored table, to be broadcast if its rows of ``width`` bytes are known to be few."""
+    return F.broadcast(df) if df.count() * width <= BROADCAST_BYTES else df
+
+
 def released(run):
     """The Arrow function ``run``, giving memory back to the system when its task ends: workers are used again."""
 
