@@ -1,6 +1,6 @@
 """Benchmark decontamination with suffix arrays of the training text.
 
-Each task is a shard: it sorts the suffixes of its documents' words, and every suffix of the test
+Each piece of a task's documents (1 MB) is a shard: its words' suffixes are sorted, and every suffix of the test
 items is looked up in it by binary search. Matches come back with place and length; documents are
 never shuffled.
 """
@@ -8,17 +8,18 @@ never shuffled.
 from __future__ import annotations
 
 import hashlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lettermill.llm.common import ALNUM, Words, encoded, pieces, prepare, stored
+from lettermill.llm.common import ALNUM, Words, encoded, pieces, prepare, released, small, stored
 
 WINDOW = 13
 #: Test items are looked up in blocks of so many bytes; a block is what tasks get at once.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 
 
 class TestSuffixes:
@@ -94,12 +95,12 @@ class SuffixArray:
         return window, self.place[np.repeat(a, b - a) + offset]
 
 
-def _longest(window: np.ndarray, place: np.ndarray, size: np.ndarray) -> int:
-    """Words of the longest verbatim match: hits of consecutive windows at consecutive places."""
+def _longest(window: np.ndarray, place: np.ndarray, size: np.ndarray, owner: np.ndarray) -> int:
+    """Words of the longest verbatim match: hits of consecutive windows of one item at consecutive places."""
     order = np.lexsort((place, place - window))
     w, p = window[order], place[order]
     new = np.ones(len(p), bool)
-    new[1:] = (np.diff(p) != 1) | (np.diff(w) != 1)
+    new[1:] = (np.diff(p) != 1) | (np.diff(w) != 1) | (np.diff(owner[w]) != 0)
     run = np.arange(len(p)) - np.flatnonzero(new)[np.cumsum(new) - 1]
     return int((run + size[w]).max())
 
@@ -129,12 +130,12 @@ def _pass(df: DataFrame, test: TestSuffixes, id_col: str, text_col: str, key_typ
                             begins.append(x)
                             ends.append(y)
                     items = [str(test.ids[k]) for k in np.unique(test.owner[w])]
-                    out.append((int(words.first[i + 1] - words.first[i]), begins, ends, items, _longest(w, p, test.size) if len(w) else 0))
+                    out.append((int(words.first[i + 1] - words.first[i]), begins, ends, items, _longest(w, p, test.size, test.owner) if len(w) else 0))
             cols = [pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.string()), pa.int64()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["k", "n_words", "begins", "ends", "items", "longest"])
 
     schema = f"k {key_type}, n_words long, begins array<long>, ends array<long>, items array<string>, longest long"
-    return df.select(df[id_col], df[text_col]).mapInArrow(run, schema)
+    return df.select(df[id_col], df[text_col]).mapInArrow(released(run), schema)
 
 
 def _blocks(test: DataFrame, id_col: str, text_col: str):
@@ -159,15 +160,18 @@ def find_contamination(docs: DataFrame, test: DataFrame, id_col: str = "doc_id",
     clean; an item without words matches nothing; repeated items count once for each id; an empty
     table of items leaves every document clean. With more than one block of items, documents are
     read once for each block and merged by a key of their rows: rows that repeat an id, or have
-    none, keep results of their own.
+    none, keep results of their own. One block at a time is on the driver.
     """
     prepare(docs.sparkSession)
-    blocks = list(_blocks(test, item_col, item_text))
-    if len(blocks) > 1 and id_col != ROW:
+    blocks = _blocks(test, item_col, item_text)
+    blocks = [x for _, x in zip(range(2), blocks, strict=False)], blocks
+    several = len(blocks[0]) > 1
+    blocks = chain(*blocks)
+    if several and id_col != ROW:
         rows = _keyed(docs.select(id_col, text_col))
-        found = _found(rows, blocks, ROW, text_col, width)
+        found = _found(rows, blocks, several, ROW, text_col, width)
         return rows.select(ROW, id_col).join(found, ROW).drop(ROW)
-    return _found(docs, blocks, id_col, text_col, width)
+    return _found(docs, blocks, several, id_col, text_col, width)
 
 
 #: Column with the key of a document's row.
@@ -179,16 +183,16 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "document-rows")
 
 
-def _found(docs: DataFrame, blocks: list, id_col: str, text_col: str, width: int) -> DataFrame:
+def _found(docs: DataFrame, blocks, several: bool, id_col: str, text_col: str, width: int) -> DataFrame:
     key = dict(docs.dtypes)[id_col]
-    passes = [_pass(docs, TestSuffixes(block, width), id_col, text_col, key) for block in blocks]
-    if len(passes) > 1:
-        every = passes[0]
-        for more in passes[1:]:
-            every = every.unionByName(more)
+    passes = (_pass(docs, TestSuffixes(block, width), id_col, text_col, key) for block in blocks)
+    if several:
+        every = stored(next(passes), "matches")
+        for more in passes:  # later blocks have something to say of few documents
+            every = every.unionByName(stored(more.where("longest > 0"), "matches"))
         found = every.groupBy("k").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("begins")).alias("begins"), F.flatten(F.collect_list("ends")).alias("ends"), F.flatten(F.collect_list("items")).alias("items"), F.max("longest").alias("longest"))
     else:
-        found = passes[0]
+        found = next(passes)
 
     def run(batches):
         for batch in batches:
@@ -212,16 +216,11 @@ def _found(docs: DataFrame, blocks: list, id_col: str, text_col: str, width: int
             )
 
     schema = f"k {key}, n_words long, n_hit long, n_items long, items array<string>, items_sha256 string, spans array<struct<from: long, to: long>>, contaminated boolean, longest long"
-    return found.mapInArrow(run, schema).withColumnRenamed("k", id_col)
-
-
-#: Keys of rows to drop are broadcast up to so many bytes.
-BROADCAST_BYTES = 32 << 20
+    return found.mapInArrow(released(run), schema).withColumnRenamed("k", id_col)
 
 
 def decontaminate(docs: DataFrame, test: DataFrame, **options) -> DataFrame:
-    """The documents, with their own columns, that aren't contaminated."""
+    """The documents, with their own columns, that aren't contaminated; null and repeated ids and rows are judged row by row."""
     rows = _keyed(docs)
     bad = stored(find_contamination(rows, test, **options | {"id_col": ROW}).where("contaminated").select(ROW), "contaminated")
-    few = bad.count() * 16 <= BROADCAST_BYTES  # keys only; beyond that the texts are shuffled
-    return rows.join(F.broadcast(bad) if few else bad, ROW, "left_anti").select(docs.columns)
+    return rows.join(small(bad, 16), ROW, "left_anti").select(docs.columns)
