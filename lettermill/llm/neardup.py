@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lettermill.llm.common import SPACED, Words, encoded, mixed, pieces, prepare, stored
+from lettermill.llm.common import SPACED, Words, encoded, mixed, pieces, prepare, released, stored
 from lettermill.llm.components import connected_components
 
 PLACES = 64
@@ -96,7 +96,7 @@ def sketch(df: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
                 sig.extend(rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(count) if count else [], pa.int64()), pa.array(total, pa.binary()), pa.array(sig, pa.binary())], names=["id", "n", "set_hash", "sig"])
 
-    return df.select(df[id_col], df[text_col]).mapInArrow(run, f"id {dict(df.dtypes)[id_col]}, n long, set_hash binary, sig binary")
+    return df.select(df[id_col], df[text_col]).mapInArrow(released(run), f"id {dict(df.dtypes)[id_col]}, n long, set_hash binary, sig binary")
 
 
 def index_entries(sig: np.ndarray) -> np.ndarray:
@@ -165,8 +165,8 @@ def star_candidates(reps: DataFrame) -> DataFrame:
                 pairs = np.unique(np.stack([ids, least], 1)[ids != least], axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    entries = reps.select("id", "sig").mapInArrow(combine, "key long, a long, b long")
-    return entries.repartition("key").mapInArrow(link, "a long, b long").distinct()
+    entries = reps.select("id", "sig").mapInArrow(released(combine), "key long, a long, b long")
+    return entries.repartition("key").mapInArrow(released(link), "a long, b long").distinct()
 
 
 #: Bits of the map of a set that bounds how much two sets can share.
@@ -254,14 +254,21 @@ def rest_candidates(reps: DataFrame, percent: int) -> DataFrame:
                     found = np.unique(np.concatenate(pairs), axis=0)
                     yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
 
-    entries = stored(reps.select("id", "comp", "sig").mapInArrow(enter, "key long, slot short, id long, comp long"), "entries")
-    open_ = entries.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).where("lo <> hi").select("key", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
-    rows = entries.join(open_, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    # every pair of blocks of an entry meets once
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", "slot", "id", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    entries = stored(reps.select("id", "comp", "sig").mapInArrow(released(enter), "key long, slot short, id long, comp long"), "entries")
+    # documents of an entry's largest component need no look at each other: only the others meet all blocks
+    counts = entries.groupBy("key", "comp").agg(F.count("*").alias("c"))
+    open_ = counts.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("m"), F.sum("c").alias("all"), F.count("*").alias("comps")).where("comps > 1")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    open_ = open_.select("key", F.col("m.comp").alias("main"), blocks(F.col("m.c")).alias("mains"), blocks(F.col("all") - F.col("m.c")).alias("others"))
+    rows = entries.join(open_, "key")
+    at = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    own, upto = F.when(F.col("comp") == F.col("main"), -1 - at("mains")).otherwise(at("others")), F.sequence(F.lit(0), F.col("others") - 1)
+    # blocks of the largest component count down from -1: each meets every block of others, and these meet each other
+    meets = F.when(F.col("own") < 0, upto).otherwise(F.concat(upto, F.transform(F.sequence(F.lit(1), F.col("mains")), lambda x: -x)))
+    rows = rows.withColumn("own", own).withColumn("other", F.explode(meets)).select("key", "slot", "id", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
     rows = rows.join(reps.select("id", "comp", "n", "sig", "bits"), "id")
     groups = rows.groupBy("key", "lo", "hi").agg(F.first("slot").alias("slot"), *(F.collect_list(c).alias(f"{c}s") for c in ("id", "comp", "n", "sig", "bits")))
-    return groups.drop("key", "lo", "hi").mapInArrow(compare, "a long, b long").distinct()
+    return groups.drop("key", "lo", "hi").mapInArrow(released(compare), "a long, b long").distinct()
 
 
 def full_sets(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
@@ -280,7 +287,7 @@ def full_sets(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, siz
 
     few = wanted.count() * 16 <= 32 << 20  # ids only: broadcast while small, else the texts are shuffled
     texts = docs.select(F.col(id_col).alias("w"), F.col(text_col).alias("t")).join(F.broadcast(wanted) if few else wanted, "w", "left_semi")
-    return stored(texts.mapInArrow(sets, "id long, set binary, bits binary").dropDuplicates(["id"]), "sets")
+    return stored(texts.mapInArrow(released(sets), "id long, set binary, bits binary").dropDuplicates(["id"]), "sets")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -299,7 +306,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     left = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a")
-    return left.join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+    return left.join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(released(check), "a long, b long")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = PERCENT) -> DataFrame:
