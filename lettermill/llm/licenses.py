@@ -14,7 +14,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from lettermill.llm.common import ALNUM, encoded, prepare
+from lettermill.llm.common import ALNUM, encoded, prepare, released
 
 #: Phrases and labels of the contract, then labels that this method adds.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -110,4 +110,4 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, t) for x, t in zip(out, kinds, strict=True))], names=["k", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"])
 
     schema = f"k {key}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label: string, from: long, to: long, edits: int>>"
-    return df.select(df[id_col], df[text_col]).mapInArrow(run, schema).withColumnRenamed("k", id_col)
+    return df.select(df[id_col], df[text_col]).mapInArrow(released(run), schema).withColumnRenamed("k", id_col)

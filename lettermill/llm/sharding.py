@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lettermill.llm.common import prepare, stored
+from lettermill.llm.common import prepare, released, stored
 
 SHARDS = 24
 #: A cut may be off by this share of a shard's bytes.
@@ -58,7 +58,7 @@ def _counts(keyed: DataFrame, bounds: list[int]) -> tuple[np.ndarray, np.ndarray
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(rows[used]), pa.array(size[used])], names=["b", "n", "s"])
 
     out = np.zeros((2, len(bounds) + 1), np.int64)
-    for b, n, s in keyed.select("h", "g", "size").mapInArrow(run, "b long, n long, s long").groupBy("b").agg(F.sum("n"), F.sum("s")).collect():
+    for b, n, s in keyed.select("h", "g", "size").mapInArrow(released(run), "b long, n long, s long").groupBy("b").agg(F.sum("n"), F.sum("s")).collect():
         out[:, b] = n, s
     return out[0], out[1]
 
@@ -150,7 +150,7 @@ def shard_documents(df: DataFrame, shards: int = SHARDS, id_col: str = "doc_id",
 
     schema = ", ".join(f"{c} {t}" for c, t in keyed.dtypes) + ", block long, shard int, base long"
     order = Window.partitionBy("block").orderBy("h", "g", "id")
-    placed = keyed.mapInArrow(place, schema).withColumn("slot", F.col("base") + F.row_number().over(order) - 1)
+    placed = keyed.mapInArrow(released(place), schema).withColumn("slot", F.col("base") + F.row_number().over(order) - 1)
     return placed.select(F.col("id").alias(id_col), "size", "text_crc32", "shard", "slot", *(F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep)))
 
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lettermill.llm.common import prepare
+from lettermill.llm.common import prepare, released
 
 ORDER, DECAY, POWER = 3, 0.8, 3
 #: Longer words are read in overlapping stretches of so many letters.
@@ -341,4 +341,4 @@ def score_toxicity(df: DataFrame, model: Model | None, id_col: str = "doc_id", t
     from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
     schema = StructType([*keep.schema.fields, StructField("score", DoubleType()), StructField("predicted", IntegerType())])
-    return keep.mapInArrow(run, schema)
+    return keep.mapInArrow(released(run), schema)
