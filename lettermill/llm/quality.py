@@ -35,8 +35,8 @@ LEAST, MOST = 2.0, 1000.0
 NONE = "\x00"
 
 
-def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(text, feature) of the different words and letter triples of each text."""
+def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, feature) of the different words and letter triples of each text; and the share of each text's pairs of words that are repeats."""
     words = Words(texts, ALNUM)
     owner = np.repeat(np.arange(len(texts)), np.diff(words.first))
     word = (words.hash >> np.uint64(64 - BITS)).astype(np.int64)
@@ -48,7 +48,10 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     triple = (mixed(triple) >> np.uint64(64 - BITS)).astype(np.int64) + (1 << BITS)
     both = np.concatenate([owner << (BITS + 1) | word, (text[:-2][inside] if len(text) > 2 else np.zeros(0, np.int64)) << (BITS + 1) | triple])
     both = np.unique(both)
-    return both >> (BITS + 1), both & ((2 << BITS) - 1)
+    with_next = np.flatnonzero(owner[:-1] == owner[1:])
+    pair = mixed(words.hash[with_next] * np.uint64(0x9E3779B97F4A7C15) + words.hash[with_next + 1]) >> np.uint64(24)
+    pairs, kinds = (np.bincount(x, minlength=len(texts)) for x in (owner[with_next], np.unique(owner[with_next].astype(np.uint64) << np.uint64(40) | pair).astype(np.int64) >> 40))
+    return both >> (BITS + 1), both & ((2 << BITS) - 1), 1 - kinds / np.maximum(pairs, 1) * (pairs > 0) - (pairs == 0)
 
 
 def _odds_of_features(text: np.ndarray, feature: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -60,11 +63,12 @@ def _odds_of_features(text: np.ndarray, feature: np.ndarray, y: np.ndarray) -> n
     return np.log(rate[0] / rate[1])
 
 
-def _summary(text: np.ndarray, feature: np.ndarray, odds: np.ndarray, n: int) -> np.ndarray:
-    """Of each text: its features' mean log odds, that times the square root of their number, the number's logarithm, 1."""
+def _summary(text: np.ndarray, feature: np.ndarray, repeats: np.ndarray, odds: np.ndarray) -> np.ndarray:
+    """Of each text: its features' mean log odds, that times the square root of their number, the number's logarithm, repeats, 1."""
+    n = len(repeats)
     size = np.bincount(text, minlength=n).astype(float)
     total = np.bincount(text, odds[feature], minlength=n)
-    return np.stack([total / np.maximum(size, 1), total / np.sqrt(np.maximum(size, 1)) / 10, np.log1p(size) / 5, np.ones(n)], 1)
+    return np.stack([total / np.maximum(size, 1), total / np.sqrt(np.maximum(size, 1)) / 10, np.log1p(size) / 5, 3 * repeats, np.ones(n)], 1)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -88,15 +92,15 @@ class Classifier:
     weights: np.ndarray
 
     def __call__(self, texts: list[bytes]) -> np.ndarray:
-        text, feature = features(texts)
-        return _probability(_summary(text, feature, self.odds, len(texts)) @ self.weights)
+        text, feature, repeats = features(texts)
+        return _probability(_summary(text, feature, repeats, self.odds) @ self.weights)
 
 
-def fit_classifier(text: np.ndarray, feature: np.ndarray, y: np.ndarray) -> tuple[Classifier, np.ndarray]:
+def fit_classifier(text: np.ndarray, feature: np.ndarray, repeats: np.ndarray, y: np.ndarray) -> tuple[Classifier, np.ndarray]:
     """The classifier of all labelled documents, and each one's evidence by a classifier of the other parts."""
     n = len(y)
     fold = np.arange(n) % FOLDS
-    x = np.zeros((n, 4))
+    x = np.zeros((n, 5))
     for f in range(FOLDS):
         use = fold != f
         other = use[text]
@@ -105,7 +109,7 @@ def fit_classifier(text: np.ndarray, feature: np.ndarray, y: np.ndarray) -> tupl
             odds = _odds_of_features(rank[text[other]], feature[other], y[use])
         else:
             odds = _odds_of_features(text, feature, y)
-        x[~use] = _summary(text, feature, odds, n)[~use]
+        x[~use] = _summary(text, feature, repeats, odds)[~use]
     weights = _logistic(x, y)
     return Classifier(_odds_of_features(text, feature, y).astype(np.float32), weights), _probability(x @ weights)
 
@@ -169,17 +173,17 @@ def score_quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
         for batch in batches:
             texts = encoded(batch.column(2))
             for a, b in pieces(texts):
-                text, feature = features(texts[a:b])
+                text, feature, repeats = features(texts[a:b])
                 ends = np.searchsorted(text, np.arange(b - a + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.ListArray.from_arrays(pa.array(ends), pa.array(feature.astype(np.int32)))], names=["id", "y", "features"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.ListArray.from_arrays(pa.array(ends), pa.array(feature.astype(np.int32))), pa.array(repeats)], names=["id", "y", "features", "repeats"])
 
-    taken = given.join(F.broadcast(some), "id").select("id", "y", "text").mapInArrow(released(read), f"id {kind}, y double, features array<int>")
+    taken = given.join(F.broadcast(some), "id").select("id", "y", "text").mapInArrow(released(read), f"id {kind}, y double, features array<int>, repeats double")
     rows = sorted(taken.dropDuplicates(["id"]).collect(), key=lambda r: r.id)
     y = np.array([r.y for r in rows])
     fitted = len(rows) > 0 and 0 < y.sum() < len(y)
     if fitted:
         size = [len(r.features) for r in rows]
-        judge, crossed = fit_classifier(np.repeat(np.arange(len(rows)), size), np.concatenate([np.array(r.features, np.int64) for r in rows]), y)
+        judge, crossed = fit_classifier(np.repeat(np.arange(len(rows)), size), np.concatenate([np.array(r.features, np.int64) for r in rows]), np.array([r.repeats for r in rows]), y)
 
     def look(batches):
         for batch in batches:
