@@ -13,6 +13,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,13 +55,9 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return both >> (BITS + 1), both & ((2 << BITS) - 1), 1 - kinds / np.maximum(pairs, 1) * (pairs > 0) - (pairs == 0)
 
 
-def _odds_of_features(text: np.ndarray, feature: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Log odds that a good document has a feature, against that a bad one has it."""
-    good = y[text] > 0
-    n = np.array([[(y > 0).sum()], [(y <= 0).sum()]], float)
-    count = np.stack([np.bincount(feature[w], minlength=2 << BITS) for w in (good, ~good)])
-    rate = (count + 0.5) / (n + 1)
-    return np.log(rate[0] / rate[1])
+def _odds_of_features(good: np.ndarray, bad: np.ndarray, n_good: float, n_bad: float) -> np.ndarray:
+    """Log odds that a good document has a feature, against that a bad one has it, by how many have it."""
+    return np.log((good + 0.5) / (n_good + 1) / ((bad + 0.5) / (n_bad + 1))).astype(np.float32)
 
 
 def _summary(text: np.ndarray, feature: np.ndarray, repeats: np.ndarray, odds: np.ndarray) -> np.ndarray:
@@ -96,22 +93,43 @@ class Classifier:
         return _probability(_summary(text, feature, repeats, self.odds) @ self.weights)
 
 
-def fit_classifier(text: np.ndarray, feature: np.ndarray, repeats: np.ndarray, y: np.ndarray) -> tuple[Classifier, np.ndarray]:
-    """The classifier of all labelled documents, and each one's evidence by a classifier of the other parts."""
-    n = len(y)
-    fold = np.arange(n) % FOLDS
-    x = np.zeros((n, 5))
-    for f in range(FOLDS):
-        use = fold != f
-        other = use[text]
-        rank = np.cumsum(use) - 1
-        if 0 < y[use].sum() < use.sum():
-            odds = _odds_of_features(rank[text[other]], feature[other], y[use])
-        else:
-            odds = _odds_of_features(text, feature, y)
-        x[~use] = _summary(text, feature, repeats, odds)[~use]
-    weights = _logistic(x, y)
-    return Classifier(_odds_of_features(text, feature, y).astype(np.float32), weights), _probability(x @ weights)
+def fit_classifier(rows: DataFrame) -> tuple[Classifier, pd.DataFrame] | None:
+    """The classifier of labelled documents (id, y, features, repeats), and each one's evidence by a classifier of the other parts.
+
+    None without both labels. Features are counted by grouped aggregation; counts of the parts and a
+    few numbers of each document come to the driver.
+    """
+    fold = F.pmod(F.xxhash64("id"), F.lit(FOLDS)).cast("int").alias("fold")
+    sizes = rows.groupBy(fold).agg(F.sum("y").alias("good"), F.count("*").alias("n")).collect()
+    n = np.zeros((2, FOLDS))
+    for r in sizes:
+        n[:, r.fold] = r.good, r.n - r.good
+    if not n.sum(1).all():
+        return None
+    table = rows.select(fold, "y", F.explode("features").alias("feature")).groupBy("fold", "feature").agg(F.sum("y").alias("good"), F.count("*").alias("n")).toArrow()
+    at, feature, good, every = (table.column(c).to_numpy() for c in ("fold", "feature", "good", "n"))
+    count = np.zeros((2, FOLDS, 2 << BITS))
+    count[0, at, feature], count[1, at, feature] = good, every - good
+    whole, of_all = count.sum(1), n.sum(1)
+    all_odds = _odds_of_features(*whole, *of_all)
+    others = [_odds_of_features(*(whole - count[:, f]), *(of_all - n[:, f])) if (of_all - n[:, f]).all() else all_odds for f in range(FOLDS)]
+
+    def judge(batches):
+        for batch in batches:
+            value = batch.column(3).flatten().to_numpy().astype(np.int64)
+            size = batch.column(3).value_lengths().to_numpy()
+            text = np.repeat(np.arange(batch.num_rows), size)
+            folds, repeats = batch.column(2).to_numpy(), batch.column(4).to_numpy()
+            x = np.zeros((batch.num_rows, 5))
+            for f in np.unique(folds):
+                x[folds == f] = _summary(text, value, repeats, others[f])[folds == f]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c) for c in x.T)], names=["id", "y", *"abcde"])
+
+    got = rows.select("id", "y", fold, "features", "repeats").mapInArrow(released(judge), f"id {dict(rows.dtypes)['id']}, y double, a double, b double, c double, d double, e double")
+    got = got.toPandas().sort_values("id", ignore_index=True)
+    x = got[list("abcde")].to_numpy()
+    weights = _logistic(x, got["y"].to_numpy())
+    return Classifier(all_odds, weights), got[["id", "y"]].assign(evidence=_probability(x @ weights))
 
 
 def _odds(p: Column) -> Column:
@@ -178,18 +196,14 @@ def score_quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.ListArray.from_arrays(pa.array(ends), pa.array(feature.astype(np.int32))), pa.array(repeats)], names=["id", "y", "features", "repeats"])
 
     taken = given.join(F.broadcast(some), "id").select("id", "y", "text").mapInArrow(released(read), f"id {kind}, y double, features array<int>, repeats double")
-    rows = sorted(taken.dropDuplicates(["id"]).collect(), key=lambda r: r.id)
-    y = np.array([r.y for r in rows])
-    fitted = len(rows) > 0 and 0 < y.sum() < len(y)
-    if fitted:
-        size = [len(r.features) for r in rows]
-        judge, crossed = fit_classifier(np.repeat(np.arange(len(rows)), size), np.concatenate([np.array(r.features, np.int64) for r in rows]), np.array([r.repeats for r in rows]), y)
+    fitted = fit_classifier(stored(taken.dropDuplicates(["id"]), "fitted-features"))
+    judge = fitted[0] if fitted else None
 
     def look(batches):
         for batch in batches:
             texts = encoded(batch.column(3))
             found = np.full(len(texts), 0.5)
-            if fitted:
+            if judge:
                 for a, b in pieces(texts):
                     found[a:b] = judge(texts[a:b])
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found)], names=["id", "host", "path", "evidence"])
@@ -202,9 +216,10 @@ def score_quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     site = _odds(F.col("path_mean")) - _odds(F.lit(total))
     weights = np.array([1.0, 1.0, 0.0])
     if fitted:
-        shown = {r.id: r.site for r in docs.join(F.broadcast(some.select("id")), "id", "left_semi").select("id", site.alias("site")).dropDuplicates(["id"]).collect()}
-        p = np.clip(crossed, 1e-6, 1 - 1e-6)
-        x = np.stack([np.log(p / (1 - p)), [shown[r.id] for r in rows], np.ones(len(rows))], 1)
+        shown = docs.join(F.broadcast(some.select("id")), "id", "left_semi").select("id", site.alias("site")).dropDuplicates(["id"]).toPandas()
+        got = fitted[1].merge(shown, on="id")
+        p, y = np.clip(got["evidence"].to_numpy(), 1e-6, 1 - 1e-6), got["y"].to_numpy()
+        x = np.stack([np.log(p / (1 - p)), got["site"].to_numpy(), np.ones(len(got))], 1)
         weights = _logistic(x, y)
         if weights[1] < 0:  # a good site never speaks against a document
             weights = np.insert(_logistic(x[:, [0, 2]], y), 1, 0.0)
