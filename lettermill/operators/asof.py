@@ -39,17 +39,23 @@ def running_before(events: DataFrame, probes: DataFrame, keys: list[str], time:
     )
 
 
-def latest_before(left: DataFrame, right: DataFrame, keys: list[str], time: str, value: str, out: str) -> DataFrame:
+def latest_before(left: DataFrame, right: DataFrame, keys: list[str], time: str, value: str, out: str, width: int = WIDTH) -> DataFrame:
     """For each row of ``left``, ``value`` of the latest row of ``right`` with the same keys strictly earlier; null if none.
 
-    Of several right rows at that time, the least value. Both sides are put in one order; a window
-    looks back.
+    Of several right rows at that time, the least value. As in ``running_before``, a key's rows are cut
+    into stretches of time: a window looks back within a stretch, and what it doesn't find comes from
+    the last row of the stretches before.
     """
     own = [c for c in left.columns if c not in (*keys, time)]
-    a = left.select(*keys, time, F.struct(*own, F.lit(1).alias("__is")).alias("__row"))
+    stretch = F.floor(F.col(time) / width).cast("long").alias("__stretch")
+    a = left.select(*keys, time, F.struct(*own, F.lit(1).alias("__is")).alias("__row"), stretch)
     # at most one row for each key and time
     b = right.groupBy(*keys, time).agg(F.min(value).alias("__value"))
-    every = a.unionByName(b.select(*keys, time, F.struct(F.col(time).alias("__t"), F.col("__value").alias("__v")).alias("__hit")), allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy(time).rangeBetween(Window.unboundedPreceding, -1)
-    every = every.withColumn("__last", F.max("__hit").over(w)).where("__row.__is = 1")
-    return every.select(*keys, time, *(F.col(f"__row.{c}").alias(c) for c in own), F.col("__last.__v").alias(out), F.col("__last.__t").alias(f"{out}_at"))
+    b = b.select(*keys, time, F.struct(F.col(time).alias("__t"), F.col("__value").alias("__v")).alias("__hit"), stretch)
+    inside = Window.partitionBy(*keys, "__stretch").orderBy(time).rangeBetween(Window.unboundedPreceding, -1)
+    every = a.unionByName(b, allowMissingColumns=True).withColumn("__last", F.max("__hit").over(inside)).where("__row.__is = 1")
+    ends = a.select(*keys, "__stretch").distinct().join(b.groupBy(*keys, "__stretch").agg(F.max("__hit").alias("__end")), [*keys, "__stretch"], "full")
+    before = Window.partitionBy(*keys).orderBy("__stretch").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(*keys, "__stretch", F.max("__end").over(before).alias("__before"))
+    found = every.join(ends, [*keys, "__stretch"], "left").withColumn("__last", F.coalesce("__last", "__before"))
+    return found.select(*keys, time, *(F.col(f"__row.{c}").alias(c) for c in own), F.col("__last.__v").alias(out), F.col("__last.__t").alias(f"{out}_at"))

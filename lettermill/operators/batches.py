@@ -65,32 +65,74 @@ def halved(rows: DataFrame, size: str = "messages") -> DataFrame:
 
 
 def audit_totals(batch_rows: DataFrame) -> DataFrame:
-    return batch_rows.agg(F.count("*").alias("calls"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes_sent"), F.sort_array(F.collect_list("sha256")).alias("hashes"))
-
-
-def ask(batch_rows: DataFrame, provider: Callable[[list[dict]], list[dict]]) -> DataFrame:
-    """Answers of an injected provider: (uid, label, confidence, rationale, seq).
+    """calls, bytes_sent and how many different hashes; the hashes themselves stay rows of the batches."""
+    return batch_rows.agg(F.count("*").alias("calls"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes_sent"), F.count_distinct("sha256").alias("hashes"))
+
+
+class TooLarge(Exception):
+    """A provider can't take so many items at once: they are asked again in halves."""
+
+
+class Refused(Exception):
+    """A provider won't answer."""
+
+
+def _answers(items: list[dict], uids: list[int], provider: Callable[[list[dict]], list[dict]], split: bool = True) -> list[tuple]:
+    """Rows (uid, label, confidence, rationale, seq, warning) of one batch; a warning is a row of its own."""
+    try:
+        said = provider(items)
+    except TooLarge as error:
+        if not split or len(items) < 2:
+            return [(None, None, None, None, None, f"batch failed after split: {error}")]
+        half = -(-len(items) // 2)
+        out = []
+        for some, own in ((items[:half], uids[:half]), (items[half:], uids[half:])):
+            out += _answers([{**x, "id": i} for i, x in enumerate(some)], own, provider, False)
+        return out
+    except Refused:
+        return [(None, None, None, None, None, f"model declined a batch of {len(items)}; left as judged by rules")]
+    except Exception as error:  # whatever else a provider raises degrades to the rules' decision
+        return [(None, None, None, None, None, f"model unavailable ({error}); {len(items)} message(s) left as judged by rules")]
+    out = []
+    for seq, a in enumerate(said if isinstance(said, list) else []):
+        at = a.get("id") if isinstance(a, dict) else None
+        if not isinstance(at, int) or isinstance(at, bool) or not 0 <= at < len(uids):
+            continue
+        try:
+            confidence = min(1.0, max(0.0, float(a.get("confidence", 0))))
+        except (TypeError, ValueError):
+            confidence = 0.0
+        confidence = 0.0 if confidence != confidence else confidence
+        out.append((int(uids[at]), str(a.get("label", "")), confidence, str(a.get("rationale", "")), seq, None))
+    return out
+
+
+def asked(batch_rows: DataFrame, provider: Callable[[list[dict]], list[dict]]) -> DataFrame:
+    """What an injected provider says: answers (uid, label, confidence, rationale, seq) and warnings (warning).
 
     ``provider`` gets the items of one batch and returns answers with id, label, confidence and
-    rationale. If it raises, the batch has no answers, and its messages keep the rules' decision.
-    Answers for ids that aren't in the batch are dropped.
+    rationale. If it raises ``TooLarge``, the batch is asked again in halves; whatever else it
+    raises is a warning, and the batch's messages keep the rules' decision. Answers for ids that
+    aren't in the batch are dropped, confidences are brought to 0 to 1, what can't be read counts 0.
+    Each evaluation asks again: store the result before it is used twice.
     """
     import json
 
     import pandas as pd
 
+    columns = ["uid", "label", "confidence", "rationale", "seq", "warning"]
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = []
-            for uids, text in zip(frame["uids"], frame["serialized"], strict=True):
-                try:
-                    answers = provider(json.loads(text))
-                except Exception:  # whatever a provider raises degrades to no answer
-                    continue
-                out += [(int(uids[a["id"]]), str(a["label"]), float(a["confidence"]), str(a.get("rationale", "")), i) for i, a in enumerate(answers) if isinstance(a.get("id"), int) and 0 <= a["id"] < len(uids)]
-            yield pd.DataFrame(out, columns=["uid", "label", "confidence", "rationale", "seq"])
-
-    return batch_rows.select("uids", "serialized").mapInPandas(run, "uid long, label string, confidence double, rationale string, seq long")
+            out = [row for uids, text in zip(frame["uids"], frame["serialized"], strict=True) for row in _answers(json.loads(text), list(uids), provider)]
+            yield pd.DataFrame(out, columns=columns).astype({"uid": "Int64", "seq": "Int64"})
+
+    return batch_rows.select("uids", "serialized").mapInPandas(run, "uid long, label string, confidence double, rationale string, seq long, warning string")
+
+
+def ask(batch_rows: DataFrame, provider: Callable[[list[dict]], list[dict]]) -> DataFrame:
+    """The answers of ``asked`` alone."""
+    return asked(batch_rows, provider).where("uid is not null").drop("warning")
 
 
 def stub_provider(items: list[dict]) -> list[dict]:

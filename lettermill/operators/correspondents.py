@@ -46,7 +46,7 @@ def reply_latencies(received: DataFrame, sent: DataFrame) -> DataFrame:
     """(email, latency_ms): each sent message with the latest earlier received one of its thread, counted for that one's sender."""
     ours = sent.where("threadId <> ''").select("threadId", F.unix_millis("date").alias("ms"))
     theirs = received.where("threadId <> ''").select("threadId", F.unix_millis("date").alias("ms"), F.struct("seq", F.lower("from.email").alias("email")).alias("who"))
-    hit = latest_before(ours, theirs, ["threadId"], "ms", "who", "hit")
+    hit = latest_before(ours, theirs, ["threadId"], "ms", "who", "hit", 86_400_000)
     return hit.where(F.col("hit").isNotNull()).select(F.col("hit.email").alias("email"), (F.col("ms") - F.col("hit_at")).alias("latency_ms")).where("latency_ms >= 0")
 
 

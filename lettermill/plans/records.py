@@ -17,7 +17,7 @@ from lettermill.plans.registry import query, table
 # --- redaction ----------------------------------------------------------------
 
 #: Documents with secrets of each kind put in; the same text for both engines.
-_LACED = """concat(substring(text, 1, 200), case doc_id % 10
+_LACED = """concat(coalesce(text, ''), case doc_id % 10
  when 0 then ' key sk-abcdefghijklmnopqrstuvwx end' when 1 then ' Bearer abcdefghijklmnop1234567 end' when 2 then ' see https://x.example/a?b=1&token=abc123 end'
  when 3 then ' go https://x.example/reset/abcdefghijkl12 end' when 4 then ' your verification code is 482913 end' when 5 then ' ssn 123-45-6789 end'
  when 6 then ' card 4111 1111 1111 1111 end' when 7 then ' password: hunter2hunter end' when 8 then ' eyJabcdefgh1.eyJabcdefgh2.sigsigsig3 end' else ' number 1234567890123456 end' end)"""
@@ -60,23 +60,28 @@ def redact_card_luhn(spark, sf_dir):
     return d.withColumn("valid", is_card(F.col("digits")))
 
 
-@query("SELECT doc_id, doc_id % 10 <> 9 OR regexp_matches(substring(text, 1, 200), '[0-9]{16}') AND FALSE AS has_secrets FROM documents WHERE NOT regexp_matches(substring(text, 1, 200), '[0-9]{7}|[Tt]oken')")
+_LUHN = "list_sum([CASE WHEN (length(c) - i) % 2 = 0 THEN CAST(c[i] AS INT) WHEN CAST(c[i] AS INT) * 2 > 9 THEN CAST(c[i] AS INT) * 2 - 9 ELSE CAST(c[i] AS INT) * 2 END FOR i IN range(1, length(c) + 1)]) % 10 = 0"
+
+
+@query(f"""WITH l AS (SELECT doc_id, {_LACED} AS text FROM documents), n AS (SELECT doc_id, regexp_replace(unnest(regexp_extract_all(text, '\\b(?:[0-9][ -]?){{13,19}}\\b')), '[^0-9]', '', 'g') AS c FROM l),
+ v AS (SELECT doc_id, bool_or({_LUHN}) AS card FROM n WHERE length(c) BETWEEN 13 AND 19 GROUP BY 1)
+ SELECT l.doc_id, coalesce(card, false) OR {" OR ".join(f"regexp_matches(text, '{p.replace(chr(39), chr(39) * 2)}')" for p in _RULES.values())} AS has_secrets FROM l LEFT JOIN v ON v.doc_id = l.doc_id""")
 def contains_secrets_query(spark, sf_dir):
-    plain = _laced(spark, sf_dir).join(table(spark, sf_dir, "documents").where(~F.substring("text", 1, 200).rlike("[0-9]{7}|[Tt]oken")).select("doc_id"), "doc_id", "left_semi")
-    return contains_secrets(plain, "text").select("doc_id", "has_secrets")
+    return contains_secrets(_laced(spark, sf_dir), "text").select("doc_id", "has_secrets")
 
 
 # --- projections and batches --------------------------------------------------
 
-_CLEAN = "regexp_replace(regexp_replace(substring(text, 1, 60), '[^A-Za-z ]', '', 'g'), ' +', ' ', 'g')"
-_ITEM = """concat('{"id":', id, ',"from":"', email, '","domain":"', domain, '","subject":"', subject, '","date":"2024-01-01T00:00:00.000Z","addressedAs":"direct","recipientCount":1,"attachments":[],"preview":"', trim(subject), '","truncated":false}')"""
+#: Whole texts, of letters and single spaces, so that SQL needs no escapes and no rule of redaction fires.
+_CLEAN = "trim(regexp_replace(regexp_replace(text, '[^A-Za-z ]', '', 'g'), ' +', ' ', 'g'))"
+_ITEM = """concat('{"id":', id, ',"from":"', email, '","domain":"', domain, '","subject":"', substring(subject, 1, 200), '","date":"2024-01-01T00:00:00.000Z","addressedAs":"direct","recipientCount":1,"attachments":[],"preview":"', substring(subject, 1, 2000), '","truncated":', CASE WHEN length(subject) > 2000 THEN 'true' ELSE 'false' END, '}')"""
 _BATCH = f"""d AS (SELECT doc_id, {_CLEAN} AS subject, concat(source, '@x.example') AS email, 'x.example' AS domain, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents),
  n AS (SELECT *, i % 10 AS id, i // 10 AS batch FROM d), b AS (SELECT batch, concat('[', string_agg({_ITEM}, ',' ORDER BY i), ']') AS serialized, count(*) AS messages FROM n GROUP BY 1)"""
 
 
 def _plain_messages(spark, sf_dir):
     m = messages(spark, sf_dir).select("uid", "seq", "flags", "folder", "headers")
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("uid"), F.regexp_replace(F.regexp_replace(F.substring("text", 1, 60), "[^A-Za-z ]", ""), " +", " ").alias("subject"), "source")
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("uid"), F.trim(F.regexp_replace(F.regexp_replace("text", "[^A-Za-z ]", ""), " +", " ")).alias("subject"), "source")
     me = F.struct(F.lit("").alias("name"), F.lit(OWN[0]).alias("email"), F.lit("home.example").alias("domain"))
     return m.join(d, "uid").select("uid", "seq", "subject", F.struct(F.lit("").alias("name"), F.concat("source", F.lit("@x.example")).alias("email"), F.lit("x.example").alias("domain")).alias("from"), F.array(me).alias("to"), F.filter(F.array(me), lambda x: F.lit(False)).alias("cc"), F.timestamp_seconds(F.lit(1_704_067_200)).alias("date"), F.col("subject").alias("bodyText"), F.array().cast("array<struct<filename: string, contentType: string, size: bigint>>").alias("attachments"))
 
@@ -92,7 +97,7 @@ def projection_payload_hash(spark, sf_dir):
 
 @query(f"WITH {_BATCH} SELECT count(*) AS calls, CAST(sum(strlen(serialized)) AS BIGINT) AS bytes_sent, count(DISTINCT sha256(serialized)) AS hashes FROM b")
 def batch_audit(spark, sf_dir):
-    return B.audit_totals(_batches(spark, sf_dir)).select("calls", "bytes_sent", F.size(F.array_distinct("hashes")).cast("long").alias("hashes"))
+    return B.audit_totals(_batches(spark, sf_dir)).select("calls", "bytes_sent", "hashes")
 
 
 @query("""WITH n AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents), k AS (SELECT doc_id, i // 7 AS batch, i % 7 AS id FROM n), c AS (SELECT batch, count(*) AS m FROM k GROUP BY 1)
@@ -184,10 +189,10 @@ def apply_actions(spark, sf_dir):
     return J.apply_actions(box, J.plan_actions(d)).select("uid", "folder", F.array_join("flags", ",").alias("flags"))
 
 
-@query("SELECT r_name AS name FROM region WHERE r_name NOT IN (SELECT DISTINCT r_name FROM region JOIN nation ON n_regionkey = r_regionkey WHERE n_nationkey < 5)")
+@query("SELECT r_name AS name FROM region WHERE r_name NOT IN (SELECT DISTINCT r_name FROM region JOIN nation ON n_regionkey = r_regionkey WHERE n_nationkey < 2)")
 def missing_folders(spark, sf_dir):
     r, n = table(spark, sf_dir, "region"), table(spark, sf_dir, "nation")
-    there = n.where("n_nationkey < 5").join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_name").alias("name"))
+    there = n.where("n_nationkey < 2").join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_name").alias("name"))
     return J.missing_folders(r.select(F.col("r_name").alias("name")), there)
 
 
@@ -287,6 +292,6 @@ def addressing_kind(spark, sf_dir):
     return messages(spark, sf_dir).select("uid", addressing(F.col("to"), F.col("cc"), OWN).alias("addressed"))
 
 
-@query("SELECT doc_id, trim(left(text, 50), ' ' || chr(9) || chr(10) || chr(13)) AS t FROM documents")
+@query("SELECT doc_id, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS t FROM documents")
 def trimmed_text(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", trimmed(F.substring("text", 1, 50)).alias("t"))
+    return table(spark, sf_dir, "documents").select("doc_id", trimmed(F.col("text")).alias("t"))

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lettermill.operators.backtest import confusion_matrix, error_classes, ground_truth, per_label, projected_cost, totals, usage_cost
+from lettermill.operators.batches import stub_provider
 from lettermill.operators.cascade import classify, escalation, merge_model
+from lettermill.operators.triage import brief, shown, triage, why
 from lettermill.plans.adapters import MAIL_SQL, OWN, messages
-from lettermill.plans.registry import query, table
+from lettermill.plans.registry import QUERIES, query, table
+
 
 def _as_of():
     return F.timestamp_seconds(F.lit(1_704_067_200 + 43_200 * 60))
@@ -47,13 +50,17 @@ _SCORES = f"""{MAIL_SQL},
 
 def decisions(spark, sf_dir):
     """All messages judged at one moment; who was answered counts as written to."""
+    return classify(_with_people(spark, sf_dir), OWN, as_of=_as_of())
+
+
+def _with_people(spark, sf_dir):
     m = messages(spark, sf_dir)
     answered = F.array_contains("flags", "\\Answered")
     people = m.groupBy(F.col("from.email").alias("e")).agg(F.count_if(answered).alias("sent_to"), F.count("*").alias("received_from"), F.max(F.when(answered, F.unix_millis("date"))).alias("last_sent_ms"))
     domains = m.groupBy(F.col("from.domain").alias("d")).agg(F.count_if(answered).alias("domain_sent_to"))
     full = m.join(people, F.col("from.email") == F.col("e")).join(domains, F.col("from.domain") == F.col("d"))
     nothing = {"is_vip": F.lit(False), "is_muted": F.lit(False), "user_messages": F.lit(0), "median_latency_ms": F.lit(None).cast("double")}
-    return classify(full.withColumns(nothing), OWN, as_of=_as_of())
+    return full.withColumns(nothing)
 
 
 _ESC = "code IS NULL AND confidence < 0.75"
@@ -142,15 +149,47 @@ def projected_cost_query(spark, sf_dir):
  j AS (SELECT u.*, i, o, row_number() OVER (PARTITION BY o_orderkey ORDER BY length(prefix) DESC NULLS LAST) AS k FROM u LEFT JOIN p ON starts_with(model, prefix))
  SELECT o_orderkey, model, round(CAST(coalesce((a * i + b * o + 100 * i * 0.1 + 10 * i * 1.25) / 1e6, 0) AS DOUBLE), 9) AS usd FROM j WHERE k = 1""")
 def price_prefix_join(spark, sf_dir):
+    return _costs(spark, sf_dir).select("o_orderkey", "model", F.round("usd", 9).alias("usd"))
+
+
+def _costs(spark, sf_dir):
     k = F.col("o_orderkey") % 5
     model = F.when(k == 0, "base-1").when(k == 1, "base-2-x").when(k == 2, "base-2-mini-3").when(k == 3, "large").otherwise("other")
     usage = table(spark, sf_dir, "orders").select("o_orderkey", model.alias("model"), F.col("o_custkey").alias("input_tokens"), (F.col("o_orderkey") % 1000).alias("output_tokens"), F.lit(100).alias("cache_read"), F.lit(10).alias("cache_write"))
-    prices = spark.createDataFrame(PRICES, "model string, input double, output double")
-    return usage_cost(usage, prices).select("o_orderkey", "model", F.round("usd", 9).alias("usd"))
+    return usage_cost(usage, spark.createDataFrame(PRICES, "model string, input double, output double"))
 
 
-@query("""WITH u AS (SELECT o_orderkey % 100 AS run, o_custkey AS a, o_orderkey % 1000 AS b FROM orders)
- SELECT CAST(sum(a) AS BIGINT) AS input, CAST(sum(b) AS BIGINT) AS output, count(*) AS calls, count(DISTINCT run) AS runs FROM u""")
+@query("""WITH p(prefix, i, o) AS (VALUES ('base', 1.0, 5.0), ('base-2', 3.0, 15.0), ('base-2-mini', 0.5, 2.0), ('large', 10.0, 50.0)),
+ u AS (SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'base-1' WHEN 1 THEN 'base-2-x' WHEN 2 THEN 'base-2-mini-3' WHEN 3 THEN 'large' ELSE 'other' END AS model, o_custkey AS a, o_orderkey % 1000 AS b FROM orders),
+ j AS (SELECT u.*, i, o, row_number() OVER (PARTITION BY o_orderkey ORDER BY length(prefix) DESC NULLS LAST) AS k FROM u LEFT JOIN p ON starts_with(model, prefix))
+ SELECT model, CAST(sum(a) AS BIGINT) AS input, CAST(sum(b) AS BIGINT) AS output, count(*) AS calls, round(CAST(sum(coalesce((a * i + b * o + 100 * i * 0.1 + 10 * i * 1.25) / 1e6, 0)) AS DOUBLE), 6) AS usd FROM j WHERE k = 1 GROUP BY 1""")
 def usage_cost_totals(spark, sf_dir):
-    o = table(spark, sf_dir, "orders")
-    return o.agg(F.sum("o_custkey").alias("input"), F.sum(F.col("o_orderkey") % 1000).alias("output"), F.count("*").alias("calls"), F.count_distinct(F.col("o_orderkey") % 100).alias("runs"))
+    return _costs(spark, sf_dir).groupBy("model").agg(F.sum("input_tokens").alias("input"), F.sum("output_tokens").alias("output"), F.count("*").alias("calls"), F.round(F.sum("usd"), 6).alias("usd"))
+
+
+@query(f"""WITH {_SCORES} SELECT uid, CASE WHEN {_ESC} THEN 'later' ELSE label END AS label, CASE WHEN {_ESC} THEN CAST(0.88 AS DOUBLE) ELSE confidence END AS confidence, CASE WHEN {_ESC} THEN 1 ELSE 0 END AS tier, false AS escalate FROM dec""")
+def triage_run(spark, sf_dir):
+    m = _with_people(spark, sf_dir)
+    bodies = m.select("uid", "bodyText", "attachments")
+    return triage(m, OWN, _as_of(), stub_provider, bodies).decisions.select("uid", "label", "confidence", "tier", "escalate")
+
+
+@query(f"""WITH {_SCORES}, d AS (SELECT dec.uid, label, row_number() OVER (PARTITION BY label ORDER BY dec.uid) AS place, count(*) OVER (PARTITION BY label) AS n, subject FROM dec JOIN (SELECT uid AS u, subject FROM mail) ON u = dec.uid)
+ SELECT uid, label, CAST(place AS INT) AS place, substring(subject, 1, 52) AS subject, greatest(n - 20, 0) AS beyond FROM d WHERE place <= 20""")
+def triage_shown(spark, sf_dir):
+    return shown(decisions(spark, sf_dir)).select("uid", "label", "place", "subject", "beyond")
+
+
+@query(f"""WITH {_SCORES}, d AS (SELECT email AS sender, uid, subject, row_number() OVER (PARTITION BY email ORDER BY uid) AS k FROM dec JOIN (SELECT uid AS u, email, subject FROM mail) ON u = uid WHERE label = 'brief')
+ SELECT sender, min(uid) AS first_seq, count(*) AS n, string_agg(subject, '|' ORDER BY uid) FILTER (k <= 5) AS subjects, greatest(count(*) - 5, 0) AS more FROM d GROUP BY 1""")
+def brief_by_sender(spark, sf_dir):
+    return brief(decisions(spark, sf_dir)).withColumn("subjects", F.array_join("subjects", "|"))
+
+
+def why_query(spark, sf_dir):
+    """Reasons of one message that several rules speak on."""
+    d = decisions(spark, sf_dir)
+    return why(d, 17)
+
+
+QUERIES["why"] = why_query

@@ -52,33 +52,43 @@ def _payload(part) -> str:
         return data[:MAX_BODY].decode("latin-1")
 
 
-def structure(message) -> tuple[str, str, list[dict]]:
-    """First plain text, first HTML, and the named parts of a message, breadth and depth bounded."""
-    text, html, files, seen = None, None, [], 0
-    todo = [(message, 0)]
-    while todo and seen < MAX_PARTS:
-        part, depth = todo.pop(0)
-        seen += 1
-        if part.is_multipart():
-            if depth < MAX_DEPTH:
-                todo = [(p, depth + 1) for p in part.get_payload()] + todo
-            continue
-        name, kind = part.get_filename(), part.get_content_type()
-        if name:
-            files.append({"filename": decode_words(name), "contentType": kind, "size": len(part.get_payload(decode=True) or b"")})
-        elif part.get_content_disposition() == "attachment":
-            continue
-        elif kind == "text/plain" and text is None:
-            text = _payload(part)
-        elif kind == "text/html" and html is None:
-            html = _payload(part)
-    return text or "", html or "", files
+def structure(message, depth: int = 0) -> tuple[str, str, list[dict]]:
+    """First plain text, first HTML, and the attachments of a message, breadth and depth bounded.
+
+    Attachments are parts said to be such, named parts that aren't text, and others that are neither
+    text nor nested. Within alternatives nothing counts after the first text.
+    """
+    if depth > MAX_DEPTH:
+        return "", "", []
+    name, kind = message.get_filename(), message.get_content_type()
+    if message.get_content_disposition() == "attachment" or name and not kind.startswith("text/"):
+        return "", "", [{"filename": decode_words(name or "(unnamed)"), "contentType": kind, "size": _size(message)}]
+    if message.is_multipart() and kind.startswith("multipart/"):
+        text, html, files = "", "", []
+        for part in message.get_payload()[:MAX_PARTS]:
+            t, h, f = structure(part, depth + 1)
+            text, html = text or t, html or h
+            files += f
+            if kind == "multipart/alternative" and text:
+                break
+        return text, html, files
+    if kind == "text/html":
+        return "", _payload(message), []
+    if kind.startswith("text/"):
+        return _payload(message), "", []
+    return "", "", [] if kind.startswith("multipart/") else [{"filename": "(inline)", "contentType": kind, "size": _size(message)}]
+
+
+def _size(part) -> int:
+    """Length of a part's body as it was sent."""
+    body = part.get_payload()
+    return len(body) if isinstance(body, str) else sum(len(p.as_string()) for p in body or [])
 
 
 def parse_mail(raw: str | bytes | None) -> dict:
     """Headers, addresses, subject and structure of one message; whatever it is, no error."""
     data = raw.encode("utf-8", "replace") if isinstance(raw, str) else bytes(raw or b"")
-    message = message_from_bytes(data[: MAX_HEADER + MAX_BODY])
+    message = message_from_bytes(data)
     headers: dict[str, list[str]] = {}
     for name, value in message.raw_items():
         if len(name) >= 1:

@@ -10,12 +10,14 @@ from lettermill.functions.numbers import clamp01, half_up, header_date, imap_dat
 from lettermill.functions.redact import redacted
 from lettermill.functions.text import html_to_text, safe_json
 from lettermill.operators.backtest import backtest, totals
-from lettermill.operators.batches import ask, batches, projections, stub_provider
+from lettermill.operators.asof import latest_before
+from lettermill.operators.batches import Refused, TooLarge, ask, asked, batches, projections, stub_provider
 from lettermill.operators.cascade import classify
 from lettermill.operators.correspondents import domain_stats, edges, person_stats, reply_latencies, thread_index
 from lettermill.schemas import JOURNAL
 from lettermill.sources.files import append_lines, from_cached, merged, read_lines, to_cached
-from lettermill.sources.mail import classify_response, normalize, read_transcripts, responses, since, tokens
+from lettermill.operators.triage import brief, shown, triage, why, with_statistics
+from lettermill.sources.mail import classify_response, normalize, parse_mail, read_transcripts, responses, since, tokens
 from lettermill.streaming.poll import poll, upsert_last
 
 ME = "me@home.example"
@@ -163,3 +165,100 @@ def test_poll_reads_each_file_once(spark, tmp_path):
     assert seen == [0, 1]
     a = spark.createDataFrame([(1, 1), (2, 1)], schema)
     assert {(r.k, r.seq) for r in upsert_last(a, spark.createDataFrame([(1, 5)], schema), "k", "seq").collect()} == {(1, 5), (2, 1)}
+
+
+def test_asof_across_stretches(spark):
+    import random
+
+    rnd = random.Random(2)
+    left = [(rnd.choice("ab"), rnd.randrange(200), i) for i in range(150)]
+    right = [(rnd.choice("ab"), rnd.randrange(200), 1000 + i) for i in range(60)]
+    got = latest_before(spark.createDataFrame(left, "k string, t long, i long"), spark.createDataFrame(right, "k string, t long, v long"), ["k"], "t", "v", "hit", width=7).collect()
+    for r in got:
+        earlier = [(t, -v) for k, t, v in right if k == r.k and t < r.t]
+        want = max(earlier, default=None)
+        assert (r.hit, r.hit_at) == ((None, None) if want is None else (-want[1], want[0]))
+    assert len(got) == len(left)
+
+
+NAMED = """From: a@b.c
+Content-Type: multipart/mixed; boundary=q
+
+--q
+Content-Type: multipart/alternative; boundary=z
+
+--z
+Content-Type: text/plain; name=body.txt
+
+named but text
+--z
+Content-Type: application/pdf; name=late.pdf
+
+x
+--z--
+--q
+Content-Disposition: attachment
+
+cargo
+--q
+Content-Type: image/png
+
+12345
+--q--
+"""
+
+
+def test_parts_are_told_apart():
+    got = parse_mail(NAMED)
+    assert got["text"].strip() == "named but text"  # a name alone doesn't make text cargo; alternatives end with the first text
+    assert [(a["filename"], a["contentType"]) for a in got["attachments"]] == [("(unnamed)", "text/plain"), ("(inline)", "image/png")]
+    late = "From: a@b.c\nContent-Type: multipart/mixed; boundary=q\n\n--q\n\n" + "x" * (3 << 20) + "\n--q\nContent-Disposition: attachment; filename=end.bin\n\nz\n--q--\n"
+    assert [a["filename"] for a in parse_mail(late)["attachments"]] == ["end.bin"]
+
+
+def test_triage_end_to_end(spark, inbox, sent):
+    at = F.lit("2026-08-05 12:00:00").cast("timestamp")
+    rules = spark.createDataFrame([("VIP@x", True, False), ("x@y", False, True)], "email string, is_vip boolean, is_muted boolean")
+    known = with_statistics(inbox, sent, at, rules).cache()
+    bodies = inbox.select("uid", F.lit("the fetched body").alias("bodyText"), "attachments")
+    run = triage(known, [ME], at, stub_provider, bodies)
+    got = {r.uid: r for r in run.decisions.collect()}
+    alone = {r.uid: r for r in triage(known, [ME], at).decisions.collect()}
+    assert set(got) == set(alone) == {1, 2, 3, 4, 5, 7} and any(r.escalate for r in alone.values())
+    for u, r in alone.items():
+        assert (got[u].label, got[u].tier, got[u].confidence) == (("later", 1, 0.88) if r.escalate else (r.label, 0, r.confidence))
+    unsure = [u for u, r in alone.items() if r.escalate]
+    assert sorted(u for b in run.batches.collect() for u in b.uids) == sorted(unsure)
+    assert all("the fetched body" in b.serialized for b in run.batches.collect()) and run.warnings.count() == 0
+    assert "no model is configured" in triage(known, [ME], at).warnings.first().warning
+    assert {r.code for r in why(run.decisions, unsure[0]).collect()} >= {"model"}
+    assert {r.label for r in shown(run.decisions).collect()} == {r.label for r in got.values()}
+    assert sum(r.n for r in brief(run.decisions).collect()) == sum(r.label == "brief" for r in got.values())
+
+
+def test_rules_of_people(spark, inbox, sent):
+    at = F.lit("2026-08-05 12:00:00").cast("timestamp")
+    rules = spark.createDataFrame([("eve@nowhere.example", False, True), ("ann@pals.example", True, False)], "email string, is_vip boolean, is_muted boolean")
+    known = with_statistics(inbox, sent, at, rules)
+    marked = {r.uid: (r.is_vip, r.is_muted) for r in known.collect()}
+    emails = {r.uid: r["from"].email for r in inbox.collect()}
+    assert all(marked[u] == (e == "ann@pals.example", e == "eve@nowhere.example") for u, e in emails.items())
+
+
+def test_providers_that_fail(spark, inbox):
+    b = batches(projections(inbox, [ME]), Config(batch_size=4)).cache()
+
+    def too_large(items):
+        if len(items) > 2:
+            raise TooLarge("too many")
+        return stub_provider(items)
+
+    def refuses(items):
+        raise Refused
+
+    def odd(items):
+        return [{"id": 0}, {"id": 1, "label": "now", "confidence": "high"}, {"id": 0, "label": "now", "confidence": 7}, {"id": 99, "label": "now"}, "text", {"label": "now"}]
+
+    assert {r.uid for r in ask(b, too_large).collect()} == {1, 2, 3, 4, 5, 7}
+    assert ask(b, refuses).count() == 0 and asked(b, refuses).where("warning like 'model declined%'").count() == 2
+    assert {(r.label, r.confidence) for r in ask(b, odd).collect()} == {("", 0.0), ("now", 0.0), ("now", 1.0)}
