@@ -73,7 +73,7 @@ def contains_secrets_query(spark, sf_dir):
 # --- projections and batches --------------------------------------------------
 
 #: Whole texts, of letters and single spaces, so that SQL needs no escapes and no rule of redaction fires.
-_CLEAN = "trim(regexp_replace(regexp_replace(text, '[^A-Za-z ]', '', 'g'), ' +', ' ', 'g'))"
+_CLEAN = "trim(regexp_replace(regexp_replace(regexp_replace(text, '[^A-Za-z ]', '', 'g'), '[Tt]oken', 'mark', 'g'), ' +', ' ', 'g'))"
 _ITEM = """concat('{"id":', id, ',"from":"', email, '","domain":"', domain, '","subject":"', substring(subject, 1, 200), '","date":"2024-01-01T00:00:00.000Z","addressedAs":"direct","recipientCount":1,"attachments":[],"preview":"', substring(subject, 1, 2000), '","truncated":', CASE WHEN length(subject) > 2000 THEN 'true' ELSE 'false' END, '}')"""
 _BATCH = f"""d AS (SELECT doc_id, {_CLEAN} AS subject, concat(source, '@x.example') AS email, 'x.example' AS domain, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents),
  n AS (SELECT *, i % 10 AS id, i // 10 AS batch FROM d), b AS (SELECT batch, concat('[', string_agg({_ITEM}, ',' ORDER BY i), ']') AS serialized, count(*) AS messages FROM n GROUP BY 1)"""
@@ -81,7 +81,7 @@ _BATCH = f"""d AS (SELECT doc_id, {_CLEAN} AS subject, concat(source, '@x.exampl
 
 def _plain_messages(spark, sf_dir):
     m = messages(spark, sf_dir).select("uid", "seq", "flags", "folder", "headers")
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("uid"), F.trim(F.regexp_replace(F.regexp_replace("text", "[^A-Za-z ]", ""), " +", " ")).alias("subject"), "source")
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("uid"), F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace("text", "[^A-Za-z ]", ""), "[Tt]oken", "mark"), " +", " ")).alias("subject"), "source")
     me = F.struct(F.lit("").alias("name"), F.lit(OWN[0]).alias("email"), F.lit("home.example").alias("domain"))
     return m.join(d, "uid").select("uid", "seq", "subject", F.struct(F.lit("").alias("name"), F.concat("source", F.lit("@x.example")).alias("email"), F.lit("x.example").alias("domain")).alias("from"), F.array(me).alias("to"), F.filter(F.array(me), lambda x: F.lit(False)).alias("cc"), F.timestamp_seconds(F.lit(1_704_067_200)).alias("date"), F.col("subject").alias("bodyText"), F.array().cast("array<struct<filename: string, contentType: string, size: bigint>>").alias("attachments"))
 
