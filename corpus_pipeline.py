@@ -22,26 +22,31 @@ from lettermill.llm.toxicity import fit, score_toxicity
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that aren't scored toxic. Null and empty texts are scored as such and stay; without labels of both kinds all stay; rows are judged one by one."""
     model = fit(docs, table(spark, sf_dir, "labels"))
     return score_toxicity(docs, model).where("predicted = 0").drop("score", "predicted")
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without recurring lines. Null and empty texts stay; a document is an id with a text, see ``drop_recurring_lines``; n_chars follows the text."""
     # what lost all of its text was a copy of lines that other documents keep
     left = drop_recurring_lines(docs, min_tokens=1).where("n_dropped = 0 or trim(text) <> ''").drop("n_lines", "n_dropped")
     return left.withColumn("n_chars", F.char_length("text").cast(dict(docs.dtypes)["n_chars"])).select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group, the least id. Null and empty texts and rows without an id stay; rows that repeat an id are kept or dropped together."""
     extra = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("copy"))
     return docs.join(extra, docs["doc_id"] == extra["copy"], "left_anti").select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that aren't contaminated, judged row by row; null and empty texts stay, and so does all without items."""
     return decontaminate(docs, table(spark, sf_dir, "benchmark")).select(docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Tokens of each row, with digests of ids and decoded text; a null text has none."""
     return bpe_encode(docs, VOCAB, with_decoded=False).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "token_ids")
 
 
@@ -58,6 +63,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, each on what the one before left, written to the shared folder between; an empty table passes through."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
