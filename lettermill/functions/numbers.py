@@ -43,7 +43,7 @@ def share(part: Column, whole: Column) -> Column:
 
 
 def money(usd: Column) -> Column:
-    return F.when(usd < 0.01, F.format_string("$%.4f", usd)).otherwise(F.format_string("$%.2f", usd))
+    return F.when(usd.isNull() | (usd == 0), "$0.00").when(usd < 0.01, F.format_string("$%.4f", usd)).otherwise(F.format_string("$%.2f", usd))
 
 
 def percent(x: Column) -> Column:

@@ -100,6 +100,12 @@ def quoted(text: Column) -> Column:
     return F.concat(F.lit('"'), F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
 
 
+def text_blocks(blocks: Column) -> Column:
+    """The texts of an answer's blocks (type, text) of type text, put together; empty without any."""
+    texts = F.filter(blocks, lambda b: b["type"] == "text")
+    return F.coalesce(trimmed(F.array_join(F.transform(texts, lambda b: F.coalesce(b["text"], F.lit(""))), "")), F.lit(""))
+
+
 def safe_json(text: Column, schema: str) -> Column:
     """The text as JSON, else its outermost braces as JSON, else null."""
     braces = F.regexp_extract(text, r"(?s)\{.*\}", 0)

@@ -34,6 +34,12 @@ def sign_off(body: Column) -> Column:
     return F.nullif(F.lower(F.regexp_extract(tail, SIGN_OFFS, 1)), F.lit(""))
 
 
+def examples(rows: DataFrame, most: int = 3, lines: int = 4) -> DataFrame:
+    """(seq, example): the beginnings of the last messages, as quoted lines."""
+    last = rows.orderBy(F.col("seq").desc()).limit(most)
+    return last.select("seq", F.array_join(F.transform(F.slice(_lines(F.col("bodyText")), 1, lines), lambda x: F.concat(F.lit("> "), x)), "\n").alias("example"))
+
+
 def tally(df: DataFrame, value: Column, most: int = 3) -> DataFrame:
     """(word, n): the most frequent values, of equal ones the first seen."""
     return df.select(value.alias("word"), "seq").where("word is not null").groupBy("word").agg(F.count("*").alias("n"), F.max("seq").alias("__last"), F.min("seq").alias("__first")).orderBy(F.col("n").desc(), "__first").limit(most).select("word", "n")

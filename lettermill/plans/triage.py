@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lettermill.operators.backtest import confusion_matrix, error_classes, ground_truth, per_label, projected_cost, totals, usage_cost
 from lettermill.operators.batches import stub_provider
 from lettermill.operators.cascade import classify, escalation, merge_model
+from lettermill.operators.mailbox import usage_totals
 from lettermill.operators.triage import brief, shown, triage, why
 from lettermill.plans.adapters import MAIL_SQL, OWN, messages
 from lettermill.plans.registry import QUERIES, query, table
@@ -164,7 +165,7 @@ def _costs(spark, sf_dir):
  j AS (SELECT u.*, i, o, row_number() OVER (PARTITION BY o_orderkey ORDER BY length(prefix) DESC NULLS LAST) AS k FROM u LEFT JOIN p ON starts_with(model, prefix))
  SELECT model, CAST(sum(a) AS BIGINT) AS input, CAST(sum(b) AS BIGINT) AS output, count(*) AS calls, round(CAST(sum(coalesce((a * i + b * o + 100 * i * 0.1 + 10 * i * 1.25) / 1e6, 0)) AS DOUBLE), 6) AS usd FROM j WHERE k = 1 GROUP BY 1""")
 def usage_cost_totals(spark, sf_dir):
-    return _costs(spark, sf_dir).groupBy("model").agg(F.sum("input_tokens").alias("input"), F.sum("output_tokens").alias("output"), F.count("*").alias("calls"), F.round(F.sum("usd"), 6).alias("usd"))
+    return usage_totals(_costs(spark, sf_dir)).withColumn("usd", F.round("usd", 6))
 
 
 @query(f"""WITH {_SCORES} SELECT uid, CASE WHEN {_ESC} THEN 'later' ELSE label END AS label, CASE WHEN {_ESC} THEN CAST(0.88 AS DOUBLE) ELSE confidence END AS confidence, CASE WHEN {_ESC} THEN 1 ELSE 0 END AS tier, false AS escalate FROM dec""")

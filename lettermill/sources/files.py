@@ -36,6 +36,22 @@ def from_cached(rows: DataFrame) -> DataFrame:
     return rows.withColumns({**empty, "date": F.to_timestamp("date")})
 
 
+#: Correspondents kept as one JSON object, by address.
+PEOPLE = "people map<string, struct<name: string, sentAt: array<bigint>, receivedAt: array<bigint>, latencies: array<bigint>>>"
+
+
+def read_people(spark: SparkSession, path: str) -> DataFrame:
+    """(email, name, sent_ms, received_ms, latencies) of saved correspondents; what a record lacks is empty."""
+    each = spark.read.schema(PEOPLE).json(path, multiLine=True).select(F.explode("people").alias("email", "p"))
+    times = lambda f, out: F.coalesce(F.col("p")[f], F.array().cast("array<bigint>")).alias(out)
+    return each.select("email", F.coalesce("p.name", F.lit("")).alias("name"), times("sentAt", "sent_ms"), times("receivedAt", "received_ms"), times("latencies", "latencies"))
+
+
+def read_voice(spark: SparkSession, path: str) -> DataFrame:
+    """(voice): each file's whole text."""
+    return spark.read.text(path, wholetext=True).select(F.col("value").alias("voice"))
+
+
 def append_lines(rows: DataFrame, path: str, overwrite: bool = False) -> None:
     rows.write.mode("overwrite" if overwrite else "append").json(path)
 

@@ -207,6 +207,37 @@ def fetched(data: bytes) -> dict | None:
     return {"seq": number(parts[1]), "uid": number(items.get("uid")), "flags": flags, "received": text(items.get("internaldate")), "size": number(items.get("rfc822.size")), "raw": text(body)}
 
 
+def told(data: bytes) -> list[dict]:
+    """What a response says of folders: kind list (name, flags, delimiter), found (number: a uid), exists or epoch (number)."""
+    if epoch := re.match(rb"(?i)\S+ OK .*?\[UIDVALIDITY (\d+)\]", data):
+        return [{"kind": "epoch", "number": int(epoch[1])}]
+    parts = tokens(data)
+    if len(parts) < 2 or parts[0] != b"*":
+        return []
+    text = lambda v: v.decode("utf-8", "replace") if isinstance(v, bytes) else ""
+    verb = text(parts[1]).upper()
+    if verb == "LIST" and len(parts) > 4 and text(parts[4]):
+        flags = [text(f) for f in parts[2]] if isinstance(parts[2], list) else []
+        return [{"kind": "list", "name": text(parts[4]), "flags": flags, "delimiter": text(parts[3]) or "/"}]
+    if verb == "SEARCH":
+        return [{"kind": "found", "number": int(p)} for p in parts[2:] if isinstance(p, bytes) and p.isdigit() and int(p) > 0]
+    if len(parts) > 2 and text(parts[2]).upper() == "EXISTS" and verb.isdigit():
+        return [{"kind": "exists", "number": int(verb)}]
+    return []
+
+
+def read_folders(spark: SparkSession, path: str) -> DataFrame:
+    """What captured sessions say of folders, a row for each fact: file, position, kind, name, flags, delimiter, number."""
+    columns = ["file", "position", "kind", "name", "flags", "delimiter", "number"]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = [{**row, "file": file, "position": at} for file, data in zip(frame["path"], frame["content"], strict=True) for at, r in enumerate(responses(bytes(data))) for row in told(r)]
+            yield pd.DataFrame(rows, columns=columns).astype({"number": "Int64", "position": "Int64"}).astype({c: object for c in ("name", "flags", "delimiter")}).where(lambda x: x.notna(), None)
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "file string, position long, kind string, name string, flags array<string>, delimiter string, number long")
+
+
 def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
     """Server rows of captured sessions, a file for each: what ``normalize`` takes, and file and seq."""
 
