@@ -34,11 +34,11 @@ def _sorted_mail(spark, sf_dir):
     return messages(spark, sf_dir).withColumns({"folder": place, "replyTo": F.when(F.col("uid") % 3 == 0, F.array("from")).otherwise(F.array().cast(_NONE))})
 
 
-@query(f"""WITH {MAIL_SQL}, b AS (SELECT uid, CASE uid % 4 WHEN 0 THEN 'sent' WHEN 1 THEN 'other' ELSE 'inbox' END AS kind FROM mail WHERE minutes >= (30 - 10) * 1440),
- r AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY uid DESC) AS k FROM b) SELECT uid, kind FROM r WHERE k <= 2000 AND kind <> 'other'""")
+@query(f"""WITH {MAIL_SQL}, b AS (SELECT uid, CASE uid % 4 WHEN 0 THEN 'sent' WHEN 1 THEN 'other' ELSE 'inbox' END AS kind FROM mail WHERE minutes >= 1440),
+ r AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY uid DESC) AS k FROM b) SELECT uid, kind FROM r WHERE k <= 150 AND kind <> 'other'""")
 def folder_scans(spark, sf_dir):
     m, boxes = _sorted_mail(spark, sf_dir), _boxes(spark)
-    one = lambda kind: M.scan(m, boxes, kind, _as_of(), 10).select("uid", F.lit(kind).alias("kind"))
+    one = lambda kind: M.scan(m, boxes, kind, F.timestamp_seconds(F.lit(1_704_067_200 + 2 * 86_400)), 1, 150).select("uid", F.lit(kind).alias("kind"))
     return one("inbox").unionByName(one("sent")).unionByName(one("drafts"))
 
 
