@@ -115,8 +115,28 @@ def _signs(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, PLACES)
 
 
-#: Documents whose entries a task combines in one go.
+#: Documents whose entries a task combines in one go, and entries that it links in one go.
 COMBINED = 2500
+LINKED = 1 << 16
+
+
+def _runs(batches):
+    """Of batches (key, a, b): pairs as they come, as Arrow arrays (a, b); the rows without b, in order, as runs (keys, a) of LINKED rows or so."""
+    keys, own, n = [], [], 0
+    for batch in batches:
+        b = batch.column(2)
+        if b.null_count < len(b):
+            there = b.is_valid()
+            yield batch.column(1).filter(there), b.filter(there)
+        free = b.is_null()
+        keys.append(batch.column(0).filter(free).to_numpy())
+        own.append(batch.column(1).filter(free).to_numpy())
+        n += b.null_count
+        if n >= LINKED:
+            yield np.concatenate(keys), np.concatenate(own)
+            keys, own, n = [], [], 0
+    if n:
+        yield np.concatenate(keys), np.concatenate(own)
 
 
 def star_candidates(reps: DataFrame) -> DataFrame:
@@ -141,32 +161,21 @@ def star_candidates(reps: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(mixed(np.arange(len(pairs), dtype=np.uint64) + np.uint64(len(ids))).view(np.int64)), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["key", "a", "b"])
 
     def link(batches):
-        # a partition at a time; its size is what spark.sql.shuffle.partitions makes it
-        keys, own = [], []
-        for batch in batches:
-            b = batch.column(2)
-            if b.null_count < len(b):
-                there = b.is_valid()
-                yield pa.RecordBatch.from_arrays([batch.column(1).filter(there), b.filter(there)], names=["a", "b"])
-            free = b.is_null()
-            keys.append(batch.column(0).filter(free).to_numpy())
-            own.append(batch.column(1).filter(free).to_numpy())
-        if keys:
-            key, ids = np.concatenate(keys), np.concatenate(own)
-            order = np.argsort(key, kind="stable")
-            key, ids = key[order], ids[order]
-            same = np.zeros(len(key), bool)
-            same[1:] = key[1:] == key[:-1]
-            same[:-1] |= same[1:]
-            key, ids = key[same], ids[same]
-            if len(key):
-                begin = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-                least = np.repeat(np.minimum.reduceat(ids, begin), np.diff(np.append(begin, len(key))))
-                pairs = np.unique(np.stack([ids, least], 1)[ids != least], axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+        # sorted by key, then document: the first of a key is its least, and is carried over from one run of rows to the next
+        last = least = None
+        for key, ids in _runs(batches):
+            if isinstance(key, pa.Array):
+                yield pa.RecordBatch.from_arrays([key, ids], names=["a", "b"])
+                continue
+            new = np.append(key[0] != last if last is not None else True, key[1:] != key[:-1])
+            heads = ids[new] if new[0] else np.append(least, ids[new])
+            head = heads[np.cumsum(new) - int(new[0])]
+            pairs = np.unique(np.stack([ids, head], 1)[ids != head], axis=0)
+            last, least = key[-1], head[-1]
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     entries = reps.select("id", "sig").mapInArrow(released(combine), "key long, a long, b long")
-    return entries.repartition("key").mapInArrow(released(link), "a long, b long").distinct()
+    return entries.repartition("key").sortWithinPartitions("key", "a").mapInArrow(released(link), "a long, b long").distinct()
 
 
 #: Bits of the map of a set that bounds how much two sets can share.
