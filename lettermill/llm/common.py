@@ -7,6 +7,8 @@ import gc
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -45,10 +47,27 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+#: The folder of the work at hand, in the shared folder; empty outside ``scratch``.
+_SCRATCH: ContextVar[str] = ContextVar("scratch", default="")
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables stored inside are deleted at the end: for work whose result has been written elsewhere by then."""
+    path = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
+    before = _SCRATCH.set(path)
+    try:
+        yield path
+    finally:
+        _SCRATCH.reset(before)
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write to the shared folder and read back."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{_SCRATCH.get() or shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

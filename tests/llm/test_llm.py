@@ -15,6 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 import corpus_pipeline
+from lettermill.llm import licenses, neardup, toxicity
 from lettermill.llm import queries as Q
 from lettermill.llm.bpe import Tokenizer, bpe_decode, bpe_encode
 from lettermill.llm.common import ALNUM, SPACED, Words
@@ -22,7 +23,7 @@ from lettermill.llm.components import connected_components
 from lettermill.llm.decontaminate import decontaminate, find_contamination
 from lettermill.llm.fingerprints import fingerprint_documents, fingerprint_edits
 from lettermill.llm.html import MAIN, Page, common, extract_text, line_hash, page_lines, url_key
-from lettermill.llm.licenses import scan_licenses
+from lettermill.llm.licenses import notices, scan_licenses
 from lettermill.llm.lines import drop_recurring_lines
 from lettermill.llm.neardup import near_duplicates
 from lettermill.llm.quality import score_quality, site_posteriors
@@ -255,6 +256,29 @@ def test_toxicity_gaps(spark, model):
     assert [r.predicted for r in rows] == [1, 1, 1, 1, 1, 0, 0, 0] and rows[0].lang is None
 
 
+def subsequences(word):
+    """Weight of each subsequence of three letters: the decay to the power of the letters it spans, added up."""
+    out = Counter()
+    for i in range(len(word)):
+        for j in range(i + 1, len(word)):
+            for k in range(j + 1, len(word)):
+                out[word[i] + word[j] + word[k]] += toxicity.DECAY ** (k - i + 1)
+    return out
+
+
+@given(st.lists(st.text(alphabet="^abcidot", max_size=12), min_size=1, max_size=6), st.lists(st.text(alphabet="^abcidot", min_size=3, max_size=10), min_size=1, max_size=4))
+@settings(max_examples=150, deadline=None)
+def test_kernel_equals_brute_force(words, landmarks):
+    """The normalised kernel of words, to its power; words of under three letters are like nothing."""
+    got = toxicity.Kernel(landmarks)(words)
+    for i, w in enumerate(words):
+        for j, m in enumerate(landmarks):
+            x, y = subsequences(w), subsequences(m)
+            norm = math.sqrt(sum(v * v for v in x.values()) * sum(v * v for v in y.values()))
+            want = (sum(v * y[f] for f, v in x.items()) / norm) ** toxicity.POWER if norm else 0.0
+            assert abs(got[i, j] - want) < 1e-4
+
+
 def test_toxicity_odd(spark, model):
     rows = score_toxicity(frame(spark, ODD), model).collect()
     assert len(rows) == len(ODD) and all(0 <= r.score <= 1 for r in rows)
@@ -316,6 +340,55 @@ def test_neardup_equals_brute_force(spark):
 
 def test_neardup_in_blocks(spark, monkeypatch):
     monkeypatch.setattr("lettermill.llm.neardup.BLOCK", 5)
+    monkeypatch.setattr("lettermill.llm.neardup.COMBINED", 2)
+    monkeypatch.setattr("lettermill.llm.neardup.LINKED", 3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4)
+    try:
+        test_neardup_equals_brute_force(spark)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
+
+
+@given(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 9)), max_size=30), st.integers(1, 7))
+@settings(max_examples=300, deadline=None)
+def test_runs_lose_nothing(rows, size):
+    rows = sorted(rows)
+    made = [neardup.pa.RecordBatch.from_arrays([neardup.pa.array([x[i] for x in rows[k : k + size]], neardup.pa.int64()) for i in (0, 1)] + [neardup.pa.nulls(len(rows[k : k + size]), neardup.pa.int64())], names=["key", "a", "b"]) for k in range(0, len(rows), size)]
+    runs = list(neardup._runs(made))
+    assert [(k, a) for key, own in runs for k, a in zip(key.tolist(), own.tolist(), strict=True)] == rows and all(len(key) for key, _ in runs)
+
+
+def test_star_meets_the_least(spark, monkeypatch):
+    """Each document of an entry is a candidate with the entry's least one, whatever runs the rows come in."""
+    monkeypatch.setattr(neardup, "COMBINED", 2)
+    monkeypatch.setattr(neardup, "LINKED", 3)
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 16, (5, neardup.PLACES)).astype(np.uint16)
+    signs = {}
+    for i in range(40):
+        sig = base[i % 5].copy()
+        sig[rng.integers(0, neardup.PLACES, i % 9)] += 1
+        signs[i] = sig
+    reps = spark.createDataFrame([(i, s.tobytes()) for i, s in signs.items()], "id long, sig binary").repartition(4)
+    entries = {}
+    for i, s in signs.items():
+        for e in neardup.index_entries(s[None])[0].tolist():
+            entries.setdefault(e, []).append(i)
+    want = {(i, min(ids)) for ids in entries.values() for i in ids if i != min(ids)}
+    got = {(r.a, r.b) for r in neardup.star_candidates(reps).collect()}
+    # within a task an entry's documents may meet the least of the task instead
+    of = lambda pairs: components_of_pairs(pairs, signs)
+    assert of(got) == of(want) and all(a > b for a, b in got)
+    assert all(any(a in ids and b in ids for ids in entries.values()) for a, b in got)
+
+
+def components_of_pairs(pairs, nodes):
+    up = {i: i for i in nodes}
+    while True:
+        new = {i: min([up[i], *(up[b] for a, b in pairs if a == i), *(up[a] for a, b in pairs if b == i)]) for i in nodes}
+        if new == up:
+            return up
+        up = new
     test_neardup_equals_brute_force(spark)
 
 
@@ -428,6 +501,46 @@ def test_licenses_fuzzy(spark):
     assert rows[3].labels == rows[8].labels == "" and rows[8].score == 0
 
 
+def within(phrase, edits, text, i):
+    """Ends j, at words' ends, of pieces text[i:j] that are at most so many edits from the phrase."""
+    row = list(range(len(phrase) + 1))
+    for j in range(i, min(len(text), i + len(phrase) + edits)):
+        new = [row[0] + 1]
+        for k, c in enumerate(phrase):
+            new.append(min(row[k] + (c != text[j]), row[k + 1] + 1, new[k] + 1))
+        row = new
+        if text[j + 1 : j + 2] == " " and row[-1] <= edits:
+            yield j + 1, row[-1]
+
+
+def test_fuzzy_licenses_equal_brute_force():
+    """Wherever words are within the edits of a notice, a match covers or touches the place, and its edits and span are true."""
+    import random
+
+    rnd = random.Random(11)
+    known = [n for n, _ in notices(tuple(licenses.BASE.items()), tuple(licenses.MORE.items()), licenses.LETTERS_AN_EDIT)]
+    filler = "the of under a license by cc mit gnu public general apache and terms licence".split()
+    hits = 0
+    for _ in range(600):
+        words = [rnd.choice(filler) for _ in range(rnd.randrange(6))]
+        for _ in range(rnd.randrange(1, 4)):
+            phrase = list(rnd.choice(known).phrase.decode().strip())
+            for _ in range(rnd.randrange(5)):
+                at = rnd.randrange(len(phrase))
+                phrase[at : at + rnd.randrange(2)] = rnd.choice(["", "x", "e", " ", "li"])
+            words += "".join(phrase).split() + [rnd.choice(filler) for _ in range(rnd.randrange(3))]
+        text = f" {' '.join(words)} "
+        for notice in known:
+            phrase = notice.phrase.decode().strip()
+            want = [(i, j, e) for i in range(1, len(text)) if text[i - 1] == " " for j, e in within(phrase, notice.edits, text, i)]
+            got = notice.matches(text.encode())
+            hits += len(got)
+            assert all(any(i < b and a < j for a, b, _ in got) for i, j, _ in want), (text, phrase, want, got)
+            assert all(any((a, b) == (i, j) and n >= e for i, j, e in want) for a, b, n in got), (text, phrase, want, got)
+            assert {(i, j) for i, j, e in want if e == 0} == {(a, b) for a, b, n in got if n == 0}
+    assert hits > 500
+
+
 # --- 8 ------------------------------------------------------------------------
 
 
@@ -728,3 +841,16 @@ def test_pipeline(spark):
     assert all(not (h and 20 * h >= n) for n, h, _ in (hits_of(t, items) for t in left.values()))
     tokens = corpus_pipeline.encode(spark, docs, SF).collect()
     assert {r.doc_id for r in tokens} == set(left) and all(math.isfinite(r.n_tokens) for r in tokens)
+
+
+def test_pipeline_as_a_whole(spark, tmp_path, monkeypatch):
+    """run() gives what the stages give one after the other, and what stages stored on their way is gone."""
+    monkeypatch.setattr(corpus_pipeline, "shared_dir", lambda spark: f"file://{tmp_path}/out")
+    monkeypatch.setattr("lettermill.llm.common.shared_dir", lambda spark: f"file://{tmp_path}/way")
+    rows = corpus_pipeline.run(spark, SF).select("doc_id", "n_tokens", "ids_sha256").collect()
+    assert not list((tmp_path / "way").glob("*"))
+    assert sorted(x.name.split("-")[1] for x in (tmp_path / "out").iterdir()) == sorted(name for name, _ in corpus_pipeline.STAGES)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SF).cache()
+    assert sorted(rows) == sorted(docs.select("doc_id", "n_tokens", "ids_sha256").collect()) and rows
