@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lettermill.llm.bpe import bpe_encode
-from lettermill.llm.common import shared_dir
+from lettermill.llm.common import scratch, shared_dir
 from lettermill.llm.decontaminate import decontaminate
 from lettermill.llm.lines import drop_recurring_lines
 from lettermill.llm.neardup import near_duplicates
@@ -63,10 +63,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, each on what the one before left, written to the shared folder between; an empty table passes through."""
+    """All stages, each on what the one before left, written to the shared folder between; an empty table passes through.
+
+    What a stage stores on its way is deleted once its result is written; the results of stages stay.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
