@@ -4,103 +4,19 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from email import message_from_bytes
-from email.header import decode_header
-from email.utils import getaddresses
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lettermill.functions.headers import kept_headers
+from lettermill.functions.headers import KEPT_HEADERS
+from lettermill.functions.mime import ADDRESS, address_list, decode_words, head_and_body, header, with_structure
 from lettermill.functions.numbers import header_date
 from lettermill.functions.text import best_text, message_id, thread_key, trimmed
 
-# Bounds of what is read of one message.
-MAX_HEADER, MAX_BODY, MAX_PARTS, MAX_DEPTH, MAX_ADDRESSES = 256 << 10, 2 << 20, 64, 8, 256
+# Bounds of what is read of one response.
 MAX_LITERAL, MAX_LINE = 8 << 20, 128 << 10
 
-_PARSED = "headers map<string, array<string>>, addresses map<string, array<struct<name: string, email: string, domain: string>>>, subject string, text string, html string, attachments array<struct<filename: string, contentType: string, size: bigint>>"
-
-
-def decode_words(value: str) -> str:
-    """Encoded words as text; what can't be decoded stays."""
-    try:
-        return "".join(b if isinstance(b, str) else b.decode(c or "latin-1", "replace") for b, c in decode_header(value))
-    except (LookupError, ValueError):
-        return value
-
-
-def addresses(value: str) -> list[dict]:
-    """The addresses of a header; one without @ has only a name."""
-    out = []
-    for name, email in getaddresses([value], strict=False)[:MAX_ADDRESSES]:
-        email = email.strip().removeprefix("mailto:").lower()
-        name = decode_words(name).strip()
-        if "@" in email:
-            out.append({"name": name, "email": email, "domain": email.rpartition("@")[2]})
-        elif name or email:
-            out.append({"name": name or email, "email": "", "domain": ""})
-    return out
-
-
-def _payload(part) -> str:
-    data = part.get_payload(decode=True) or b""
-    try:
-        return data[:MAX_BODY].decode(part.get_content_charset() or "utf-8", "replace")
-    except LookupError:
-        return data[:MAX_BODY].decode("latin-1")
-
-
-def structure(message, depth: int = 0) -> tuple[str, str, list[dict]]:
-    """First plain text, first HTML, and the attachments of a message, breadth and depth bounded.
-
-    Attachments are parts said to be such, named parts that aren't text, and others that are neither
-    text nor nested. Within alternatives nothing counts after the first text.
-    """
-    if depth > MAX_DEPTH:
-        return "", "", []
-    name, kind = message.get_filename(), message.get_content_type()
-    if message.get_content_disposition() == "attachment" or name and not kind.startswith("text/"):
-        return "", "", [{"filename": decode_words(name or "(unnamed)"), "contentType": kind, "size": _size(message)}]
-    if message.is_multipart() and kind.startswith("multipart/"):
-        text, html, files = "", "", []
-        for part in message.get_payload()[:MAX_PARTS]:
-            t, h, f = structure(part, depth + 1)
-            text, html = text or t, html or h
-            files += f
-            if kind == "multipart/alternative" and text:
-                break
-        return text, html, files
-    if kind == "text/html":
-        return "", _payload(message), []
-    if kind.startswith("text/"):
-        return _payload(message), "", []
-    return "", "", [] if kind.startswith("multipart/") else [{"filename": "(inline)", "contentType": kind, "size": _size(message)}]
-
-
-def _size(part) -> int:
-    """Length of a part's body as it was sent."""
-    body = part.get_payload()
-    return len(body) if isinstance(body, str) else sum(len(p.as_string()) for p in body or [])
-
-
-def parse_mail(raw: str | bytes | None) -> dict:
-    """Headers, addresses, subject and structure of one message; whatever it is, no error."""
-    data = raw.encode("utf-8", "replace") if isinstance(raw, str) else bytes(raw or b"")
-    message = message_from_bytes(data)
-    headers: dict[str, list[str]] = {}
-    for name, value in message.raw_items():
-        if len(name) >= 1:
-            headers.setdefault(name.lower(), []).append(re.sub(r"\r?\n[ \t]+", " ", str(value)).strip())
-    first = lambda n: headers.get(n, [""])[0]
-    text, html, files = structure(message)
-    return {"headers": headers, "addresses": {n: addresses(first(n)) for n in ("from", "to", "cc", "reply-to")}, "subject": decode_words(first("subject")).strip(), "text": text, "html": html, "attachments": files}
-
-
-def _parse_all(raw: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([parse_mail(x) for x in raw], columns=["headers", "addresses", "subject", "text", "html", "attachments"])
-
 
 def normalize(rows: DataFrame, folder: str = "INBOX") -> DataFrame:
     """Message rows of server rows (uid, raw, flags, internalDate, size).
@@ -109,20 +25,24 @@ def normalize(rows: DataFrame, folder: str = "INBOX") -> DataFrame:
     Null raw is a message without headers and body.
     """
     raw = F.coalesce("raw", F.lit(""))
-    parsed = F.pandas_udf(_parse_all, _PARSED)
-    p = rows.where("uid is not null").withColumn("__p", parsed(raw))
-    header = lambda n: F.coalesce(F.get(F.col("__p.headers")[n], F.lit(0)), F.lit(""))
-    who = lambda n: F.coalesce(F.col("__p.addresses")[n], F.array().cast("array<struct<name: string, email: string, domain: string>>"))
+    fields = ("message-id", "references", "in-reply-to", "date", "subject")
+    people = {"from": "from", "to": "to", "cc": "cc", "replyTo": "reply-to"}
+    head = F.col("__head")
+    value = lambda n: F.col("__h")[n]
+    p = rows.where("uid is not null").withColumn("__head", head_and_body(raw)["head"])
+    p = p.withColumn("__h", F.struct(*(header(head, n).alias(n) for n in (*fields, *people.values())), F.map_from_arrays(F.array(*map(F.lit, KEPT_HEADERS)), F.array(*(header(head, n) for n in KEPT_HEADERS))).alias("kept")))
     split = F.regexp_instr(raw, F.lit(r"\r?\n\r?\n"))
     has_body = (split > 0) & (F.char_length(raw) > split + 1)
-    own = message_id(header("message-id"))
-    nobody = F.struct(F.lit("").alias("name"), F.lit("").alias("email"), F.lit("").alias("domain"))
+    p = with_structure(p, F.when(has_body, raw).otherwise(""), "__s")
+    own = message_id(value("message-id"))
+    nobody = F.struct(F.lit("").alias("name"), F.lit("").alias("email"), F.lit("").alias("domain")).cast(ADDRESS)
+    who = {k: address_list(value(n)) for k, n in people.items()}
     return p.select(
-        F.col("uid").cast("long").alias("uid"), F.lit(folder).alias("folder"), own.alias("messageId"), thread_key(header("references"), header("in-reply-to"), own).alias("threadId"),
-        F.coalesce(F.get(who("from"), F.lit(0)), nobody).alias("from"), who("to").alias("to"), who("cc").alias("cc"), who("reply-to").alias("replyTo"), trimmed(F.col("__p.subject")).alias("subject"),
-        F.coalesce(F.col("internalDate"), header_date(header("date")), F.timestamp_seconds(F.lit(0))).alias("date"), F.coalesce("flags", F.array().cast("array<string>")).alias("flags"),
-        F.coalesce(F.nullif(F.col("size"), F.lit(0)), F.char_length(raw)).cast("long").alias("size"), kept_headers(F.col("__p.headers")).alias("headers"),
-        F.when(has_body, best_text(F.col("__p.text"), F.col("__p.html"))).otherwise("").alias("bodyText"), F.col("__p.attachments").alias("attachments"), has_body.alias("hasBody"),
+        F.col("uid").cast("long").alias("uid"), F.lit(folder).alias("folder"), own.alias("messageId"), thread_key(value("references"), value("in-reply-to"), own).alias("threadId"),
+        F.coalesce(F.get(who["from"], F.lit(0)), nobody).alias("from"), *(who[k].alias(k) for k in ("to", "cc", "replyTo")), trimmed(decode_words(value("subject"))).alias("subject"),
+        F.coalesce(F.col("internalDate"), header_date(value("date")), F.timestamp_seconds(F.lit(0))).alias("date"), F.coalesce("flags", F.array().cast("array<string>")).alias("flags"),
+        F.coalesce(F.nullif(F.col("size"), F.lit(0)), F.char_length(raw)).cast("long").alias("size"), F.map_filter(value("kept"), lambda k, v: v != "").alias("headers"),
+        F.when(has_body, best_text(F.col("__s.text"), F.col("__s.html"))).otherwise("").alias("bodyText"), F.col("__s.attachments").alias("attachments"), has_body.alias("hasBody"),
     )
 
 

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lettermill.config import Config
+from lettermill.functions.mime import with_structure
 from lettermill.functions.numbers import clamp01, half_up, header_date, imap_date, money
 from lettermill.functions.redact import redacted
 from lettermill.functions.text import html_to_text, safe_json
@@ -17,7 +18,7 @@ from lettermill.operators.correspondents import domain_stats, edges, person_stat
 from lettermill.schemas import JOURNAL
 from lettermill.sources.files import append_lines, from_cached, merged, read_lines, to_cached
 from lettermill.operators.triage import brief, shown, triage, why, with_statistics
-from lettermill.sources.mail import classify_response, normalize, parse_mail, read_transcripts, responses, since, tokens
+from lettermill.sources.mail import classify_response, normalize, read_transcripts, responses, since, tokens
 from lettermill.streaming.poll import poll, upsert_last
 
 ME = "me@home.example"
@@ -27,8 +28,14 @@ def mail(sender, subject="s", body="b", to=ME, extra="", mid="<1@x>", date="Mon,
     return f"From: {sender}\r\nTo: {to}\r\nSubject: {subject}\r\nMessage-ID: {mid}\r\nDate: {date}\r\n{extra}\r\n{body}\r\n"
 
 
+def kept(spark, messages, path):
+    """Messages as a sync leaves them: in a table."""
+    messages.write.mode("overwrite").parquet(f"file://{path}")
+    return spark.read.parquet(f"file://{path}")
+
+
 @pytest.fixture(scope="module")
-def inbox(spark):
+def inbox(spark, tmp_path_factory):
     raw = [
         (1, mail("News <news@shop.example>", extra="List-Id: <l>\r\n")),
         (2, mail("robot@x.example", extra="Auto-Submitted: auto-generated\r\n", mid="<2@x>")),
@@ -39,18 +46,18 @@ def inbox(spark):
         (7, None),
     ]
     rows = spark.createDataFrame(raw, "uid long, raw string").withColumns({"flags": F.array().cast("array<string>"), "internalDate": F.lit(None).cast("timestamp"), "size": F.lit(0)})
-    return normalize(rows).withColumn("seq", F.col("uid")).cache()
+    return kept(spark, normalize(rows).withColumn("seq", F.col("uid")), tmp_path_factory.mktemp("inbox"))
 
 
 @pytest.fixture(scope="module")
-def sent(spark):
+def sent(spark, tmp_path_factory):
     raw = [(i, mail(ME, to=to, mid=f"<s{i}@home>", extra=extra, date=date)) for i, to, extra, date in (
         (11, "ann@pals.example", "References: <root@home>\r\n", "Sat, 1 Aug 2026 09:00:00 +0000"),
         (12, "ann@pals.example, bob@pals.example", "", "Sun, 2 Aug 2026 09:00:00 +0000"),
         (13, "ann@pals.example", "", "Tue, 4 Aug 2026 09:00:00 +0000"),
     )]
     rows = spark.createDataFrame(raw, "uid long, raw string").withColumns({"flags": F.array().cast("array<string>"), "internalDate": F.lit(None).cast("timestamp"), "size": F.lit(0)})
-    return normalize(rows, "Sent").withColumn("seq", F.col("uid")).cache()
+    return kept(spark, normalize(rows, "Sent").withColumn("seq", F.col("uid")), tmp_path_factory.mktemp("sent"))
 
 
 def test_normalize(inbox):
@@ -208,12 +215,12 @@ Content-Type: image/png
 """
 
 
-def test_parts_are_told_apart():
-    got = parse_mail(NAMED)
-    assert got["text"].strip() == "named but text"  # a name alone doesn't make text cargo; alternatives end with the first text
-    assert [(a["filename"], a["contentType"]) for a in got["attachments"]] == [("(unnamed)", "text/plain"), ("(inline)", "image/png")]
-    late = "From: a@b.c\nContent-Type: multipart/mixed; boundary=q\n\n--q\n\n" + "x" * (3 << 20) + "\n--q\nContent-Disposition: attachment; filename=end.bin\n\nz\n--q--\n"
-    assert [a["filename"] for a in parse_mail(late)["attachments"]] == ["end.bin"]
+def test_parts_are_told_apart(spark):
+    late = "From: a@b.c\nContent-Type: multipart/mixed; boundary=q\n\n--q\nX: y\n\n" + "x" * (3 << 20) + "\n--q\nContent-Disposition: attachment; filename=end.bin\n\nz\n--q--\n"
+    got = spark.createDataFrame([(0, NAMED), (1, late)], "i int, raw string").transform(with_structure, F.col("raw"), "s").orderBy("i").collect()
+    assert got[0].s.text.strip() == "named but text"  # a name alone doesn't make text cargo; alternatives end with the first text
+    assert [(a.filename, a.contentType) for a in got[0].s.attachments] == [("(unnamed)", "text/plain"), ("(inline)", "image/png")]
+    assert [a.filename for a in got[1].s.attachments] == ["end.bin"] and len(got[1].s.text) == 2 << 20
 
 
 def test_triage_end_to_end(spark, inbox, sent):
