@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -77,6 +78,18 @@ class Refused(Exception):
     """A provider won't answer."""
 
 
+def confidence(answer: dict) -> float:
+    """An answer's confidence by the rule of ``clamp01``: between 0 and 1, 0.5 if it is missing or no finite number; null and blank text are 0."""
+    value = answer.get("confidence", "none")
+    if value is None or isinstance(value, str) and not value.strip():
+        return 0.0
+    try:
+        number = float(value) if isinstance(value, (int, float, str)) else math.nan
+    except (ValueError, OverflowError):
+        return 0.5
+    return min(1.0, max(0.0, number)) if math.isfinite(number) else 0.5
+
+
 def _answers(items: list[dict], uids: list[int], provider: Callable[[list[dict]], list[dict]], split: bool = True) -> list[tuple]:
     """Rows (uid, label, confidence, rationale, seq, warning) of one batch; a warning is a row of its own."""
     try:
@@ -98,12 +111,7 @@ def _answers(items: list[dict], uids: list[int], provider: Callable[[list[dict]]
         at = a.get("id") if isinstance(a, dict) else None
         if not isinstance(at, int) or isinstance(at, bool) or not 0 <= at < len(uids):
             continue
-        try:
-            confidence = min(1.0, max(0.0, float(a.get("confidence", 0))))
-        except (TypeError, ValueError):
-            confidence = 0.0
-        confidence = 0.0 if confidence != confidence else confidence
-        out.append((int(uids[at]), str(a.get("label", "")), confidence, str(a.get("rationale", "")), seq, None))
+        out.append((int(uids[at]), str(a.get("label", "")), confidence(a), str(a.get("rationale", "")), seq, None))
     return out
 
 

@@ -12,6 +12,7 @@ from lettermill.config import LABELS, Config
 from lettermill.operators.batches import asked, batches, digest, projections
 from lettermill.operators.cascade import classify, merge_model
 from lettermill.operators.correspondents import capped, domain_stats, edges, person_stats, thread_index, with_rules
+from lettermill.sources.shared import settled
 
 #: Labels in the order in which they are shown, and how many messages of each at most.
 SHOWN, SHOWN_EACH = ("now", "later", "brief", "noise"), 20
@@ -27,11 +28,6 @@ class Run:
     warnings: DataFrame
 
 
-def _settled(df: DataFrame) -> DataFrame:
-    """Evaluated once: a provider isn't asked again for what it has answered."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
-
-
 def with_statistics(messages: DataFrame, sent: DataFrame, as_of: Column, rules: DataFrame | None = None, config: Config = Config()) -> DataFrame:
     """Messages with what is known of their sender, domain and thread before ``as_of``."""
     graph = capped(edges(messages, sent), config.history_cap).where(F.col("ts_ms") < F.unix_millis(as_of))
@@ -67,7 +63,7 @@ def triage(statistics: DataFrame, own: Sequence[str], as_of: Column, provider: C
     sent = batches(projections(unsure, own, config), config)
     if explain:
         return Run(judged, sent, None, spark.createDataFrame([], "warning string"))
-    said = _settled(asked(sent, provider))
+    said = settled(asked(sent, provider), "answers")
     return Run(merge_model(judged, said.where("uid is not null").drop("warning")), sent, said, said.where("warning is not null").select("warning"))
 
 

@@ -114,14 +114,19 @@ def classify_response(data: bytes) -> str:
     return m[1].decode().upper() if m else "unknown"
 
 
-def fetched(data: bytes) -> dict | None:
-    """seq, uid, flags, internalDate, size and raw of a FETCH response; of repeated items the last counts."""
+def fetched(data: bytes, wanted=None) -> dict | None:
+    """seq, uid, flags, internalDate, size and raw of a FETCH response; of repeated items the last counts.
+
+    ``wanted`` (uid, date as text) may turn a response down before its flags and text are decoded.
+    """
     parts = tokens(data)
     if len(parts) < 4 or parts[0] != b"*" or (parts[2] or b"").upper() != b"FETCH" or not isinstance(parts[3], list):
         return None
     items = {k.decode("latin-1").lower(): v for k, v in zip(parts[3][::2], parts[3][1::2], strict=False) if isinstance(k, bytes)}
     text = lambda v: v.decode("latin-1") if isinstance(v, bytes) else None
     number = lambda v: int(v) if isinstance(v, bytes) and v.isdigit() else None
+    if wanted is not None and not wanted(number(items.get("uid")), text(items.get("internaldate"))):
+        return None
     body = next((v for k, v in items.items() if k.startswith("body[") or k.startswith("rfc822") and k != "rfc822.size"), None)
     flags = [text(f) for f in items.get("flags") or [] if isinstance(f, bytes)]
     return {"seq": number(parts[1]), "uid": number(items.get("uid")), "flags": flags, "received": text(items.get("internaldate")), "size": number(items.get("rfc822.size")), "raw": text(body)}

@@ -12,7 +12,7 @@ from lettermill.functions.redact import redacted
 from lettermill.functions.text import html_to_text, safe_json
 from lettermill.operators.backtest import backtest, totals
 from lettermill.operators.asof import latest_before
-from lettermill.operators.batches import Refused, TooLarge, ask, asked, batches, projections, stub_provider
+from lettermill.operators.batches import Refused, TooLarge, ask, asked, batches, confidence, projections, stub_provider
 from lettermill.operators.cascade import classify
 from lettermill.operators.correspondents import domain_stats, edges, person_stats, reply_latencies, thread_index
 from lettermill.schemas import JOURNAL
@@ -268,4 +268,6 @@ def test_providers_that_fail(spark, inbox):
 
     assert {r.uid for r in ask(b, too_large).collect()} == {1, 2, 3, 4, 5, 7}
     assert ask(b, refuses).count() == 0 and asked(b, refuses).where("warning like 'model declined%'").count() == 2
-    assert {(r.label, r.confidence) for r in ask(b, odd).collect()} == {("", 0.0), ("now", 0.0), ("now", 1.0)}
+    assert {(r.label, r.confidence) for r in ask(b, odd).collect()} == {("", 0.5), ("now", 0.5), ("now", 1.0)}
+    said = {"missing": {}, "null": {"confidence": None}, "nan": {"confidence": float("nan")}, "inf": {"confidence": float("inf")}, "text": {"confidence": "0.25"}, "words": {"confidence": "high"}, "low": {"confidence": -3}, "list": {"confidence": [1, 2]}, "blank": {"confidence": " "}}
+    assert {k: confidence(v) for k, v in said.items()} == {"missing": 0.5, "null": 0.0, "nan": 0.5, "inf": 0.5, "text": 0.25, "words": 0.5, "low": 0.0, "list": 0.5, "blank": 0.0}
