@@ -8,7 +8,7 @@ recur across documents are dropped from all but the first document that has them
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lettermill.llm.common import stored
@@ -23,8 +23,8 @@ MIN_TOKENS = 4
 MIN_DOCS = 2
 #: Share of a line's places, and least number of them, that must agree with its template's first line.
 FIXED, FIXED_PLACES = 0.6, 3
-#: Up to so many lines of a leaf are put in templates one after the other; larger leaves are brought down to that first.
-TOGETHER = 128
+#: So many lines of each leaf are judged together, and how often, before what is left meets by its rarest tokens.
+TOGETHER, ROUNDS = 64, 2
 
 
 def _squeezed(line: Column) -> Column:
@@ -61,68 +61,93 @@ def _order(pos: Column | None = None) -> Column:
     return F.struct(F.col("doc").isNull().alias("none"), F.col("doc").alias("doc"), F.col("hash").alias("hash"), *([pos.alias("pos")] if pos is not None else []))
 
 
-def _agree(x: Column, y: Column) -> Column:
-    """Whether two lines of one leaf have enough tokens in common; 0 stands for a field and agrees with nothing."""
-    same = F.size(F.filter(F.zip_with(x, y, lambda a, b: (a == b) & (a != 0)), lambda e: e))
-    return same >= F.greatest(F.ceil(F.size(x) * FIXED), F.lit(FIXED_PLACES))
+def _needed(tokens: Column) -> Column:
+    """On how many places a line must agree with another."""
+    return F.greatest(F.ceil(F.size(tokens) * FIXED), F.lit(FIXED_PLACES)).cast("int")
 
 
-def _led(groups: DataFrame) -> DataFrame:
-    """(leaf, group, line, lead, tokens): for each line of a group its template's first line.
+def _agree(x: Column, y: Column) -> Column:
+    """Whether two lines of one leaf have enough tokens in common."""
+    return F.size(F.filter(F.zip_with(x, y, lambda a, b: a == b), lambda e: e)) >= _needed(x)
 
-    Columns of groups: leaf, group, line, tokens; at most TOGETHER lines a group. Lines come in the
-    order of their hashes; one that agrees with none of the first lines so far begins a template.
-    """
-    one = groups.groupBy("leaf", "group").agg(F.sort_array(F.collect_list(F.struct("line", "tokens"))).alias("g"))
+
+def _leads(rows: DataFrame) -> DataFrame:
+    """(leaf, leads): the lines that begin templates among the first ``TOGETHER`` of each leaf by hash, in that order."""
+    place = F.row_number().over(Window.partitionBy("leaf").orderBy("line"))
+    first = rows.withColumn("place", place).where(F.col("place") <= TOGETHER)
+    one = first.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("line", "tokens"))).alias("g"))
     none = F.filter("g", lambda x: F.lit(False))
     leads = F.aggregate("g", none, lambda acc, x: F.when(F.exists(acc, lambda y: _agree(y["tokens"], x["tokens"])), acc).otherwise(F.array_append(acc, x)))
-    one = one.withColumn("leads", leads).select("leaf", "group", "leads", F.explode("g").alias("x"))
-    # a first line agrees with itself, unless it has too few places to agree on
-    lead = F.coalesce(F.get(F.filter("leads", lambda y: _agree(y["tokens"], F.col("x.tokens"))), F.lit(0))["line"], F.col("x.line"))
-    return one.select("leaf", "group", F.col("x.line").alias("line"), lead.alias("lead"), F.col("x.tokens").alias("tokens"))
+    return one.select("leaf", leads.alias("leads"))
 
 
-def _brought_down(wide: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of large leaves: (line, shape) for each line, and groups (leaf, group, line, tokens) of the shapes.
+def _pairs(rows: DataFrame) -> DataFrame:
+    """(u, v), u before v: the lines of a leaf that agree.
 
-    A line's shape keeps the tokens that its leaf has most often at their places: as many as a
-    template must fix, and those as frequent as the last of these. Shapes of a leaf that are still
-    too many are parted by as few leading tokens more as bring them down.
+    Leading tokens are a leaf's own, so that lines which agree share k - need + 1 others at least: among the rarest
+    so many of each (place, token) there must be a common one.
     """
-    each = wide.select("leaf", "line", F.posexplode("tokens").alias("at", "token"))
+    free = F.slice(F.transform("tokens", lambda t, i: F.struct(i.alias("at"), t.alias("token"))), F.lit(LEADING + 1), F.size("tokens") - LEADING)
+    each = rows.select("leaf", "line", (_needed(F.col("tokens")) - LEADING).alias("need"), F.explode(free).alias("x")).select("leaf", "line", "need", "x.at", "x.token")
     often = stored(each.groupBy("leaf", "at", "token").agg(F.count("*").alias("n")), "token-counts")
-    back = each.join(_small(often, 40), ["leaf", "at", "token"]).groupBy("leaf", "line").agg(F.sort_array(F.collect_list(F.struct("at", "token", "n"))).alias("t"))
-    least = F.element_at(F.sort_array(F.transform("t", lambda x: x["n"]), asc=False), F.least(F.size("t"), F.greatest(F.ceil(F.size("t") * FIXED), F.lit(FIXED_PLACES))).cast("int"))
-    shaped = back.withColumn("least", least).select("leaf", "line", F.transform("t", lambda x: F.when(x["n"] >= F.col("least"), x["token"]).otherwise(F.lit(0).cast("long"))).alias("tokens"))
-    shaped = stored(shaped.withColumn("shape", F.xxhash64("leaf", "tokens")), "shapes")
-    shapes = shaped.groupBy("leaf", "shape").agg(F.first("tokens").alias("tokens"))
-    depths = F.filter(F.array(*(F.lit(d) for d in (2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128, 256, 512, 1024, 4096, 1 << 30))), lambda d: (d == 2) | (d < 2 * F.size("tokens")))
-    parted = shapes.select("leaf", "shape", F.explode(depths).alias("depth"), "tokens").select("leaf", "shape", "depth", F.xxhash64("leaf", "depth", F.slice("tokens", F.lit(1), F.col("depth"))).alias("group"))
-    fits = parted.groupBy("leaf", "group").agg(F.count("*").alias("n")).where(F.col("n") <= TOGETHER).select("leaf", "group")
-    chosen = parted.join(_small(stored(fits, "fitting-groups"), 24), ["leaf", "group"]).groupBy("leaf", "shape").agg(F.min(F.struct("depth", "group")).alias("d")).select("leaf", "shape", F.col("d.group").alias("group"))
-    return shaped.select("line", "shape"), shapes.join(chosen, ["leaf", "shape"]).select("leaf", "group", F.col("shape").alias("line"), "tokens")
+    back = each.join(_small(often, 40), ["leaf", "at", "token"]).groupBy("leaf", "line", "need").agg(F.sort_array(F.collect_list(F.struct("n", "at", "token"))).alias("t"))
+    rare = back.select("leaf", "line", F.explode(F.slice("t", F.lit(1), F.size("t") - F.col("need") + 1)).alias("x")).where("x.n > 1")
+    keyed = stored(rare.select(F.xxhash64("leaf", "x.at", "x.token").alias("key"), "line"), "rare-tokens")
+    met = keyed.select("key", F.col("line").alias("u")).join(keyed.select("key", F.col("line").alias("v")), "key").where("u < v").select("u", "v").distinct()
+    x, y = (rows.select(F.col("line").alias(c), F.col("tokens").alias(f"{c}_tokens"), F.col("leaf").alias(f"{c}_leaf")) for c in "uv")
+    return met.join(x, "u").join(y, "v").where((F.col("u_leaf") == F.col("v_leaf")) & _agree(F.col("u_tokens"), F.col("v_tokens"))).select("u", "v")
+
+
+def _first_agreeing(edges: DataFrame) -> DataFrame:
+    """(line, lead) of lines that agree with a line that begins a template before them: the first such one.
+
+    In rounds: what no undecided line before it agrees with begins a template, what agrees with one of these doesn't.
+    """
+    edges = stored(edges, "agreeing")
+    left, begins = edges, None
+    while not left.isEmpty():
+        later = left.select(F.col("v").alias("line")).distinct()
+        new = left.select(F.col("u").alias("line")).distinct().join(later, "line", "left_anti")
+        new = stored(new, "begins")
+        begins = new if begins is None else begins.unionByName(new)
+        gone = new.unionByName(left.join(new.withColumnRenamed("line", "u"), "u", "left_semi").select(F.col("v").alias("line")).distinct())
+        gone = stored(gone, "decided")
+        # lines whose last undecided neighbour goes may begin templates of their own: edges between undecided lines stay
+        waiting = left.join(gone.withColumnRenamed("line", "u"), "u", "left_anti").join(gone.withColumnRenamed("line", "v"), "v", "left_anti")
+        freed = left.select(F.col("u").alias("line")).unionByName(left.select(F.col("v").alias("line"))).distinct().join(gone, "line", "left_anti")
+        waiting = stored(waiting.select("u", "v"), "waiting")
+        held = waiting.select(F.col("u").alias("line")).unionByName(waiting.select(F.col("v").alias("line"))).distinct()
+        begins = begins.unionByName(freed.join(held, "line", "left_anti"))
+        left = waiting
+    if begins is None:
+        return edges.select(F.col("v").alias("line"), F.col("u").alias("lead"))
+    begins = stored(begins.distinct(), "leads")
+    return edges.join(begins.withColumnRenamed("line", "u"), "u", "left_semi").join(begins.withColumnRenamed("line", "v"), "v", "left_anti").groupBy(F.col("v").alias("line")).agg(F.min("u").alias("lead"))
 
 
 def _templates(wide: DataFrame) -> DataFrame:
-    """(line, template) of lines that share a template with another of their leaf; columns of wide: leaf, line, words."""
+    """(line, template) of lines that share a template with another of their leaf; columns of wide: leaf, line, words.
+
+    Lines of a leaf come in the order of their hashes. One that agrees with none of the first lines of the templates so
+    far begins a template, otherwise it belongs to the first that it agrees with. Leaves of all sizes go the same way: the
+    first lines of each leaf are judged together, twice, and all others held against the templates that they
+    begin, which settles small leaves and large templates; what is left meets by the rarest tokens.
+    """
     hashes = F.transform(F.split("words", " "), lambda w: F.xxhash64(w))
     rows = wide.select("leaf", "line", hashes.alias("tokens"))
-    sizes = stored(wide.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") > TOGETHER).select("leaf"), "large-sizes")
-    large = rows.join(_small(sizes, 16), "leaf", "left_semi")
-    found = _led(rows.join(_small(sizes, 16), "leaf", "left_anti").select("leaf", F.col("leaf").alias("group"), "line", "tokens")).select("line", F.xxhash64("leaf", "lead").alias("template"))
-    if sizes.isEmpty():
-        return found
-    shape_of, groups = _brought_down(large)
-    led = stored(_led(groups), "large-leaves")
-    # a shape alone in its group may still belong to one of the leaf's largest templates
-    kinds = led.groupBy("leaf", "lead").agg(F.count("*").alias("n"), F.first(F.when(F.col("line") == F.col("lead"), F.col("tokens")), ignorenulls=True).alias("tokens"))
-    alone = led.join(kinds.where("n = 1").select("leaf", "lead"), ["leaf", "lead"], "left_semi")
-    most = F.transform(F.slice(F.sort_array(F.collect_list(F.struct("n", "lead")), asc=False), 1, TOGETHER), lambda x: x["lead"])
-    top = kinds.where("n > 1").groupBy("leaf").agg(most.alias("top")).select("leaf", F.explode("top").alias("lead"))
-    leads = kinds.join(top, ["leaf", "lead"]).groupBy("leaf").agg(F.collect_list(F.struct("n", "lead", "tokens")).alias("leads")).select("leaf", F.sort_array("leads", asc=False).alias("leads"))
-    near = alone.join(_small(stored(leads, "leads"), 1 << 17), "leaf").select("line", F.get(F.filter("leads", lambda y: _agree(y["tokens"], F.col("tokens"))), F.lit(0))["lead"].alias("other"))
-    led = led.join(near, "line", "left").select(F.col("line").alias("shape"), F.xxhash64("leaf", F.coalesce("other", "lead")).alias("template"))
-    return found.unionByName(shape_of.join(led, "shape").select("line", "template"))
+    rows = rows.where(F.size("tokens") >= FIXED_PLACES)  # shorter ones agree with nothing
+    settled = None
+    for _ in range(ROUNDS):
+        leads = _small(stored(_leads(rows), "leads"), 1 << 13)
+        lead = F.get(F.filter("leads", lambda y: _agree(y["tokens"], F.col("tokens"))), F.lit(0))["line"]
+        judged = stored(rows.join(leads, "leaf").select("leaf", "line", "tokens", lead.alias("lead")), "judged")
+        found = judged.where("lead is not null").select("leaf", "line", "lead")
+        settled = found if settled is None else settled.unionByName(found)
+        rows = judged.where("lead is null").drop("lead")
+    leaf = rows.select("line", "leaf")
+    rest = _first_agreeing(_pairs(rows)).join(leaf, "line").select("leaf", "line", "lead")
+    own = rest.select("leaf", F.col("lead").alias("line"), "lead").distinct()
+    return settled.unionByName(rest).unionByName(own).select("line", F.xxhash64("leaf", "lead").alias("template"))
 
 
 def _small(df: DataFrame, width: int) -> DataFrame:

@@ -711,6 +711,24 @@ def test_lines_equal_brute_force(spark, docs, monkeypatch, small):
         assert got == tree_by_hand(texts, least)
 
 
+@pytest.mark.parametrize("templates, copies, unique, together", [(60, 3, 200, 64), (200, 2, 400, 8), (150, 20, 4000, 64)])
+def test_lines_of_a_large_leaf_equal_brute_force(spark, monkeypatch, templates, copies, unique, together):
+    """Templates of seven fixed places in ten, in one leaf, whose fields share words with other templates."""
+    monkeypatch.setattr("lettermill.llm.lines.TOGETHER", together)
+    if copies == 2:
+        monkeypatch.setattr("lettermill.llm.lines.BROADCAST_BYTES", 0)
+    rnd = np.random.default_rng(1)
+    known = ["".join(rnd.choice(list("abcdefghij"), 5)) for _ in range(400)]
+    word = lambda: known[rnd.integers(len(known))]
+    lines = [[word() for _ in range(10)] for _ in range(unique)]
+    for _ in range(templates):
+        base, fixed = [word() for _ in range(10)], set(rnd.permutation(10)[:7].tolist())
+        lines += [[b if k in fixed else word() for k, b in enumerate(base)] for _ in range(copies)]
+    texts = {int(i): "dear reader " + " ".join(lines[j]) for i, j in enumerate(rnd.permutation(len(lines)))}
+    got = {r.doc_id: r.text for r in drop_recurring_lines(frame(spark, list(texts.items())), min_tokens=1).collect()}
+    assert got == tree_by_hand(texts) and sum(t == "" for t in got.values()) >= templates * (copies - 1)
+
+
 def test_planted_templates_are_found(spark, monkeypatch):
     names = [f"{a}{b}" for a in ("al", "bo", "ca", "du", "ev") for b in ("ice", "bby", "rol", "ncan", "elyn", "ina", "ert", "ton")]
     forms = [lambda x: f"dear reader {x} has left a note on our front page", lambda x: f"dear reader we thank our good friend from far off {x}", lambda x: f"{x} wrote to us about the weather of last week", lambda x: f"please ask {x}"]
