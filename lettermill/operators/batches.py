@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import math
+import time
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -78,6 +82,75 @@ class Refused(Exception):
     """A provider won't answer."""
 
 
+class Unavailable(Exception):
+    """A provider can't answer now (overload, a rate limit, no connection): the batch is asked again, after ``after`` seconds if given."""
+
+    def __init__(self, message: str = "", after: float | None = None):
+        super().__init__(message)
+        self.after = after
+
+
+#: Seconds before the second, third, .. attempt, and the most that a provider may ask for.
+PAUSES, LONGEST_PAUSE = (0.5, 1.0, 2.0, 4.0, 8.0), 60.0
+
+
+def patient(provider: Callable[[list[dict]], list[dict]], retries: int, sleep: Callable[[float], None] = time.sleep) -> Callable[[list[dict]], list[dict]]:
+    """A provider that is asked up to ``retries`` times again when it is unavailable or can't be reached; other errors pass."""
+
+    def ask(items: list[dict]) -> list[dict]:
+        for attempt in range(retries + 1):
+            try:
+                return provider(items)
+            except (Unavailable, ConnectionError, TimeoutError) as error:
+                if attempt == retries:
+                    raise
+                after = getattr(error, "after", None)
+                sleep(min(after, LONGEST_PAUSE) if after and after > 0 else PAUSES[min(attempt, len(PAUSES) - 1)])
+        raise AssertionError
+
+    return ask
+
+
+class Ledger:
+    """What a provider has said to batches, in a shared folder: a file for each, named by the hash of what was sent.
+
+    A task that runs again finds what an earlier attempt was told. Answers, refusals and "too large" are kept, failures aren't.
+    """
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def around(self, provider: Callable[[list[dict]], list[dict]]) -> Callable[[list[dict]], list[dict]]:
+        from pyarrow import fs
+
+        files, folder = fs.FileSystem.from_uri(self.path)
+        files.create_dir(folder, recursive=True)
+
+        def ask(items: list[dict]) -> list[dict]:
+            name = f"{folder}/{hashlib.sha256(json.dumps(items, ensure_ascii=False, sort_keys=True).encode('utf-8', 'surrogatepass')).hexdigest()}.json"
+            if files.get_file_info(name).type == fs.FileType.File:
+                with files.open_input_stream(name) as f:
+                    said = json.loads(f.read())
+            else:
+                try:
+                    said = {"answers": provider(items)}
+                except TooLarge as error:
+                    said = {"too large": str(error)}
+                except Refused as error:
+                    said = {"refused": str(error)}
+                aside = f"{name}.{uuid.uuid4().hex}"
+                with files.open_output_stream(aside) as f:
+                    f.write(json.dumps(said).encode())
+                files.move(aside, name)  # whole or not at all
+            if "too large" in said:
+                raise TooLarge(said["too large"])
+            if "refused" in said:
+                raise Refused(said["refused"])
+            return said["answers"]
+
+        return ask
+
+
 def confidence(answer: dict) -> float:
     """An answer's confidence by the rule of ``clamp01``: between 0 and 1, 0.5 if it is missing or no finite number; null and blank text are 0."""
     value = answer.get("confidence", "none")
@@ -115,24 +188,25 @@ def _answers(items: list[dict], uids: list[int], provider: Callable[[list[dict]]
     return out
 
 
-def asked(batch_rows: DataFrame, provider: Callable[[list[dict]], list[dict]]) -> DataFrame:
+def asked(batch_rows: DataFrame, provider: Callable[[list[dict]], list[dict]], retries: int = 2, ledger: str | None = None) -> DataFrame:
     """What an injected provider says: answers (uid, label, confidence, rationale, seq) and warnings (warning).
 
     ``provider`` gets the items of one batch and returns answers with id, label, confidence and
-    rationale. If it raises ``TooLarge``, the batch is asked again in halves; whatever else it
+    rationale. If it raises ``Unavailable`` or can't be reached, it is asked again, ``retries`` times at most. If it raises ``TooLarge``, the batch is asked again in halves; whatever else it
     raises is a warning, and the batch's messages keep the rules' decision. Answers for ids that
-    aren't in the batch are dropped, confidences are brought to 0 to 1, what can't be read counts 0.
-    Each evaluation asks again: store the result before it is used twice.
+    aren't in the batch are dropped, confidences are brought to 0 to 1 (see ``confidence``).
+    Each evaluation asks again, and so does a task that is run again, unless ``ledger`` names a shared folder
+    where answers are kept by the hash of their batch.
     """
-    import json
-
     import pandas as pd
 
     columns = ["uid", "label", "confidence", "rationale", "seq", "warning"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ask = patient(provider, retries)
+        ask = Ledger(ledger).around(ask) if ledger else ask
         for frame in frames:
-            out = [row for uids, text in zip(frame["uids"], frame["serialized"], strict=True) for row in _answers(json.loads(text), list(uids), provider)]
+            out = [row for uids, text in zip(frame["uids"], frame["serialized"], strict=True) for row in _answers(json.loads(text), list(uids), ask)]
             yield pd.DataFrame(out, columns=columns).astype({"uid": "Int64", "seq": "Int64"})
 
     return batch_rows.select("uids", "serialized").mapInPandas(run, "uid long, label string, confidence double, rationale string, seq long, warning string")

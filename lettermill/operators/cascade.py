@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lettermill.config import LABELS, Config
@@ -96,7 +97,7 @@ def weighted_rules(own: Sequence[str], as_of: Column) -> list[Weighted]:
         Weighted(F.when(direct, "direct-question").otherwise("question-mark"), asks, F.when(direct, "asks you a direct question").otherwise("contains a question"), {"now": F.when(direct, 1.5).otherwise(0.5)}),
         Weighted(lit("reply-subject"), subject.rlike(REPLY), lit("subject marks a reply"), {"now": 0.75}),
         Weighted(lit("forward-subject"), subject.rlike(FORWARD), lit("subject marks a forward"), {"later": 0.5}),
-        Weighted(lit("fast-responder"), hours <= 8, F.concat(lit("you normally reply within "), F.format_number(hours, 1), lit("h")), {"now": 1.0}),
+        Weighted(lit("fast-responder"), hours <= 8, F.concat(lit("you normally reply within "), F.format_number(hours + F.when(F.pmod(hours, lit(0.5)) == 0.25, 0.01).otherwise(0.0), 1), lit("h")), {"now": 1.0}),
         Weighted(lit("first-contact"), (sent == 0) & (got <= 1), lit("no earlier correspondence with this sender"), {"later": 1.0}),
         Weighted(F.when(age <= 1, "fresh").otherwise("stale"), (age <= 1) | (age >= 14), F.when(age <= 1, lit("arrived in the last day")).otherwise(F.concat(_days(age), lit(" days old"))), {"now": F.when(age <= 1, 0.5).otherwise(0.0), "later": F.when(age >= 14, 1.0).otherwise(0.0)}),
         Weighted(lit("has-attachment"), F.size("attachments") > 0, F.concat(lit("carries "), F.size("attachments").cast("string"), lit(" attachment(s)")), {"now": 0.5}),
@@ -104,13 +105,30 @@ def weighted_rules(own: Sequence[str], as_of: Column) -> list[Weighted]:
     ]
 
 
+@contextmanager
+def lenient(spark: SparkSession):
+    """Expressions that are built inside give null where they would fail (a division by zero, a cast, an index)."""
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", False)
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
+
+
 def classify(messages: DataFrame, own: Sequence[str], config: Config = Config(), as_of: Column | None = None, decisive: list[Decisive] | None = None, weighted: list[Weighted] | None = None) -> DataFrame:
     """Add label, confidence, tier, reasons, escalate and a score_<label> each.
 
     ``messages`` carry statistics (sent_to, received_from, last_sent_ms, median_latency_ms, is_vip,
     is_muted, domain_sent_to, user_messages). ``as_of`` is the moment of judgement; given one, the
-    median latency says nothing, since it knows what came later. A rule whose input is null doesn't fire.
+    median latency says nothing, since it knows what came later. A rule whose input is null, or that fails on a
+    message, doesn't fire there; the others are judged as if it weren't there.
     """
+    with lenient(messages.sparkSession):
+        return _classified(messages, own, config, as_of, decisive, weighted)
+
+
+def _classified(messages: DataFrame, own: Sequence[str], config: Config, as_of: Column | None, decisive: list[Decisive] | None, weighted: list[Weighted] | None) -> DataFrame:
     if as_of is not None:
         messages = messages.withColumn("median_latency_ms", F.lit(None).cast("double"))
     moment = F.current_timestamp() if as_of is None else as_of
@@ -120,7 +138,7 @@ def classify(messages: DataFrame, own: Sequence[str], config: Config = Config(),
     sure = lambda c: F.coalesce(c, F.lit(False))
     found = F.coalesce(*(F.when(sure(r.when), F.struct(F.lit(r.code).alias("code"), F.coalesce(r.detail, F.lit("")).alias("detail"), F.lit(r.label).alias("label"), F.lit(r.confidence).alias("confidence"))) for r in first))
     num = lambda w: w.cast("double") if isinstance(w, Column) else F.lit(float(w))
-    weights = [F.struct(F.coalesce(r.code, F.lit("")).alias("code"), F.coalesce(r.detail, F.lit("")).alias("detail"), *(num(r.weights.get(x, 0.0)).alias(x) for x in LABELS)) for r in then]
+    weights = [F.struct(F.coalesce(r.code, F.lit("")).alias("code"), F.coalesce(r.detail, F.lit("")).alias("detail"), *(F.coalesce(num(r.weights.get(x, 0.0)), F.lit(0.0)).alias(x) for x in LABELS)) for r in then]
     base = base.withColumn("__sure", found)
     base = base.withColumn("__fired", F.when(F.col("__sure").isNull(), F.array_compact(F.array(*(F.when(sure(r.when), w) for r, w in zip(then, weights, strict=True))))))
     base = base.withColumns({f"score_{x}": _summed(x) for x in LABELS})

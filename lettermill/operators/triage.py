@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lettermill.config import LABELS, Config
 from lettermill.operators.batches import asked, batches, digest, projections
 from lettermill.operators.cascade import classify, merge_model
-from lettermill.operators.correspondents import capped, domain_stats, edges, person_stats, thread_index, with_rules
+from lettermill.operators.correspondents import capped, domain_stats, edges, median_latency, person_stats, reply_latencies, thread_index, with_rules
 from lettermill.sources.shared import settled
 
 #: Labels in the order in which they are shown, and how many messages of each at most.
@@ -28,23 +28,29 @@ class Run:
     warnings: DataFrame
 
 
-def with_statistics(messages: DataFrame, sent: DataFrame, as_of: Column, rules: DataFrame | None = None, config: Config = Config()) -> DataFrame:
-    """Messages with what is known of their sender, domain and thread before ``as_of``."""
-    graph = capped(edges(messages, sent), config.history_cap).where(F.col("ts_ms") < F.unix_millis(as_of))
+def with_statistics(messages: DataFrame, sent: DataFrame, as_of: Column | None = None, rules: DataFrame | None = None, config: Config = Config()) -> DataFrame:
+    """Messages with what is known of their sender, domain and thread before ``as_of``; without it, all there is, and how fast senders are answered."""
+    graph = capped(edges(messages, sent), config.history_cap)
+    graph = graph if as_of is None else graph.where(F.col("ts_ms") < F.unix_millis(as_of))
     people = person_stats(graph).drop("name")
     if rules is not None:
         people = with_rules(people, rules)
     else:
         people = people.withColumns({"is_vip": F.lit(False), "is_muted": F.lit(False)})
     people, domains = people.withColumnRenamed("email", "__who"), domain_stats(graph).withColumnRenamed("domain", "__where")
-    threads = thread_index(sent.where(F.col("date") < as_of)).select(F.col("threadId").alias("__thread"), "user_messages")
+    threads = thread_index(sent if as_of is None else sent.where(F.col("date") < as_of)).select(F.col("threadId").alias("__thread"), "user_messages")
     full = messages.join(people, F.lower("from.email") == F.col("__who"), "left").join(domains, F.col("from.domain") == F.col("__where"), "left")
     full = full.join(threads, F.col("threadId") == F.col("__thread"), "left").drop("__who", "__where", "__thread")
+    if as_of is None:
+        known = median_latency(reply_latencies(messages, sent)).select(F.col("email").alias("__who"), F.col("median_latency_ms").cast("double"))
+        full = full.join(known, F.lower("from.email") == F.col("__who"), "left").drop("__who")
+    else:  # latencies don't tell when they were known
+        full = full.withColumn("median_latency_ms", F.lit(None).cast("double"))
     counts = {c: F.coalesce(c, F.lit(0)) for c in ("sent_to", "received_from", "domain_sent_to", "user_messages")}
-    return full.withColumns(counts | {c: F.coalesce(c, F.lit(False)) for c in ("is_vip", "is_muted")} | {"median_latency_ms": F.lit(None).cast("double")})
+    return full.withColumns(counts | {c: F.coalesce(c, F.lit(False)) for c in ("is_vip", "is_muted")})
 
 
-def triage(statistics: DataFrame, own: Sequence[str], as_of: Column, provider: Callable[[list[dict]], list[dict]] | None = None, bodies: DataFrame | None = None, config: Config = Config(), explain: bool = False) -> Run:
+def triage(statistics: DataFrame, own: Sequence[str], as_of: Column | None, provider: Callable[[list[dict]], list[dict]] | None = None, bodies: DataFrame | None = None, config: Config = Config(), explain: bool = False) -> Run:
     """Judge messages by rules; what stays unsure goes to a provider in batches, with the bodies (uid, bodyText, attachments) fetched for it only.
 
     Without a provider, or with ``explain``, nothing is sent: ``batches`` has what would be. A

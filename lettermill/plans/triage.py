@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lettermill.operators.backtest import confusion_matrix, error_classes, ground_truth, per_label, projected_cost, totals, usage_cost
 from lettermill.operators.batches import stub_provider
 from lettermill.operators.cascade import classify, escalation, merge_model
+from lettermill.operators.correspondents import median_latency
 from lettermill.operators.mailbox import usage_totals
 from lettermill.operators.triage import brief, shown, triage, why
 from lettermill.plans.adapters import MAIL_SQL, OWN, messages
@@ -93,6 +94,25 @@ def model_merge(spark, sf_dir):
     return merge_model(decisions(spark, sf_dir), answer.unionByName(early)).select("uid", "label", "confidence", "tier", "escalate")
 
 
+@query(f"""WITH {MAIL_SQL}, m AS (SELECT *, CASE WHEN uid % 3 = 0 THEN concat('once', uid) ELSE concat('p', uid % 50) END AS who FROM mail),
+ st AS (SELECT who AS e, count(*) FILTER (answered) AS sent_to, count(*) AS received_from, floor(median(CASE WHEN answered THEN minutes % 1200 * 60000 END) + 0.5) / 3600000 AS hours FROM m GROUP BY 1),
+ x AS (SELECT *, auth = 'fail' AS failed FROM m JOIN st ON who = e)
+SELECT uid, CASE WHEN hours <= 8 THEN concat('you normally reply within ', printf('%.1f', hours + CASE WHEN hours % 0.5 = 0.25 THEN 0.01 ELSE 0 END), 'h') END AS fast, sent_to = 0 AND received_from <= 1 AS first_contact, failed AND NOT (sent_to > 0 OR received_from > 2) AS failed_authentication
+FROM x WHERE NOT auto AND NOT bulk AND NOT (failed AND (sent_to > 0 OR received_from > 2)) AND NOT (sent_to = 0 AND received_from >= 5)""")
+def rules_of_people(spark, sf_dir):
+    """Where the rules for fast replies, first contacts and failed authentication fire, judged now: senders write once or often, and are answered within hours."""
+    who = F.when(F.col("uid") % 3 == 0, F.concat(F.lit("once"), F.col("uid").cast("string"))).otherwise(F.concat(F.lit("p"), (F.col("uid") % 50).cast("string")))
+    m = messages(spark, sf_dir).withColumn("from", F.struct(F.lit("").alias("name"), who.alias("email"), F.lit("x.example").alias("domain")))
+    answered = F.array_contains("flags", "\\Answered")
+    people = m.groupBy(F.col("from.email").alias("e")).agg(F.count_if(answered).alias("sent_to"), F.count("*").alias("received_from"), F.max(F.when(answered, F.unix_millis("date"))).alias("last_sent_ms"))
+    waits = m.where(answered).select(F.col("from.email").alias("email"), (F.pmod(F.col("uid") * 7, F.lit(43200)) % 1200 * 60_000).alias("latency_ms"))
+    known = m.join(people, F.col("from.email") == F.col("e")).join(median_latency(waits).withColumnRenamed("email", "w"), F.col("from.email") == F.col("w"), "left")
+    known = known.withColumns({"is_vip": F.lit(False), "is_muted": F.lit(False), "user_messages": F.lit(0), "domain_sent_to": F.lit(0), "median_latency_ms": F.col("median_latency_ms").cast("double")})
+    d = classify(known, OWN)
+    code = lambda c: F.filter("reasons", lambda r: r["code"] == c)
+    return d.where("not reasons[0].decisive").select("uid", F.get(code("fast-responder"), F.lit(0))["detail"].alias("fast"), (F.size(code("first-contact")) > 0).alias("first_contact"), (F.size(code("failed-authentication")) > 0).alias("failed_authentication"))
+
+
 _TRUTH = f"""{_SCORES}, rt AS (SELECT DISTINCT thread AS t FROM mail WHERE answered AND uid % 5 = 0),
  sc AS (SELECT uid, label AS predicted, {_ESC} AS escalated, CASE WHEN answered OR t IS NOT NULL OR flagged THEN 'now' WHEN seen AND age >= 3 THEN 'later' WHEN NOT seen AND age >= 7 THEN 'brief' END AS actual FROM dec LEFT JOIN rt ON t = thread)"""
 

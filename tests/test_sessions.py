@@ -41,7 +41,7 @@ def test_filters_are_pushed(spark, tmp_path):
     plan = some._jdf.queryExecution().executedPlan().toString()
     left = [line for line in plan.split("\n") if "Filter (" in line]
     assert left and all("INBOX" in line and ">=" not in line and "<=" not in line for line in left)  # comparisons are the reader's
-    assert rows.where("uid in (2, 39)").count() == 2 and rows.where("uid = 41").count() == 0 and rows.where("uid > 1000").count() == 0
+    assert rows.where("uid in (20, 39)").count() == 2 and rows.where("uid = 41").count() == 0 and rows.where("uid > 1000").count() == 0
 
 
 def test_fewer_rows_are_parsed_and_files_read(tmp_path, monkeypatch):
