@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,20 +20,29 @@ class Rule:
     by: str | None = None
     #: Mask only digits that pass the checksum of payment cards.
     luhn: bool = False
+    #: A text without any of these (lower-cased) has no match; nor has one without ``shape``, which begins with a digit and is cheap to look for.
+    marks: tuple[str, ...] = ()
+    shape: str | None = None
+
+    def may_match(self, text: Column, lower: Column) -> Column:
+        """A test that costs little and is true wherever the pattern matches, before or after earlier rules have masked the text."""
+        if self.shape:
+            return F.regexp_like(text, F.lit(self.shape))
+        return reduce(lambda a, b: a | b, (F.contains(lower, F.lit(m)) for m in self.marks)) if self.marks else F.lit(True)
 
 
 # The shapes of secrets, in the order in which they are masked.
 RULES = (
-    Rule("api-key", rf"{_A}(?:sk-ant-[A-Za-z0-9_-]{{16,}}|sk-[A-Za-z0-9]{{20,}}|ghp_[A-Za-z0-9]{{20,}}|gho_[A-Za-z0-9]{{20,}}|github_pat_[A-Za-z0-9_]{{20,}}|xox[baprs]-[A-Za-z0-9-]{{10,}}|AKIA[0-9A-Z]{{16}}|AIza[0-9A-Za-z_-]{{30,}}){_Z}"),
-    Rule("bearer-token", rf"(?i){_A}(?:Authorization\s*:\s*)?(?:Bearer|Token)\s+[A-Za-z0-9._~+/=-]{{16,}}"),
-    Rule("jwt", rf"{_A}eyJ[A-Za-z0-9_-]{{8,}}\.[A-Za-z0-9_-]{{8,}}\.[A-Za-z0-9_-]{{8,}}{_Z}"),
-    Rule("private-key", r"(?s)-----BEGIN [A-Z ]*PRIVATE KEY-----.*?-----END [A-Z ]*PRIVATE KEY-----"),
-    Rule("credential-url", rf"{_URL}[?&](?:token|key|secret|password|passwd|auth|access_token|api_key)=[^\s<>\"'&]+"),
-    Rule("reset-link", rf"{_URL}/(?:reset|verify|confirm|activate|magic|login)/[A-Za-z0-9._-]{{12,}}"),
-    Rule("otp", rf"(?i)({_A}(?:code|otp|pin|passcode|verification code|security code){_Z}\D{{0,24}}{_A})\d{{4,8}}{_Z}", "$1[REDACTED:otp]"),
-    Rule("ssn", rf"{_A}\d{{3}}-\d{{2}}-\d{{4}}{_Z}"),
-    Rule("card-number", rf"{_A}(?:\d[ -]?){{13,19}}{_Z}", luhn=True),
-    Rule("password-assignment", rf"(?i){_A}(?:password|passwd|pwd|secret)\s*[:=]\s*\S{{6,}}"),
+    Rule("api-key", rf"{_A}(?:sk-ant-[A-Za-z0-9_-]{{16,}}|sk-[A-Za-z0-9]{{20,}}|ghp_[A-Za-z0-9]{{20,}}|gho_[A-Za-z0-9]{{20,}}|github_pat_[A-Za-z0-9_]{{20,}}|xox[baprs]-[A-Za-z0-9-]{{10,}}|AKIA[0-9A-Z]{{16}}|AIza[0-9A-Za-z_-]{{30,}}){_Z}", marks=("sk-", "ghp_", "gho_", "github_pat_", "xox", "akia", "aiza")),
+    Rule("bearer-token", rf"(?i){_A}(?:Authorization\s*:\s*)?(?:Bearer|Token)\s+[A-Za-z0-9._~+/=-]{{16,}}", marks=("bearer", "token")),
+    Rule("jwt", rf"{_A}eyJ[A-Za-z0-9_-]{{8,}}\.[A-Za-z0-9_-]{{8,}}\.[A-Za-z0-9_-]{{8,}}{_Z}", marks=("eyj",)),
+    Rule("private-key", r"(?s)-----BEGIN [A-Z ]*PRIVATE KEY-----.*?-----END [A-Z ]*PRIVATE KEY-----", marks=("private key-----",)),
+    Rule("credential-url", rf"{_URL}[?&](?:token|key|secret|password|passwd|auth|access_token|api_key)=[^\s<>\"'&]+", marks=("://",)),
+    Rule("reset-link", rf"{_URL}/(?:reset|verify|confirm|activate|magic|login)/[A-Za-z0-9._-]{{12,}}", marks=("://",)),
+    Rule("otp", rf"(?i)({_A}(?:code|otp|pin|passcode|verification code|security code){_Z}\D{{0,24}}{_A})\d{{4,8}}{_Z}", "$1[REDACTED:otp]", marks=("code", "otp", "pin")),
+    Rule("ssn", rf"{_A}\d{{3}}-\d{{2}}-\d{{4}}{_Z}", shape=r"[0-9]{2}-[0-9]{4}"),
+    Rule("card-number", rf"{_A}(?:\d[ -]?){{13,19}}{_Z}", luhn=True, shape=r"(?:[0-9][ -]?){13}"),
+    Rule("password-assignment", rf"(?i){_A}(?:password|passwd|pwd|secret)\s*[:=]\s*\S{{6,}}", marks=("password", "passwd", "pwd", "secret")),
 )
 
 
@@ -42,30 +52,33 @@ def is_card(text: Column) -> Column:
     return F.length(digits).between(13, 19) & F.call_function("luhn_check", digits)
 
 
-def _cards(text: Column, pattern: str) -> tuple[Column, Column]:
-    """Text with card numbers masked, and how many: what stands between matches, and the matches, are put together again."""
-    found = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
-    between = F.split(text, pattern, -1)
-    masked = F.zip_with(between, found, lambda gap, m: F.concat(gap, F.coalesce(F.when(is_card(m), F.lit("[REDACTED:card-number]")).otherwise(m), F.lit(""))))
-    has = F.regexp_like(text, F.lit(pattern))
-    return F.when(has, F.array_join(masked, "")).otherwise(text), F.when(has, F.size(F.filter(found, is_card))).otherwise(0)
+def _masked_cards(text: Column, found: Column, pattern: str) -> Column:
+    """Text with card numbers masked: what stands between matches, and the matches, are put together again."""
+    masked = F.zip_with(F.split(text, pattern, -1), found, lambda gap, m: F.concat(gap, F.coalesce(F.when(is_card(m), F.lit("[REDACTED:card-number]")).otherwise(m), F.lit(""))))
+    return F.array_join(masked, "")
 
 
 def redacted(df: DataFrame, column: str, out: str = "redacted", counts: str = "redactions", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Add the masked text, and a struct with the number of matches of each rule.
 
-    Each rule is a projection of its own, so that it reads the text at its step. Null stays null and counts 0.
+    Each rule counts, then masks where there is something to mask, as projections of their own that read the text at
+    their step; a rule is tried only where its cheap test allows a match. Null stays null and counts 0.
     """
-    df = df.withColumn("__text", F.col(column))
+    lower = F.lower(F.col(column))
+    df = df.withColumn("__lower", lower)
+    df = df.withColumns({"__text": F.col(column)} | {f"__may{i}": F.coalesce(r.may_match(F.col(column), F.col("__lower")), F.lit(False)) for i, r in enumerate(rules)}).drop("__lower")
     for i, rule in enumerate(rules):
-        text = F.col("__text")
+        text, n, may = F.col("__text"), f"__n{i}", F.col(f"__may{i}")
         if rule.luhn:
-            new, n = _cards(text, rule.pattern)
+            df = df.withColumn("__found", F.when(may, F.regexp_extract_all(text, F.lit(f"({rule.pattern})"), F.lit(1))))
+            df = df.withColumn(n, F.coalesce(F.when(may, F.size(F.filter("__found", is_card))), F.lit(0)))
+            new = _masked_cards(text, F.col("__found"), rule.pattern)
         else:
-            new, n = F.regexp_replace(text, rule.pattern, rule.by or f"[REDACTED:{rule.name}]"), F.regexp_count(text, F.lit(rule.pattern))
-        df = df.withColumns({f"__n{i}": F.coalesce(n, F.lit(0)), "__text": new})
+            df = df.withColumn(n, F.coalesce(F.when(may, F.regexp_count(text, F.lit(rule.pattern))), F.lit(0)))
+            new = F.regexp_replace(text, rule.pattern, rule.by or f"[REDACTED:{rule.name}]")
+        df = df.withColumn("__text", F.when(F.col(n) > 0, new).otherwise(text))
     struct = F.struct(*(F.col(f"__n{i}").alias(r.name) for i, r in enumerate(rules)))
-    return df.withColumns({out: F.col("__text"), counts: struct}).drop("__text", *(f"__n{i}" for i in range(len(rules))))
+    return df.withColumns({out: F.col("__text"), counts: struct}).drop("__text", "__found", *(f"__{c}{i}" for c in ("n", "may") for i in range(len(rules))))
 
 
 def contains_secrets(df: DataFrame, column: str, out: str = "has_secrets") -> DataFrame:
