@@ -20,6 +20,11 @@ from lettermill.llm.common import ALNUM, Words, encoded, pieces, prepare, releas
 WINDOW = 13
 #: Test items are looked up in blocks of so many bytes; a block is what tasks get at once.
 BLOCK_BYTES = 4 << 20
+#: Places of windows in items that are compared at once.
+AT_ONCE = 4 << 20
+
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 
 
 class TestSuffixes:
@@ -33,21 +38,46 @@ class TestSuffixes:
         self.width, self.ids = width, [i for i, _ in items]
         self.vocab = np.unique(words.hash)
         code = np.searchsorted(self.vocab, words.hash).astype(np.int64) + 1
-        rows, sizes, owner, spell = [], [], [], {}
+        rows, sizes, owner = [], [], []
         for k in range(len(items)):
             a, b = int(words.first[k]), int(words.first[k + 1])
             n = min(width, b - a)
             for at in range(a, b - n + 1 if n else a):
-                row = np.zeros(width, np.int64)
-                row[:n] = code[at : at + n]
+                row = np.zeros(width + 1, np.int64)
+                row[:n], row[width] = code[at : at + n], n
                 rows.append(row)
                 sizes.append(n)
                 owner.append(k)
-        for at in range(len(code)):
-            spell[int(code[at])] = words.text(at, at + 1)
-        self.rows = np.array(rows, np.int64).reshape(-1, width)
-        self.size, self.owner, self.spell = np.array(sizes, np.int64), np.array(owner, np.int64), spell
+        # a window that several items have is looked up once; ``same`` lists its places in the items, which count on within an item
+        every = np.array(rows, np.int64).reshape(-1, width + 1)
+        once, which = np.unique(every, axis=0, return_inverse=True)
+        self.rows, self.size, self.owner = once[:, :width], once[:, width], np.array(owner, np.int64)
+        self.same = np.argsort(which.ravel(), kind="stable")
+        self.begin = np.searchsorted(which.ravel()[self.same], np.arange(len(once) + 1))
         self.shortest = int(self.size.min()) if len(rows) else 0
+        spelled = {int(c): words.text(at, at + 1) for at, c in enumerate(code)}
+        known = [spelled[c] for c in range(1, len(self.vocab) + 1)]
+        self.letters = np.frombuffer(b"".join(known), np.uint8)
+        self.length = np.array([len(w) for w in known], np.int64)
+        self.start = np.cumsum(self.length) - self.length
+
+    def places(self, window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each of several windows all its places in the items: (index of the window in the list, place)."""
+        n = self.begin[window + 1] - self.begin[window]
+        at = np.repeat(np.arange(len(window)), n)
+        return at, self.same[np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.begin[window], n)]
+
+    def differ(self, words: Words, at: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """Of the words at ``at``, which aren't the words that their codes stand for."""
+        c, size = code[at] - 1, words.end[at] - words.start[at]
+        other = size != self.length[c]
+        at, c, size = at[~other], c[~other], size[~other]
+        step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        mine = _LOWER[np.frombuffer(words.data, np.uint8)[np.repeat(words.start[at], size) + step]]
+        wrong = np.zeros(len(size), bool)
+        wrong[np.repeat(np.arange(len(size)), size)[mine != self.letters[np.repeat(self.start[c], size) + step]]] = True
+        other[~other] = wrong
+        return other
 
     def bounds(self) -> tuple[np.ndarray, np.ndarray]:
         """The least key that begins with each window, and a key above all that do."""
@@ -95,14 +125,23 @@ class SuffixArray:
         return window, self.place[np.repeat(a, b - a) + offset]
 
 
-def _longest(window: np.ndarray, place: np.ndarray, size: np.ndarray, owner: np.ndarray) -> int:
+def _longest(window: np.ndarray, place: np.ndarray, test: TestSuffixes) -> int:
     """Words of the longest verbatim match: hits of consecutive windows of one item at consecutive places."""
-    order = np.lexsort((place, place - window))
-    w, p = window[order], place[order]
-    new = np.ones(len(p), bool)
-    new[1:] = (np.diff(p) != 1) | (np.diff(w) != 1) | (np.diff(owner[w]) != 0)
-    run = np.arange(len(p)) - np.flatnonzero(new)[np.cumsum(new) - 1]
-    return int((run + size[w]).max())
+    most, total = 0, np.cumsum(test.begin[window + 1] - test.begin[window])
+    items = max(1, -(-int(total[-1]) // AT_ONCE))  # so many parts of the items, one after the other
+    for part in range(items):
+        at, w = test.places(window)
+        own = test.owner[w] % items == part
+        at, w = at[own], w[own]
+        if len(w):
+            p, size = place[at], test.size[window[at]]
+            order = np.lexsort((p, p - w))
+            w, p, size = w[order], p[order], size[order]
+            new = np.ones(len(p), bool)
+            new[1:] = (np.diff(p) != 1) | (np.diff(w) != 1) | (np.diff(test.owner[w]) != 0)
+            run = np.arange(len(p)) - np.flatnonzero(new)[np.cumsum(new) - 1]
+            most = max(most, int((run + size).max()))
+    return most
 
 
 def _pass(df: DataFrame, test: TestSuffixes, id_col: str, text_col: str, key_type: str) -> DataFrame:
@@ -113,10 +152,18 @@ def _pass(df: DataFrame, test: TestSuffixes, id_col: str, text_col: str, key_typ
             out: list[tuple] = []
             for a, b in pieces(texts):
                 words = Words(texts[a:b], ALNUM)
-                window, place = SuffixArray(words, test).find(low, high) if len(test.rows) else (np.empty(0, np.int64),) * 2
-                # hashes found them; the words themselves decide
-                same = np.array([words.text(p, p + test.size[w]) == b" ".join(test.spell[int(c)] for c in test.rows[w][: test.size[w]]) for w, p in zip(window, place, strict=True)], bool)
-                window, place = window[same], place[same]
+                array = SuffixArray(words, test)
+                window, place = array.find(low, high) if len(test.rows) else (np.empty(0, np.int64),) * 2
+                # hashes found them; the words themselves decide, each once
+                cover = np.zeros(len(array.code) + 1, np.int64)
+                np.add.at(cover, place, 1)
+                np.add.at(cover, place + test.size[window], -1)
+                hit = np.flatnonzero(np.cumsum(cover)[:-1])
+                wrong = np.zeros(len(cover), np.int64)
+                wrong[hit[test.differ(words, hit, array.code)] + 1] = 1
+                wrong = np.cumsum(wrong)
+                sound = wrong[place + test.size[window]] == wrong[place]
+                window, place = window[sound], place[sound]
                 order = np.argsort(place, kind="stable")
                 window, place = window[order], place[order]
                 cut = np.searchsorted(place, words.first)
@@ -129,8 +176,8 @@ def _pass(df: DataFrame, test: TestSuffixes, id_col: str, text_col: str, key_typ
                         else:
                             begins.append(x)
                             ends.append(y)
-                    items = [str(test.ids[k]) for k in np.unique(test.owner[w])]
-                    out.append((int(words.first[i + 1] - words.first[i]), begins, ends, items, _longest(w, p, test.size, test.owner) if len(w) else 0))
+                    items = [str(test.ids[k]) for k in np.unique(test.owner[test.places(np.unique(w))[1]])]
+                    out.append((int(words.first[i + 1] - words.first[i]), begins, ends, items, _longest(w, p, test) if len(w) else 0))
             cols = [pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.string()), pa.int64()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["k", "n_words", "begins", "ends", "items", "longest"])
 

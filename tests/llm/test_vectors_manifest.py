@@ -234,3 +234,33 @@ def test_starts_equal_sorting(spark):
         for key in sorted(k for h, k in keys if h == g):
             assert got[g, key] == total
             total += keys[g, key]
+
+
+# --- windows that many items share --------------------------------------------
+
+
+def test_shared_windows(spark, monkeypatch):
+    """Items that begin alike: each window is looked up once, items and longest matches are as of each item alone."""
+    from lettermill.llm import decontaminate as D
+
+    monkeypatch.setattr(D, "AT_ONCE", 50)
+    r = random.Random(6)
+    opening = "read what stands below and answer the question that comes after it in a word".split()
+    items = [(i, " ".join(opening + [f"q{r.randrange(30)}" for _ in range(12)] + opening[:14])) for i in range(60)] + [(60, items_text := "Only Four Words here"), (61, items_text)]
+    texts = [" ".join([f"w{k}" for k in range(10)] + r.choice(items)[1].upper().split()[r.randrange(5) :] + [f"v{k}" for k in range(r.randrange(9))] + r.choice([[], opening, items_text.split()])) for _ in range(40)]
+    got = D.find_contamination(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    for row in got:
+        words, hit, owners, longest = texts[row.doc_id].lower().split(), set(), set(), 0
+        for i, t in items:
+            own = t.lower().split()
+            n = min(13, len(own))
+            found = [(p, q) for p in range(len(words) - n + 1) for q in range(len(own) - n + 1) if words[p : p + n] == own[q : q + n]]
+            for p, q in found:
+                size = n
+                while p + size < len(words) and q + size < len(own) and words[p + size] == own[q + size]:
+                    size += 1
+                longest = max(longest, size)
+                hit |= set(range(p, p + n))
+            owners |= {str(i)} if found else set()
+        assert (row.n_words, row.n_hit, row["items"], row.longest) == (len(words), len(hit), sorted(owners), longest)
+    assert any(r.n_items > 50 for r in got) and any(r.longest > 20 for r in got)
