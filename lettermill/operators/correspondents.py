@@ -51,6 +51,22 @@ def reply_latencies(received: DataFrame, sent: DataFrame) -> DataFrame:
     return hit.where(F.col("hit").isNotNull()).select(F.col("hit.email").alias("email"), (F.col("ms") - F.col("hit_at")).alias("latency_ms")).where("latency_ms >= 0")
 
 
+def people(graph: DataFrame, latencies: DataFrame, cap: int = 500) -> DataFrame:
+    """(email, name, sent_ms, received_ms, latencies): what is saved of each correspondent.
+
+    Times of the last ``cap`` events of each direction in the order of input, and as many latencies in the order of
+    ``seq``; the name is the first that was given. A list never has more than ``cap`` entries.
+    """
+    kept = capped(graph, cap)
+    none = F.array().cast("array<bigint>")
+    times = lambda d: F.transform(F.sort_array(F.collect_list(F.when(F.col("direction") == d, F.struct("seq", "ts_ms")))), lambda x: x["ts_ms"])
+    events = kept.groupBy("email").agg(times("sent").alias("sent_ms"), times("received").alias("received_ms"))
+    names = graph.where("name <> ''").groupBy("email").agg(F.min_by("name", "seq").alias("name"))
+    last = capped(latencies.withColumn("direction", F.lit("")), cap).groupBy("email").agg(F.transform(F.sort_array(F.collect_list(F.struct("seq", "latency_ms"))), lambda x: x["latency_ms"]).alias("latencies"))
+    found = events.join(names, "email", "left").join(last, "email", "left")
+    return found.select("email", F.coalesce("name", F.lit("")).alias("name"), "sent_ms", "received_ms", F.coalesce("latencies", none).alias("latencies"))
+
+
 #: Bits of a value that are told apart on each level of a selection: no window holds more than 2^16 counts of lower levels.
 SHIFTS = (32, 16, 0)
 

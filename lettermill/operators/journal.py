@@ -38,7 +38,7 @@ def inverted(a: Column) -> Column:
 def undo_actions(run_rows: DataFrame) -> DataFrame:
     """The inverse of each intent of the last run, last first (``position`` is the intent's)."""
     each = last_run(run_rows).select("runId", F.posexplode("intents").alias("position", "a"))
-    return each.withColumn("undo", inverted(F.col("a"))).where("undo is not null").select("runId", "position", "undo.*")
+    return each.withColumn("undo", inverted(F.col("a"))).where("undo is not null").select("runId", "position", "undo.*").orderBy(F.desc("position"))
 
 
 def plan_actions(decisions: DataFrame, config: Config = Config()) -> DataFrame:

@@ -81,7 +81,8 @@ def why(decisions: DataFrame, uid: int) -> DataFrame:
 
 
 def shown(decisions: DataFrame, most: int = SHOWN_EACH) -> DataFrame:
-    """The first messages of each label, in the order of input, and how many more there are."""
+    """The first messages of each label, in the order of input, and how many more there are; an unknown label is shown as later."""
+    decisions = decisions.withColumn("label", F.when(F.col("label").isin(*SHOWN), F.col("label")).otherwise("later"))
     place = F.row_number().over(Window.partitionBy("label", "__cut").orderBy("seq"))
     total = decisions.groupBy("label").agg(F.count("*").alias("n"))
     # the first of each stretch, then the first of those: no task gets a whole label

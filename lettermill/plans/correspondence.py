@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lettermill.functions.numbers import half_up
 from lettermill.operators.asof import latest_before, running_before
-from lettermill.operators.correspondents import capped, median_latency, replied_threads, thread_index, with_rules
+from lettermill.operators.correspondents import capped, median_latency, people, replied_threads, thread_index, with_rules
 from lettermill.plans.adapters import EVENTS_SQL, MAIL_SQL, correspondence, mail
 from lettermill.plans.registry import query, table
+from lettermill.sources.files import read_people_lines, write_people
+from lettermill.sources.shared import shared_dir
 
 
 @query(f"""WITH {EVENTS_SQL} SELECT a.event_id, a.email,
@@ -56,6 +60,22 @@ def event_cap_last_n(spark, sf_dir):
     return capped(e, 20).groupBy("email", "direction").agg(F.count("*").alias("n"), F.min("event_id").alias("oldest"))
 
 
+@query(f"""WITH {EVENTS_SQL}, d AS (SELECT *, CASE WHEN is_sent THEN 'sent' ELSE 'received' END AS direction, row_number() OVER (PARTITION BY email, is_sent ORDER BY event_id DESC) AS k FROM ev WHERE is_sent OR is_received),
+ p AS (SELECT email, string_agg(us // 1000, ',' ORDER BY event_id) FILTER (is_sent) AS sent, string_agg(us // 1000, ',' ORDER BY event_id) FILTER (NOT is_sent) AS received FROM d WHERE k <= 20 GROUP BY 1),
+ l AS (SELECT email, string_agg(ms, ',' ORDER BY event_id) AS waits FROM (SELECT email, us // 1000 % 86400000 AS ms, event_id, row_number() OVER (PARTITION BY email ORDER BY event_id DESC) AS k FROM ev WHERE event_type = 'signup') WHERE k <= 20 GROUP BY 1)
+SELECT p.email, upper(p.email) AS name, coalesce(sent, '') AS sent, coalesce(received, '') AS received, coalesce(waits, '') AS latencies FROM p LEFT JOIN l ON l.email = p.email""")
+def saved_people(spark, sf_dir):
+    """Correspondents as they are saved, written to the shared folder and read back."""
+    e = correspondence(spark, sf_dir)
+    ms = F.expr("us div 1000")
+    graph = e.where("is_sent or is_received").select("email", F.when(F.col("is_sent"), "sent").otherwise("received").alias("direction"), ms.alias("ts_ms"), F.upper("email").alias("name"), F.col("event_id").alias("seq"))
+    waits = e.where("event_type = 'signup'").select("email", (ms % 86_400_000).alias("latency_ms"), F.col("event_id").alias("seq"))
+    path = f"{shared_dir(spark)}/people-{uuid.uuid4().hex}"
+    write_people(people(graph, waits, 20), path)
+    listed = lambda c: F.array_join(F.col(c).cast("array<string>"), ",")
+    return read_people_lines(spark, path).select("email", "name", listed("sent_ms").alias("sent"), listed("received_ms").alias("received"), listed("latencies").alias("latencies"))
+
+
 def _sent(spark, sf_dir):
     m = mail(spark, sf_dir).where("answered")
     return m.select(F.col("thread").alias("threadId"), F.timestamp_seconds(F.col("minutes") * 60).alias("date"), "uid", "minutes")

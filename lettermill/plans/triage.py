@@ -207,6 +207,19 @@ def brief_by_sender(spark, sf_dir):
     return brief(decisions(spark, sf_dir)).withColumn("subjects", F.array_join("subjects", "|"))
 
 
+@query(f"""WITH {_SCORES} SELECT uid, concat_ws(',', concat('addressing:', addr), CASE WHEN domain_sent >= 5 AND NOT failed THEN 'known-domain' END, CASE WHEN failed AND NOT (sent_to > 0 OR received_from > 2) THEN 'failed-authentication' END,
+ CASE WHEN email LIKE 'no-reply@%' THEN 'no-reply-sender' END, CASE WHEN regexp_matches({_HAY}, '(?i){_B}(?:unsubscribe|view (?:this )?in browser|limited time|webinar|free trial|act now|don''t miss){_E}') THEN 'marketing-language' END,
+ CASE WHEN regexp_matches({_HAY}, '(?i){_B}(?:by (?:eod|today|tomorrow|monday|tuesday|wednesday|thursday|friday)|urgent|asap|deadline|time[- ]sensitive|needs? (?:an )?answer|before the call){_E}') THEN 'urgency-cue' END,
+ CASE WHEN asks AND direct THEN 'direct-question' WHEN asks THEN 'question-mark' END, CASE WHEN regexp_matches(subject, '^\\s*(?i:re|aw|antw|sv|vs)\\s*:') THEN 'reply-subject' END, CASE WHEN regexp_matches(subject, '^\\s*(?i:fwd?|wg)\\s*:') THEN 'forward-subject' END,
+ CASE WHEN sent_to = 0 AND received_from <= 1 THEN 'first-contact' END, CASE WHEN age <= 1 THEN 'fresh' WHEN age >= 14 THEN 'stale' END, CASE WHEN files > 0 THEN 'has-attachment' END, CASE WHEN answered THEN 'already-answered' END) AS codes,
+ CAST(s_now AS DOUBLE) AS weight_now, CAST(s_later AS DOUBLE) AS weight_later, CAST(s_brief AS DOUBLE) AS weight_brief FROM r WHERE code IS NULL""")
+def reasons_of_all(spark, sf_dir):
+    """Why each message that no single rule decides got its scores: the rules that fired, in order, and what they add up to."""
+    d = decisions(spark, sf_dir).where("not reasons[0].decisive")
+    total = lambda x: F.aggregate("reasons", F.lit(0.0), lambda s, r: s + F.coalesce(r["weight"][x], F.lit(0.0))).alias(f"weight_{x}")
+    return d.select("uid", F.array_join(F.transform("reasons", lambda r: r["code"]), ",").alias("codes"), total("now"), total("later"), total("brief"))
+
+
 def why_query(spark, sf_dir):
     """Reasons of one message that several rules speak on."""
     d = decisions(spark, sf_dir)

@@ -47,6 +47,23 @@ def read_people(spark: SparkSession, path: str) -> DataFrame:
     return each.select("email", F.coalesce("p.name", F.lit("")).alias("name"), times("sentAt", "sent_ms"), times("receivedAt", "received_ms"), times("latencies", "latencies"))
 
 
+def write_people(people: DataFrame, path: str) -> None:
+    """Save correspondents as ``people`` gives them: a line of JSON for each, the earlier ones replaced."""
+    people.select("email", "name", F.col("sent_ms").alias("sentAt"), F.col("received_ms").alias("receivedAt"), "latencies").write.mode("overwrite").json(path)
+
+
+def read_people_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(email, name, sent_ms, received_ms, latencies) of correspondents saved by ``write_people``; what a record lacks is empty, broken lines are skipped."""
+    rows = read_lines(spark, path, "email string, name string, sentAt array<bigint>, receivedAt array<bigint>, latencies array<bigint>").where("email is not null")
+    times = lambda f, out: F.coalesce(F.col(f), F.array().cast("array<bigint>")).alias(out)
+    return rows.select("email", F.coalesce("name", F.lit("")).alias("name"), times("sentAt", "sent_ms"), times("receivedAt", "received_ms"), times("latencies", "latencies"))
+
+
+def write_voice(voices: DataFrame, path: str) -> None:
+    """Save texts (voice) that describe how someone writes, a file for each partition; the earlier ones are replaced."""
+    voices.select("voice").write.mode("overwrite").text(path)
+
+
 def read_voice(spark: SparkSession, path: str) -> DataFrame:
     """(voice): each file's whole text."""
     return spark.read.text(path, wholetext=True).select(F.col("value").alias("voice"))

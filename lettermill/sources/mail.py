@@ -15,7 +15,7 @@ from lettermill.functions.numbers import header_date
 from lettermill.functions.text import best_text, message_id, thread_key, trimmed
 
 # Bounds of what is read of one response.
-MAX_LITERAL, MAX_LINE = 8 << 20, 128 << 10
+MAX_LITERAL, MAX_LINE, MAX_NESTING = 8 << 20, 128 << 10, 32
 
 
 def normalize(rows: DataFrame, folder: str = "INBOX") -> DataFrame:
@@ -86,6 +86,8 @@ def tokens(data: bytes) -> list:
     while m := _TOKEN.match(data, at):
         at = m.end()
         if m[1]:
+            if len(out) > MAX_NESTING:
+                raise ValueError("a response is nested too deep")
             out.append([])
         elif m[2]:
             if len(out) > 1:

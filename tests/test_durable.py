@@ -154,3 +154,34 @@ def test_a_killed_task_asks_once(spark, tmp_path):
         run()
     assert sorted(r.uid for r in run()) == [0, 1, 2, 3, 4, 5]
     assert sorted(open(calls).read().split()) == ["0", "1", "2", "3", "4", "4", "5"]
+
+
+def test_unknown_labels_are_shown_as_later(spark):
+    from lettermill.operators.triage import shown
+
+    rows = spark.createDataFrame([(1, "now"), (2, "odd"), (3, "later"), (4, None)], "uid long, label string").select("uid", F.col("uid").alias("seq"), "label", F.lit(0).alias("tier"), F.lit("s").alias("subject"))
+    assert sorted((r.label, r.place, r.uid, r.beyond) for r in shown(rows).collect()) == [("later", 1, 2, 0), ("later", 2, 3, 0), ("later", 3, 4, 0), ("now", 1, 1, 0)]
+
+
+def test_nesting_is_bounded():
+    from lettermill.sources.mail import tokens
+
+    assert tokens(b"(" * 32 + b"x" + b")" * 32)
+    with pytest.raises(ValueError, match="deep"):
+        tokens(b"(" * 40 + b"x" + b")" * 40)
+
+
+def test_people_and_voice_are_saved(spark, tmp_path):
+    from lettermill.operators.correspondents import people
+    from lettermill.sources.files import read_people_lines, read_voice, write_people, write_voice
+
+    graph = spark.createDataFrame([("a@x", "sent", i * 10, "" if i < 2 else "Ann", i) for i in range(5)] + [("b@x", "received", 7, "", 9)], "email string, direction string, ts_ms long, name string, seq long")
+    waits = spark.createDataFrame([("a@x", 5, 1), ("a@x", 3, 2), ("a@x", 9, 0)], "email string, latency_ms long, seq long")
+    path = f"file://{tmp_path}/people"
+    for _ in range(2):  # replaced, not added to
+        write_people(people(graph, waits, 2), path)
+    (tmp_path / "people" / "x.json").write_text('{"email": "c@x"}\nbroken{\n{"name": "none"}\n')
+    got = {r.email: tuple(r)[1:] for r in read_people_lines(spark, path).collect()}
+    assert got == {"a@x": ("Ann", [30, 40], [], [5, 3]), "b@x": ("", [], [7], []), "c@x": ("", [], [], [])}
+    write_voice(spark.createDataFrame([("short, warm",)], "voice string").coalesce(1), f"file://{tmp_path}/voice")
+    assert [r.voice.strip() for r in read_voice(spark, f"file://{tmp_path}/voice").collect() if r.voice.strip()] == ["short, warm"]
