@@ -24,9 +24,13 @@ def _boxes(spark):
     return M.resolve_folders(own, told)
 
 
-@query("SELECT * FROM (VALUES ('inbox', 'INBOX'), ('sent', 'Sent Items'), ('drafts', NULL), ('later', 'Someday'), ('brief', 'Brief'), ('noise', 'Noise')) t(kind, name)")
+@query("""SELECT * FROM (VALUES ('inbox', 'INBOX'), ('drafts', NULL), ('brief', 'Brief'), ('noise', 'Noise')) t(kind, name)
+ UNION ALL SELECT 'sent', min_by(n_name, n_nationkey) FROM nation WHERE n_nationkey % 7 = 3 UNION ALL SELECT 'later', min_by(r_name, r_regionkey) FROM region WHERE r_regionkey > 1""")
 def resolved_folders(spark, sf_dir):
-    return _boxes(spark)
+    """Folders for each kind: one's own settings (of regions) before what the server says (of nations), before the defaults."""
+    own = table(spark, sf_dir, "region").where("r_regionkey > 1").agg(F.lit("later").alias("kind"), F.min_by("r_name", "r_regionkey").alias("name")).select("kind", "name")
+    told = table(spark, sf_dir, "nation").where("n_nationkey % 7 = 3").agg(F.lit("sent").alias("kind"), F.min_by("n_name", "n_nationkey").alias("name")).select("kind", "name")
+    return M.resolve_folders(own.unionByName(spark.createDataFrame([("brief", "")], "kind string, name string")), told.unionByName(told.select(F.lit("later").alias("kind"), "name")))
 
 
 def _sorted_mail(spark, sf_dir):

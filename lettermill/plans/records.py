@@ -44,12 +44,18 @@ def redaction_counts(spark, sf_dir):
     return r.select("doc_id", *(F.col("redactions")[n.replace("_", "-")].cast("long").alias(n) for n in _RULES))
 
 
-@query("""SELECT doc_id, CASE WHEN doc_id % 10 = 6 THEN 'card [REDACTED:card-number] end' WHEN doc_id % 10 = 9 THEN 'number 1234567890123456 end'
- WHEN doc_id % 10 = 4 THEN 'your verification code is [REDACTED:otp] end' ELSE 'plain' END AS masked FROM documents""")
+#: What is left of the planted secrets.
+_MASKED = """case doc_id % 10
+ when 0 then ' key [REDACTED:api-key] end' when 1 then ' [REDACTED:bearer-token] end' when 2 then ' see [REDACTED:credential-url] end' when 3 then ' go [REDACTED:reset-link] end'
+ when 4 then ' your verification code is [REDACTED:otp] end' when 5 then ' ssn [REDACTED:ssn] end' when 6 then ' card [REDACTED:card-number] end' when 7 then ' [REDACTED:password-assignment] end' when 8 then ' [REDACTED:jwt] end'
+ else ' number 1234567890123456 end' end"""
+
+
+@query(f"SELECT doc_id, sha256(concat(regexp_replace(coalesce(text, ''), '[0-9]', '', 'g'), {_MASKED})) AS masked_sha256 FROM documents")
 def redact_rules(spark, sf_dir):
-    k = F.col("doc_id") % 10
-    text = F.when(k == 6, "card 4111 1111 1111 1111 end").when(k == 9, "number 1234567890123456 end").when(k == 4, "your verification code is 482913 end").otherwise("plain")
-    return redacted(table(spark, sf_dir, "documents").select("doc_id", text.alias("t")), "t", "masked").select("doc_id", "masked")
+    """Whole texts (without their own digits, so that only planted numbers are cards) with a secret of each kind, masked."""
+    laced = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(F.coalesce("text", F.lit("")), "[0-9]", "").alias("text")).selectExpr("doc_id", f"{_LACED} AS t")
+    return redacted(laced, "t", "masked").select("doc_id", F.sha2("masked", 256).alias("masked_sha256"))
 
 
 @query("""WITH d AS (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]{13,19}')) AS n FROM documents),
@@ -270,21 +276,23 @@ def local_part_query(spark, sf_dir):
     return d.select("doc_id", local_part(F.concat("source", F.lit("@"), "lang")).alias("local"), quoted(F.substring("text", 1, 30)).alias("q"), shortened(F.col("text"), 30).alias("short"), word_count(F.col("text")).alias("words"))
 
 
-@query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN concat('<r', doc_id, '@x>') WHEN 1 THEN concat('<p', doc_id, '@x>') ELSE concat('<', doc_id, '@x>') END AS thread FROM documents")
+@query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN concat('<r', lang, source, '@x>') WHEN 1 THEN concat('<', sha256(text), '@x>') ELSE concat('<', doc_id, '@x>') END AS thread FROM documents")
 def thread_key_query(spark, sf_dir):
-    i = F.col("doc_id").cast("string")
-    k = F.col("doc_id") % 3
-    refs = F.when(k == 0, F.concat(F.lit("junk <r"), i, F.lit("@x> <z@x>")))
-    reply = F.when(k == 1, F.concat(F.lit("<p"), i, F.lit("@x>"))).when(k == 0, F.lit("<other@x>")).otherwise("")
+    """Thread keys of header fields made of each document: references, a reply to the text's hash, or the own id."""
+    i, k = F.col("doc_id").cast("string"), F.col("doc_id") % 3
+    refs = F.when(k == 0, F.concat(F.regexp_replace("text", "[<>]", ""), F.lit(" <r"), "lang", "source", F.lit("@x> <z@x>")))
+    reply = F.when(k == 1, F.concat(F.lit("<"), F.sha2("text", 256), F.lit("@x>"))).when(k == 0, F.lit("<other@x>")).otherwise(F.regexp_replace("text", "[<>]", ""))
     return table(spark, sf_dir, "documents").select("doc_id", thread_key(refs, reply, F.concat(F.lit("<"), i, F.lit("@x>"))).alias("thread"))
 
 
-@query("SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'fail' WHEN 1 THEN 'pass' WHEN 2 THEN 'fail' WHEN 3 THEN 'pass' WHEN 4 THEN 'fail' ELSE 'none' END AS verdict FROM documents")
+@query("""WITH d AS (SELECT doc_id, source, lang, lower(concat(CASE doc_id % 7 WHEN 0 THEN 'x; dmarc=fail dkim=pass ' WHEN 1 THEN 'DMARC=PASS spf=fail ' WHEN 2 THEN 'dkim=permerror spf=softfail ' WHEN 3 THEN 'dkim=fail spf=pass ' WHEN 4 THEN 'spf=softfail ' ELSE '' END, text)) AS said FROM documents)
+ SELECT doc_id, CASE WHEN regexp_matches(said, 'dmarc=(fail|reject|quarantine)') THEN 'fail' WHEN contains(said, 'dmarc=pass') THEN 'pass' WHEN regexp_matches(said, 'dkim=(fail|permerror|temperror)') AND regexp_matches(said, 'spf=(fail|softfail)') THEN 'fail'
+ WHEN regexp_matches(said, 'dkim=pass|spf=pass') THEN 'pass' WHEN regexp_matches(said, 'dkim=(fail|permerror|temperror)|spf=(fail|softfail)') THEN 'fail' ELSE 'none' END AS verdict FROM d""")
 def auth_verdict(spark, sf_dir):
+    """Verdicts of authentication results in front of whole texts."""
     k = F.col("doc_id") % 7
-    said = F.when(k == 0, "x; dmarc=fail dkim=pass").when(k == 1, "DMARC=PASS spf=fail").when(k == 2, "dkim=permerror spf=softfail").when(k == 3, "dkim=fail spf=pass").when(k == 4, "spf=softfail").when(k == 5, "neutral").otherwise("")
-    h = F.map_filter(F.create_map(F.lit("authentication-results"), said), lambda a, b: b != "")
-    return table(spark, sf_dir, "documents").select("doc_id", authentication(h).alias("verdict"))
+    said = F.when(k == 0, "x; dmarc=fail dkim=pass ").when(k == 1, "DMARC=PASS spf=fail ").when(k == 2, "dkim=permerror spf=softfail ").when(k == 3, "dkim=fail spf=pass ").when(k == 4, "spf=softfail ").otherwise("")
+    return table(spark, sf_dir, "documents").select("doc_id", authentication(F.create_map(F.lit("authentication-results"), F.concat(said, "text"))).alias("verdict"))
 
 
 @query(f"WITH {MAIL_SQL} SELECT uid, addr AS addressed FROM mail")

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lettermill.operators.backtest import confusion_matrix, error_classes, ground_truth, per_label, projected_cost, totals, usage_cost
-from lettermill.operators.batches import stub_provider
 from lettermill.operators.cascade import classify, escalation, merge_model
 from lettermill.operators.correspondents import median_latency
 from lettermill.operators.mailbox import usage_totals
@@ -188,11 +187,22 @@ def usage_cost_totals(spark, sf_dir):
     return usage_totals(_costs(spark, sf_dir)).withColumn("usd", F.round("usd", 6))
 
 
-@query(f"""WITH {_SCORES} SELECT uid, CASE WHEN {_ESC} THEN 'later' ELSE label END AS label, CASE WHEN {_ESC} THEN CAST(0.88 AS DOUBLE) ELSE confidence END AS confidence, CASE WHEN {_ESC} THEN 1 ELSE 0 END AS tier, false AS escalate FROM dec""")
+#: The same judged by headers alone: no body was fetched.
+_HEADERS_ONLY = _SCORES.replace("left(body, 4000) AS body4", "'' AS body4")
+
+
+def _by_first_letter(items):
+    """A provider whose answer depends on the body that was fetched."""
+    return [{"id": x["id"], "label": "now" if x["preview"][:1].lower() < "m" else "brief", "confidence": 0.88, "rationale": "first letter"} for x in items]
+
+
+@query(f"""WITH {_HEADERS_ONLY} SELECT uid, CASE WHEN NOT ({_ESC}) THEN label WHEN lower(left(trim(body), 1)) < 'm' THEN 'now' ELSE 'brief' END AS label, CASE WHEN {_ESC} THEN CAST(0.88 AS DOUBLE) ELSE confidence END AS confidence, CASE WHEN {_ESC} THEN 1 ELSE 0 END AS tier, false AS escalate
+ FROM dec JOIN (SELECT uid AS u, body FROM mail) ON u = uid""")
 def triage_run(spark, sf_dir):
-    m = _with_people(spark, sf_dir)
-    bodies = m.select("uid", "bodyText", "attachments")
-    return triage(m, OWN, _as_of(), stub_provider, bodies).decisions.select("uid", "label", "confidence", "tier", "escalate")
+    """Messages of which only headers were fetched; the bodies of those that stay unsure come from another table."""
+    full = _with_people(spark, sf_dir)
+    bodies = full.select("uid", "bodyText", "attachments")
+    return triage(full.withColumn("bodyText", F.lit("")), OWN, _as_of(), _by_first_letter, bodies).decisions.select("uid", "label", "confidence", "tier", "escalate")
 
 
 @query(f"""WITH {_SCORES}, d AS (SELECT dec.uid, label, row_number() OVER (PARTITION BY label ORDER BY dec.uid) AS place, count(*) OVER (PARTITION BY label) AS n, subject FROM dec JOIN (SELECT uid AS u, subject FROM mail) ON u = dec.uid)
