@@ -17,6 +17,8 @@ from lettermill.llm.common import prepare, stored
 #: Children of a node, as bits of the rank; levels that one grouping reduces.
 BITS, LEVELS = 3, 3
 SPAN = BITS * LEVELS
+#: Equal rows that are told apart at once.
+COPIES = 1 << 16
 #: Where an id's 17 digits (a null flag, 16 hexadecimal ones), a leaf's and a language's are cut into levels.
 ID_CUTS, LEAF_CUTS, GROUP_CUTS = (1, 5, 9, 13, 15), (4,), (5,)
 
@@ -129,7 +131,10 @@ def ranked(leaves: DataFrame) -> DataFrame:
     inside = starts(several, LEAF_CUTS).select(F.split("g", " ")[0].alias("g"), F.split("g", " ")[1].alias("key"), F.col("key").alias("leaf"), F.col("start").alias("more"))
     leaves = leaves.join(inside, ["g", "key", "leaf"], "left")
     first = F.col("start") + F.coalesce("more", F.lit(0))
-    return leaves.select("g", "doc_id", "leaf", "tampered", F.explode(F.sequence(first, first + F.col("n") - 1)).alias("rank"))
+    leaves = leaves.select("g", "doc_id", "leaf", "tampered", first.alias("first"), (first + F.col("n") - 1).alias("last"))
+    # equal rows, however many, are told apart a stretch at a time
+    leaves = leaves.select("*", F.explode(F.sequence(F.col("first"), F.col("last"), F.lit(COPIES).cast("long"))).alias("from"))
+    return leaves.select("g", "doc_id", "leaf", "tampered", F.explode(F.sequence("from", F.least(F.col("last"), F.col("from") + COPIES - 1))).alias("rank"))
 
 
 def merkle_manifest(docs: DataFrame, tampered: Column | None = None) -> DataFrame:

@@ -210,7 +210,7 @@ def manifest(spark, rows):
 SAME_ID = [(77, "s", "zz", 1, f"T{i}") for i in range(70)]
 ODD_DOCS = [
     (None, None, None, None, None), (None, None, None, None, "A"), (None, None, None, None, "A"), (5, "s", "", 1, ""), (5, "s", "", 1, "B"), (5, "s", "", 1, "B"),
-    (-7, "s", "", 3, "C"), (2**62, "s", "é", 3, "C"), (-(2**63), "s", "é", 3, "Cé😀"), (2**63 - 1, "s", "é", 3, "X" * 100_000), (0, "s", "é", 0, "Q"), *SAME_ID, *SAME_ID[:9],
+    (-7, "s", "", 3, "C"), (2**62, "s", "é", 3, "C"), (-(2**63), "s", "é", 3, "Cé😀"), (2**63 - 1, "s", "é", 3, "X" * 100_000), (0, "s", "é", 0, "Q"), *SAME_ID, *SAME_ID[:9], *[(9, "s", "zz", 1, "copy")] * 7,
 ]
 
 
@@ -220,7 +220,8 @@ def test_manifest_sizes(spark, count):
     assert manifest(spark, rows) == manifest_by_hand(rows)
 
 
-def test_manifest_of_odd_rows(spark):
+def test_manifest_of_odd_rows(spark, monkeypatch):
+    monkeypatch.setattr("lettermill.llm.manifest.COPIES", 2)
     rows = ODD_DOCS + [(i, "s", f"l{i % 70:02}", i, f"T{i}") for i in range(300)]
     assert manifest(spark, rows) == manifest_by_hand(rows)
 
