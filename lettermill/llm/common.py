@@ -81,6 +81,32 @@ def small(df: DataFrame, width: int) -> DataFrame:
     return F.broadcast(df) if df.count() * width <= BROADCAST_BYTES else df
 
 
+#: A key is a hub from so many rows on, and from so many of all rows that there are at most ``HUBS`` of them.
+HUB_ROWS, HUBS = 10_000, 10_000
+
+
+def hubs(counts: DataFrame, key: str, total: int) -> DataFrame | None:
+    """(key, parts): keys that have a large share of ``total`` rows, by their numbers of rows (key, n), and the parts to cut each into.
+
+    At most HUBS keys, whatever the data: each has total / HUBS rows or more. Parts are at most twice as many. None where no key can have so many rows.
+    """
+    if total < HUB_ROWS:
+        return None
+    limit = max(HUB_ROWS, -(-total // HUBS))
+    return stored(counts.where(F.col("n") >= limit).select(key, F.ceil(F.col("n") / limit).cast("int").alias("parts")), "hubs")
+
+
+def spread_join(rows: DataFrame, keyed: DataFrame, key: str, by: str, heavy: DataFrame | None) -> DataFrame:
+    """Inner join of rows with the one row of each key in ``keyed``; rows of a hub are parted by a hash of ``by``, and its keyed row goes to each part."""
+    if heavy is None or heavy.isEmpty():
+        return rows.join(keyed, key)
+    heavy = F.broadcast(heavy.withColumnRenamed("parts", "__parts"))  # at most HUBS rows of two numbers
+    parts = F.coalesce("__parts", F.lit(1))
+    left = rows.join(heavy, key, "left").withColumn("__part", F.pmod(F.xxhash64(by), parts).cast("int")).drop("__parts")
+    right = keyed.join(heavy, key, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__parts")
+    return left.join(right, [key, "__part"]).drop("__part")
+
+
 def released(run):
     """The Arrow function ``run``, giving memory back to the system when its task ends: workers are used again."""
 

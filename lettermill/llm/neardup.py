@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lettermill.llm.common import SPACED, Words, encoded, mixed, pieces, prepare, released, stored
+from lettermill.llm.common import SPACED, Words, encoded, hubs, mixed, pieces, prepare, released, spread_join, stored
 from lettermill.llm.components import connected_components
 
 PLACES = 64
@@ -268,8 +268,9 @@ def rest_candidates(reps: DataFrame, percent: int) -> DataFrame:
     counts = entries.groupBy("key", "comp").agg(F.count("*").alias("c"))
     open_ = counts.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("m"), F.sum("c").alias("all"), F.count("*").alias("comps")).where("comps > 1")
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    open_ = open_.select("key", F.col("m.comp").alias("main"), blocks(F.col("m.c")).alias("mains"), blocks(F.col("all") - F.col("m.c")).alias("others"))
-    rows = entries.join(open_, "key")
+    open_ = open_.select("key", F.col("m.comp").alias("main"), blocks(F.col("m.c")).alias("mains"), blocks(F.col("all") - F.col("m.c")).alias("others"), "all")
+    heavy = hubs(open_.select("key", F.col("all").alias("n")), "key", reps.count() * slots)
+    rows = spread_join(entries, open_.drop("all"), "key", "id", heavy)
     at = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     own, upto = F.when(F.col("comp") == F.col("main"), -1 - at("mains")).otherwise(at("others")), F.sequence(F.lit(0), F.col("others") - 1)
     # blocks of the largest component count down from -1: each meets every block of others, and these meet each other
@@ -300,7 +301,7 @@ def full_sets(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, siz
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough."""
+    """The pairs (a, b; a stored table) whose full shingle sets are similar enough."""
 
     def check(batches):
         for batch in batches:
@@ -314,8 +315,10 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a")
-    return left.join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(released(check), "a long, b long")
+    total = pairs.count()
+    heavy = [hubs(pairs.groupBy(k).agg(F.count("*").alias("n")), k, total) for k in ("a", "b")]
+    left = spread_join(pairs, sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a", "b", heavy[0])
+    return spread_join(left, sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b", "a", heavy[1]).select("a", "b", "x", "y").mapInArrow(released(check), "a long, b long")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = PERCENT) -> DataFrame:
@@ -331,8 +334,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     given = df.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col))
     docs = stored(sketch(given, id_col, text_col, shingle), "sketches")
     full = docs.where("sig is not null and id is not null")
-    classes = full.groupBy("set_hash").agg(F.min("id").alias("rep"), F.first("sig").alias("sig"), F.first("n").alias("n"))
-    reps = stored(classes.select(F.col("rep").alias("id"), "set_hash", "sig", "n"), "classes")
+    classes = full.groupBy("set_hash").agg(F.min("id").alias("rep"), F.first("sig").alias("sig"), F.first("n").alias("n"), F.count("*").alias("copies"))
+    reps = stored(classes.select(F.col("rep").alias("id"), "set_hash", "sig", "n", "copies"), "classes")
     # first, documents of an entry with its least one
     pairs = stored(star_candidates(reps), "candidates")
     sets = full_sets(pairs, given, id_col, text_col, shingle)
@@ -344,6 +347,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     if not rest.isEmpty():
         comps = stored(connected_components(links.unionByName(confirmed(rest, sets, percent))), "components")
     named = reps.join(comps.withColumnRenamed("node", "id"), "id", "left").select("set_hash", F.coalesce("component", "id").alias("component_id"))
-    out = docs.select("id", "n", "set_hash").join(named, "set_hash", "left").select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+    # documents without a class (no words, no id) need no join; those of a class with many copies are joined in parts
+    row = lambda component: (F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
+    classed = F.col("sig").isNotNull() & F.col("id").isNotNull()
+    heavy = hubs(reps.select("set_hash", F.col("copies").alias("n")), "set_hash", docs.count())
+    out = spread_join(docs.where(classed), named, "set_hash", "id", heavy).select(*row(F.col("component_id")))
+    out = out.unionByName(docs.where(~classed).select(*row(F.col("id"))))
     return out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
