@@ -73,13 +73,18 @@ def triage(statistics: DataFrame, own: Sequence[str], as_of: Column | None, prov
     return Run(merge_model(judged, said.where("uid is not null").drop("warning")), sent, said, said.where("warning is not null").select("warning"))
 
 
-def why(decisions: DataFrame, uid: int) -> DataFrame:
-    """Each reason of one message's decision: position, code, detail, decisive and its weight for each label."""
-    rows = decisions.where(F.col("uid") == uid).select("uid", "label", "confidence", "tier", F.posexplode("reasons").alias("position", "r"))
+def reason_rows(decisions: DataFrame) -> DataFrame:
+    """Each reason of each decision: position, code, detail, decisive and its weight for each label."""
+    rows = decisions.select("uid", "label", "confidence", "tier", F.posexplode("reasons").alias("position", "r"))
     weight = lambda x: F.coalesce(F.col("r.weight")[x], F.lit(0.0)).alias(f"weight_{x}")
     return rows.select("uid", "label", "confidence", "tier", "position", "r.code", "r.detail", "r.decisive", *(weight(x) for x in LABELS))
 
 
+def why(decisions: DataFrame, uid: int) -> DataFrame:
+    """The reasons of one message's decision."""
+    return reason_rows(decisions.where(F.col("uid") == uid))
+
+
 def shown(decisions: DataFrame, most: int = SHOWN_EACH) -> DataFrame:
     """The first messages of each label, in the order of input, and how many more there are; an unknown label is shown as later."""
     decisions = decisions.withColumn("label", F.when(F.col("label").isin(*SHOWN), F.col("label")).otherwise("later"))

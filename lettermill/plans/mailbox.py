@@ -12,8 +12,8 @@ from lettermill.operators.cascade import classify
 from lettermill.operators.correspondents import with_rules
 from lettermill.plans.adapters import MAIL_SQL, OWN, messages
 from lettermill.plans.records import _TURN, _turns
-from lettermill.plans.registry import QUERIES, query, table
-from lettermill.plans.triage import _SCORES, _as_of, _with_people, decisions
+from lettermill.plans.registry import query, table
+from lettermill.plans.triage import _SCORES, _WHY, _as_of, _with_people, decisions
 
 _NONE = "array<struct<name: string, email: string, domain: string>>"
 
@@ -65,13 +65,11 @@ def reply_texts(spark, sf_dir):
     return _sorted_mail(spark, sf_dir).select("uid", F.md5(M.reply(OWN[0], F.concat(F.lit("Will do: "), "bodyText"))).alias("digest"))
 
 
+@query(f"""WITH {_WHY} SELECT uid, CAST(to_json({{'uid': uid, 'messageId': concat('<', uid, '@x>'), 'label': label, 'confidence': confidence, 'tier': 0, 'reasons': [{{'code': x.code, 'detail': x.detail}} FOR x IN reasons]}}) AS VARCHAR) AS json FROM why""")
 def decisions_as_json(spark, sf_dir):
     return M.decisions_json(decisions(spark, sf_dir))
 
 
-QUERIES["decisions_as_json"] = decisions_as_json
-
-
 @query("SELECT round(sum(value), 4) AS usd, sum(user_id)::BIGINT AS input, sum(event_id)::BIGINT AS output, count(*) AS calls, count(*) AS runs FROM events WHERE event_type = 'error' AND user_id % 2 = 0")
 def cost_note_totals(spark, sf_dir):
     notes = table(spark, sf_dir, "events").select(F.when(F.col("event_type") == "error", "note").otherwise("result").alias("phase"), F.when(F.col("user_id") % 2 == 0, "cost").otherwise("undone").alias("type"), F.col("value").alias("usd"), F.col("user_id").alias("input"), F.col("event_id").alias("output"), F.lit(1).alias("calls"))

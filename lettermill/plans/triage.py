@@ -8,9 +8,9 @@ from lettermill.operators.backtest import confusion_matrix, error_classes, groun
 from lettermill.operators.cascade import classify, escalation, merge_model
 from lettermill.operators.correspondents import median_latency
 from lettermill.operators.mailbox import usage_totals
-from lettermill.operators.triage import brief, shown, triage, why
+from lettermill.operators.triage import brief, reason_rows, shown, triage, why
 from lettermill.plans.adapters import MAIL_SQL, OWN, messages
-from lettermill.plans.registry import QUERIES, query, table
+from lettermill.plans.registry import query, table
 
 
 def _as_of():
@@ -230,10 +230,62 @@ def reasons_of_all(spark, sf_dir):
     return d.select("uid", F.array_join(F.transform("reasons", lambda r: r["code"]), ",").alias("codes"), total("now"), total("later"), total("brief"))
 
 
-def why_query(spark, sf_dir):
-    """Reasons of one message that several rules speak on."""
-    d = decisions(spark, sf_dir)
-    return why(d, 17)
+def _reason(when: str, code: str, detail: str, now: str = "0", later: str = "0", brief: str = "0", decisive: bool = False) -> str:
+    weights = ", ".join(f"'{name}': CAST({w} AS DOUBLE)" for name, w in (("now", now), ("later", later), ("brief", brief)))
+    return f"CASE WHEN {when} THEN {{'code': {code}, 'detail': {detail}, 'decisive': {str(decisive).lower()}, {weights}}} END"
+
+
+def _sure(code: str, detail: str) -> str:
+    return _reason(f"code = '{code}'", "code", detail, decisive=True)
+
+
+def _light(when: str, code: str, detail: str, **weights: str) -> str:
+    return _reason(f"code IS NULL AND ({when})", code, detail, **weights)
+
 
+_MARKET, _PRESS = (f"(?i){_B}({words}){_E}" for words in ("unsubscribe|view (?:this )?in browser|limited time|webinar|free trial|act now|don''t miss", "by (?:eod|today|tomorrow|monday|tuesday|wednesday|thursday|friday)|urgent|asap|deadline|time[- ]sensitive|needs? (?:an )?answer|before the call"))
+_DAYS = "CAST(floor({} + 0.5) AS BIGINT)"
+#: What each rule says, in the order of the rules.
+_SAID = ",\n  ".join((
+    _sure("auto-submitted", "'Auto-Submitted: auto-replied'"),
+    _sure("bulk", "'bulk mail headers present (List-Id)'"),
+    _sure("impersonation", "concat('fails sender authentication in the name of ', email)"),
+    _sure("known-correspondent", f"concat('you have written to them ', sent_to, ' time(s), last ', {_DAYS.format('(43200 - last_sent) / 1440.0')}, ' day(s) ago')"),
+    _sure("never-answered", "concat(received_from, ' messages received, none answered')"),
+    _light("true", "concat('addressing:', addr)", "concat('how you are addressed: ', addr)", now="CASE addr WHEN 'direct' THEN 1.5 WHEN 'group' THEN 1 ELSE 0 END", later="CASE addr WHEN 'cc' THEN 1.5 ELSE 0 END", brief="CASE addr WHEN 'bcc' THEN 1.5 ELSE 0 END"),
+    _light("domain_sent >= 5 AND NOT failed", "'known-domain'", "concat('you have written to ', domain, ' ', domain_sent, ' time(s)')", now="1.5"),
+    _light("failed AND NOT (sent_to > 0 OR received_from > 2)", "'failed-authentication'", "'fails sender authentication'", brief="2"),
+    _light("email LIKE 'no-reply@%'", "'no-reply-sender'", "'no replies to no-reply'", brief="2"),
+    _light(f"regexp_matches({_HAY}, '{_MARKET}')", "'marketing-language'", f"concat('promotional phrasing: ', regexp_extract({_HAY}, '{_MARKET}', 1))", brief="1.5"),
+    _light(f"regexp_matches({_HAY}, '{_PRESS}')", "'urgency-cue'", f"concat('time pressure: ', regexp_extract({_HAY}, '{_PRESS}', 1))", now="1.5"),
+    _light("asks", "CASE WHEN direct THEN 'direct-question' ELSE 'question-mark' END", "CASE WHEN direct THEN 'asks you a direct question' ELSE 'contains a question' END", now="CASE WHEN direct THEN 1.5 ELSE 0.5 END"),
+    _light("regexp_matches(subject, '^\\s*(?i:re|aw|antw|sv|vs)\\s*:')", "'reply-subject'", "'subject marks a reply'", now="0.75"),
+    _light("regexp_matches(subject, '^\\s*(?i:fwd?|wg)\\s*:')", "'forward-subject'", "'subject marks a forward'", later="0.5"),
+    _light("sent_to = 0 AND received_from <= 1", "'first-contact'", "'no earlier correspondence with this sender'", later="1"),
+    _light("age <= 1 OR age >= 14", "CASE WHEN age <= 1 THEN 'fresh' ELSE 'stale' END", f"CASE WHEN age <= 1 THEN 'arrived in the last day' ELSE concat({_DAYS.format('age')}, ' days old') END", now="CASE WHEN age <= 1 THEN 0.5 ELSE 0 END", later="CASE WHEN age >= 14 THEN 1 ELSE 0 END"),
+    _light("files > 0", "'has-attachment'", "concat('carries ', files, ' attachment(s)')", now="0.5"),
+    _light("answered", "'already-answered'", "'you have already replied'", later="2", brief="1"),
+))
+_WHY = f"""{_SCORES}, told AS (SELECT r.uid AS u, [x FOR x IN [{_SAID}] IF x IS NOT NULL] AS reasons FROM r),
+ why AS (SELECT dec.uid, label, confidence, reasons FROM dec JOIN told ON u = dec.uid)"""
+_WHY_ROWS = f"""WITH {_WHY}, flat AS (SELECT uid, label, confidence, generate_subscripts(reasons, 1) - 1 AS position, unnest(reasons) AS r FROM why)
+SELECT uid, label, confidence, CAST(0 AS INT) AS tier, CAST(position AS INT) AS position, r.code AS code, r.detail AS detail, r.decisive AS decisive, r.now AS weight_now, r.later AS weight_later, r.brief AS weight_brief, CAST(0 AS DOUBLE) AS weight_noise FROM flat"""
 
-QUERIES["why"] = why_query
+
+@query(_WHY_ROWS)
+def reasons_in_rows(spark, sf_dir):
+    """Every reason of every message, with what the rule found and its weights."""
+    return reason_rows(decisions(spark, sf_dir))
+
+
+def _spoken(spark, sf_dir):
+    """The message asked about: the first on which most rules speak."""
+    d = decisions(spark, sf_dir).select("uid", F.size("reasons").alias("n"))
+    return d.agg(F.max(F.struct("n", (-F.col("uid")).alias("u")))).first()[0]
+
+
+@query(f"{_WHY_ROWS} WHERE uid = (SELECT uid FROM why ORDER BY len(reasons) DESC, uid LIMIT 1)", name="why")
+def why_query(spark, sf_dir):
+    """Reasons of one message: the first of those that most rules speak on."""
+    found = _spoken(spark, sf_dir)
+    return why(decisions(spark, sf_dir), -1 if found is None else -found.u)
