@@ -73,6 +73,24 @@ def per_label(scored: DataFrame) -> DataFrame:
     return each.withColumns({"precision": F.try_divide(F.col("correct").cast("double"), "predicted"), "recall": F.try_divide(F.col("correct").cast("double"), "actual")})
 
 
+def summary(scored: DataFrame) -> DataFrame:
+    """(json): one row with totals, rates, each label's measures and the matrix, without the scored rows. One pass; measures of nothing are null."""
+    n, double = F.count_if, lambda c: c.cast("double")
+    settled, pairs = F.col("actual").isNotNull(), [(a, p) for a in LABELS for p in LABELS]
+    row = scored.agg(n(settled).alias("total"), n(~settled).alias("skipped"), n(settled & F.col("escalated")).alias("escalated"), *(n((F.col("actual") == a) & (F.col("predicted") == p)).alias(f"{a}_{p}") for a, p in pairs))
+    add = lambda names: sum((F.col(x) for x in names), F.lit(0)).cast("long")
+    row = row.withColumn("agreed", add(f"{x}_{x}" for x in LABELS))
+    share = lambda part, whole: F.round(F.try_divide(double(part), whole), 6)
+
+    def of(label: str) -> Column:
+        said, true, right = add(f"{a}_{label}" for a in LABELS), add(f"{label}_{p}" for p in LABELS), F.col(f"{label}_{label}")
+        return F.struct(F.lit(label).alias("label"), said.alias("predicted"), true.alias("actual"), right.alias("correct"), share(right, said).alias("precision"), share(right, true).alias("recall"))
+
+    rates = [F.coalesce(share(F.col(c), F.col("total")), F.lit(0.0)).alias(f"{name}Rate") for c, name in (("agreed", "agreement"), ("escalated", "escalation"))]
+    matrix = F.array(*(F.struct(F.lit(a).alias("actual"), *(F.col(f"{a}_{p}").alias(p) for p in LABELS)) for a in LABELS))
+    return row.select(F.to_json(F.struct("total", "skipped", "agreed", "escalated", *rates, F.array(*(of(x) for x in LABELS)).alias("labels"), matrix.alias("matrix")), {"ignoreNullFields": "false"}).alias("json"))
+
+
 def error_classes(scored: DataFrame) -> DataFrame:
     """buried: should have been now and was put away; cluttered: the other way round."""
     away = lambda c: F.col(c).isin("brief", "noise")

@@ -5,12 +5,12 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from lettermill.config import Config
+from lettermill.config import LABELS, Config
 from lettermill.functions.mime import with_structure
 from lettermill.functions.numbers import clamp01, half_up, header_date, imap_date, money
 from lettermill.functions.redact import redacted
 from lettermill.functions.text import html_to_text, safe_json
-from lettermill.operators.backtest import backtest, totals
+from lettermill.operators.backtest import backtest, summary, totals
 from lettermill.operators.asof import latest_before
 from lettermill.operators.batches import Refused, TooLarge, ask, asked, batches, confidence, projections, stub_provider
 from lettermill.operators.cascade import classify
@@ -271,3 +271,17 @@ def test_providers_that_fail(spark, inbox):
     assert {(r.label, r.confidence) for r in ask(b, odd).collect()} == {("", 0.5), ("now", 0.5), ("now", 1.0)}
     said = {"missing": {}, "null": {"confidence": None}, "nan": {"confidence": float("nan")}, "inf": {"confidence": float("inf")}, "text": {"confidence": "0.25"}, "words": {"confidence": "high"}, "low": {"confidence": -3}, "list": {"confidence": [1, 2]}, "blank": {"confidence": " "}}
     assert {k: confidence(v) for k, v in said.items()} == {"missing": 0.5, "null": 0.0, "nan": 0.5, "inf": 0.5, "text": 0.25, "words": 0.5, "low": 0.0, "list": 0.5, "blank": 0.0}
+
+
+def test_backtest_summary(spark):
+    """All measures in one text; of nothing, rates are 0 and measures null."""
+    schema = "predicted string, actual string, escalated boolean"
+    none = json.loads(summary(spark.createDataFrame([], schema)).first().json)
+    assert (none["total"], none["skipped"], none["agreementRate"], none["escalationRate"]) == (0, 0, 0.0, 0.0)
+    assert [x["label"] for x in none["labels"]] == list(LABELS) and all(x["precision"] is None and x["recall"] is None for x in none["labels"])
+    rows = [("now", "now", False), ("now", "brief", True), ("noise", "brief", False), ("brief", "brief", True), ("later", None, True), (None, "later", False)]
+    s = json.loads(summary(spark.createDataFrame(rows, schema)).first().json)
+    assert (s["total"], s["skipped"], s["agreed"], s["escalated"], s["agreementRate"], s["escalationRate"]) == (5, 1, 2, 2, 0.4, 0.4)
+    assert {x["label"]: (x["predicted"], x["actual"], x["correct"], x["precision"], x["recall"]) for x in s["labels"]}["brief"] == (1, 3, 1, 1.0, 0.333333)
+    assert {m["actual"]: (m["now"], m["later"], m["brief"], m["noise"]) for m in s["matrix"]}["brief"] == (1, 0, 1, 1)
+    assert "scored" not in s
