@@ -17,6 +17,7 @@ from lettermill.functions.headers import addressing
 from lettermill.functions.numbers import iso
 from lettermill.functions.redact import RULES, redacted
 from lettermill.functions.text import collapse, display_from
+from lettermill.operators.correspondents import PARTS
 
 #: Keys of a projection in the order in which they are hashed.
 FIELDS = ("id", "from", "domain", "subject", "date", "addressedAs", "recipientCount", "attachments", "preview", "truncated")
@@ -223,8 +224,13 @@ def stub_provider(items: list[dict]) -> list[dict]:
 
 
 def digest(messages: DataFrame, sender: str = "from", subject: str = "subject", seq: str = "seq", most: int = 5) -> DataFrame:
-    """Each sender's first subjects and how many more there are; senders by their first message (``first_seq``)."""
-    ranked = messages.withColumn("__r", F.row_number().over(Window.partitionBy(sender).orderBy(seq)))
-    listed = F.sort_array(F.collect_list(F.when(F.col("__r") <= most, F.struct(F.col(seq).alias("s"), F.col(subject).alias("t")))))
-    out = ranked.groupBy(sender).agg(F.min(seq).alias("first_seq"), F.count("*").alias("n"), listed.alias("__l"))
+    """Each sender's first subjects and how many more there are; senders by their first message (``first_seq``).
+
+    Each part of a sender's messages gives its first ones and their number: no task gets all messages of one sender.
+    """
+    parted = messages.withColumn("__part", F.pmod(F.xxhash64(seq), F.lit(PARTS)).cast("int"))
+    ranked = parted.withColumn("__r", F.row_number().over(Window.partitionBy(sender, "__part").orderBy(seq)))
+    listed = F.collect_list(F.when(F.col("__r") <= most, F.struct(F.col(seq).alias("s"), F.col(subject).alias("t"))))
+    parts = ranked.groupBy(sender, "__part").agg(F.min(seq).alias("first_seq"), F.count("*").alias("n"), listed.alias("__l"))
+    out = parts.groupBy(sender).agg(F.min("first_seq").alias("first_seq"), F.sum("n").alias("n"), F.slice(F.sort_array(F.flatten(F.collect_list("__l"))), 1, most).alias("__l"))
     return out.select(sender, "first_seq", "n", F.transform("__l", lambda x: x["t"]).alias("subjects"), F.greatest(F.col("n") - most, F.lit(0)).alias("more"))

@@ -12,9 +12,9 @@ from lettermill.functions.redact import redacted
 from lettermill.functions.text import html_to_text, safe_json
 from lettermill.operators.backtest import backtest, summary, totals
 from lettermill.operators.asof import latest_before
-from lettermill.operators.batches import Refused, TooLarge, ask, asked, batches, confidence, projections, stub_provider
+from lettermill.operators.batches import Refused, TooLarge, ask, asked, batches, confidence, digest, projections, stub_provider
 from lettermill.operators.cascade import classify
-from lettermill.operators.correspondents import domain_stats, edges, person_stats, reply_latencies, thread_index
+from lettermill.operators.correspondents import capped, domain_stats, edges, person_stats, reply_latencies, thread_index
 from lettermill.schemas import JOURNAL
 from lettermill.sources.files import append_lines, from_cached, merged, read_lines, to_cached
 from lettermill.operators.triage import brief, shown, triage, why, with_statistics
@@ -285,3 +285,20 @@ def test_backtest_summary(spark):
     assert {x["label"]: (x["predicted"], x["actual"], x["correct"], x["precision"], x["recall"]) for x in s["labels"]}["brief"] == (1, 3, 1, 1.0, 0.333333)
     assert {m["actual"]: (m["now"], m["later"], m["brief"], m["noise"]) for m in s["matrix"]}["brief"] == (1, 0, 1, 1)
     assert "scored" not in s
+
+
+def test_hot_keys_in_parts(spark):
+    """One sender of nearly all messages: its last events and first subjects as if ranked at once; ties and nulls too."""
+    rows = spark.range(5000).select(F.when(F.col("id") % 50 == 7, F.concat(F.lit("p"), F.col("id") % 3)).when(F.col("id") % 100 == 9, F.lit(None).cast("string")).otherwise("hot").alias("email"), F.lit("received").alias("direction"), F.col("id").alias("seq"), F.concat(F.lit("s"), F.col("id")).alias("subject"))
+    by = {}
+    for r in rows.collect():
+        by.setdefault(r.email, []).append(r.seq)
+    kept = {}
+    for r in capped(rows, 30).collect():
+        kept.setdefault(r.email, []).append(r.seq)
+    assert {k: sorted(v) for k, v in kept.items()} == {k: sorted(v)[-30:] for k, v in by.items()}
+    got = {r.email: (r.first_seq, r.n, r.subjects, r.more) for r in digest(rows, "email").collect()}
+    assert got == {k: (min(v), len(v), [f"s{x}" for x in sorted(v)[:5]], len(v) - 5) for k, v in by.items()}
+    assert capped(rows, 30).columns == rows.columns and digest(rows.limit(0), "email").count() == 0
+    twice = rows.where("seq < 3").unionByName(rows.where("seq < 3"))
+    assert digest(twice, "email").first().subjects == ["s0", "s0", "s1", "s1", "s2"] and capped(twice, 4).count() == 4
