@@ -28,9 +28,10 @@ def greeting(body: Column) -> Column:
     return F.nullif(F.lower(F.regexp_extract(F.get(_lines(body), F.lit(0)), GREETINGS, 1)), F.lit(""))
 
 
-def sign_off(body: Column) -> Column:
+def sign_off(body: Column, last: int = 3) -> Column:
+    """The first sign-off within the ``last`` lines that aren't blank."""
     lines = F.transform(_lines(body), F.trim)
-    tail = F.array_join(F.slice(lines, F.greatest(F.size(lines) - 2, F.lit(1)), 3), " ")
+    tail = F.array_join(F.slice(lines, F.greatest(F.size(lines) - (last - 1), F.lit(1)), last), " ")
     return F.nullif(F.lower(F.regexp_extract(tail, SIGN_OFFS, 1)), F.lit(""))
 
 

@@ -1,0 +1,29 @@
+"""Queries of records on odd rows, against their SQL."""
+
+import duckdb
+from pyspark.sql import functions as F
+
+from lettermill.operators import voice as V
+from lettermill.plans import catalog
+
+
+def held_against_sql(spark, folder, name, **tables):
+    con = duckdb.connect()
+    for table, (rows, schema) in tables.items():
+        path = f"{folder}/{table}.parquet"
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(path)
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{path}/*.parquet'")
+    got = catalog.QUERIES[name](spark, str(folder))
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({catalog.ORACLES[name]})").fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_sign_offs_within_the_text(spark, tmp_path):
+    texts = ["All the best to you", "thanks for all of it", "Das Bestö\n", "nothing", None, "a\nregards\nb"]
+    rows = [(c, t, "user" if c % 4 else "bot", x) for t in range(4) for c, x in enumerate(texts)]
+    held_against_sql(spark, tmp_path, "sign_off_tally", conversations=(rows, "conv_id long, turn int, role string, text string"))
+
+
+def test_lines_of_a_sign_off(spark):
+    body = F.lit("Best of all\n\nworks\nCheers, x")
+    assert spark.range(1).select(V.sign_off(body), V.sign_off(body, 1)).first()[:] == ("best", "cheers")
