@@ -8,10 +8,12 @@ from __future__ import annotations
 
 import codecs
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _HEX = np.full(257, -1, np.int16)  # the last entry stands for "behind the end"
 for _i, _c in enumerate(b"0123456789abcdef"):
@@ -134,13 +136,31 @@ def texts(data: np.ndarray, offsets: np.ndarray, labels: list) -> list[str]:
     return [text(raw[i:j], label) for i, j, label in zip(edges, edges[1:], labels, strict=False)]
 
 
+#: Bytes that are worked on at once: the steps hold several numbers of eight bytes for each.
+AT_ONCE = 1 << 20
+
+
+def runs(sizes, most: int = AT_ONCE) -> Iterator[tuple[int, int]]:
+    """Runs (from, to) of rows that have at most ``most`` bytes, or of one row."""
+    begin = total = 0
+    for i, size in enumerate(sizes):
+        if i > begin and total + size > most:
+            yield begin, i
+            begin, total = i, 0
+        total += size
+    if begin < len(sizes):
+        yield begin, len(sizes)
+
+
 def bodies(column, encodings: list[str | None], labels: list[str | None]) -> list[str]:
     """Texts of parts by transfer encoding and character set."""
     kinds = np.array([{"base64": 1, "quoted-printable": 2}.get((e or "").strip().lower(), 0) for e in encodings], np.int8)
     out: list[str] = [""] * len(kinds)
+    sizes = pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False)
     for kind in range(3):
-        at = np.flatnonzero(kinds == kind)
-        if len(at):
+        every = np.flatnonzero(kinds == kind)
+        for a, b in runs(sizes[every].tolist()):
+            at = every[a:b]
             data, offsets = octets(column.take(pa.array(at)))
             if kind == 1:
                 data, offsets = base64(data, offsets)
@@ -158,7 +178,13 @@ _WORD = re.compile(r"=\?([^?]+)\?([BbQq])\?([^?]*)\?=")
 def words(values: list[str | None]) -> list[str]:
     """Encoded words as text, all rows' words decoded together; white space between two of them goes."""
     out = [v or "" for v in values]
-    marked = [i for i, v in enumerate(out) if "=?" in v]
+    every = [i for i, v in enumerate(out) if "=?" in v]
+    for a, b in runs([len(out[i]) for i in every]):
+        _decode(out, every[a:b])
+    return out
+
+
+def _decode(out: list[str], marked: list[int]) -> None:
     for i in marked:
         out[i] = _GAP.sub(r"\1\2", out[i])
     found = [(i, m) for i in marked for m in _WORD.finditer(out[i])]
@@ -171,10 +197,16 @@ def words(values: list[str | None]) -> list[str]:
         ends[i] = m.end()
     for i, own in pieces.items():
         out[i] = "".join(own) + out[i][ends[i] :]
-    return out
 
 
 def split_outside(column, separator: str) -> pa.Array:
+    """Each row's pieces between separators, see ``_split``; null is one empty piece."""
+    sizes = pc.binary_length(column).fill_null(0).to_pylist()
+    parts = [_split(column.slice(a, b - a), separator) for a, b in runs(sizes)]
+    return pa.concat_arrays(parts) if parts else _split(column, separator)
+
+
+def _split(column, separator: str) -> pa.Array:
     """Each row's pieces between separators that aren't in quotes or angle brackets, nor behind a backslash.
 
     A state machine for all rows at once: backslashes count by their place in a run, quotes by parity, brackets by a
