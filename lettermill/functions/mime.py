@@ -13,6 +13,9 @@ from lettermill.functions.text import trimmed, unfold
 # Bounds of what is read of one message.
 MAX_HEADER, MAX_BODY, MAX_PARTS, MAX_DEPTH, MAX_ADDRESSES = 256 << 10, 2 << 20, 64, 8, 256
 
+#: More than any text has characters.
+MAX_LENGTH = (1 << 31) - 1
+
 ADDRESS = "struct<name: string, email: string, domain: string>"
 _MARK = "struct<node: string, at: int>"
 _NODE = f"struct<final: boolean, source: string, path: string, marks: array<{_MARK}>, kind: string, encoding: string, charset: string, filename: string, type: string, size: bigint>"
@@ -28,18 +31,42 @@ def _let(value: Column, f) -> Column:
 # --- header fields ------------------------------------------------------------
 
 
+def empty_line(source: Column) -> Column:
+    """Where the first empty line begins (in characters), with the end of the line before it; 0 without one."""
+    found = lambda x: F.nullif(F.instr(source, x), F.lit(0))
+    at = F.coalesce(F.least(found("\n\n"), found("\n\r\n")), F.when(source.isNotNull(), F.lit(0)))
+    return _let(at, lambda i: F.when(i > 0, i - F.when(F.substring(source, F.greatest(i - 1, F.lit(1)), F.lit(1)) == "\r", 1).otherwise(0)).otherwise(i))
+
+
 def head_and_body(source: Column) -> Column:
     """The unfolded header block (so much of it as counts) and what comes after the first empty line."""
-    at = F.regexp_instr(source, F.lit(r"\r?\n\r?\n"))
+    rest = lambda i: F.substring(source, i, MAX_LENGTH)
     return _let(
-        at,
+        empty_line(source),
         lambda i: F.struct(
             unfold(F.substring(F.when(i > 0, F.substring(source, F.lit(1), i - 1)).otherwise(source), 1, MAX_HEADER)).alias("head"),
-            F.when(i > 0, F.regexp_replace(F.substring(source, i, F.length(source)), r"\A\r?\n\r?\n", "")).otherwise("").alias("body"),
+            F.when(i > 0, rest(i + F.length(F.regexp_extract(F.substring(source, i, F.lit(4)), r"\A\r?\n\r?\n", 0)))).otherwise("").alias("body"),
         ),
     )
 
 
+def named(head: Column) -> Column:
+    """The lines of an unfolded header block, and the name before each one's colon (null without one)."""
+    name = lambda x: F.when(F.instr(x, ":") > 0, F.translate(F.btrim(F.substring_index(x, ":", 1), F.lit("\t\v\f\r ")), _UPPER, _UPPER.lower()))
+    return _let(F.split(head, "\n"), lambda lines: F.struct(lines.alias("lines"), F.transform(lines, name).alias("names")))
+
+
+#: Letters of header names.
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def field(lines: Column, name: str) -> Column:
+    """The first value of a field among ``named`` lines, empty without one."""
+    line = lambda at: F.get(lines["lines"], (at - 1).cast("int"))
+    value = lambda at: F.when(at > 0, trimmed(F.substring(line(at), F.instr(line(at), ":") + 1, F.lit(MAX_LENGTH)))).otherwise("")
+    return _let(F.array_position(lines["names"], F.lit(name)), value)
+
+
 def header(head: Column, name: str) -> Column:
     """The first value of a field in an unfolded header block, empty without one."""
     return trimmed(F.regexp_extract(F.concat(F.lit("\n"), head), rf"(?i)\n[^\S\n]*{name}[^\S\n]*:([^\n]*)", 1))
@@ -161,16 +188,12 @@ def segments(body: Column, boundary: Column) -> Column:
     """What stands between lines of the boundary, up to the closing one; line ends count as one character."""
     mark = F.concat(F.lit(r"(?U)\n--\Q"), F.replace(boundary, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"), F.when(boundary.rlike(r"[\s\x{FEFF}]\z"), r"(?!)").otherwise(""))  # blanks at a line's end don't count
     rest = F.lit(r"[\s\x{FEFF}&&[^\n]]*(?=\n|\z)")
-    lines = F.struct(F.concat(F.lit("\n"), F.regexp_replace(body, r"\r?\n", "\n")).alias("text"), mark.alias("mark"))
+    lines = F.struct(F.concat(F.lit("\n"), F.replace(body, F.lit("\r\n"), F.lit("\n"))).alias("text"), mark.alias("mark"))
     upto = lambda x: F.struct(F.get(F.split(x["text"], F.concat(x["mark"], F.lit("--"), rest), 2), F.lit(0)).alias("text"), x["mark"].alias("mark"))
     parts = _let(_let(lines, upto), lambda x: F.split(x["text"], F.concat(x["mark"], rest)))
     return F.filter(F.transform(parts, lambda p, i: F.when(i > 0, F.substring(p, 2, MAX_LENGTH))), lambda p: p.isNotNull())
 
 
-#: More than any text has characters.
-MAX_LENGTH = (1 << 31) - 1
-
-
 def _opened(n: Column) -> Column:
     """A part's own parts, or the part itself with what is known of it; nothing for a multipart without boundary."""
 
@@ -199,10 +222,11 @@ def _opened(n: Column) -> Column:
         return F.when(t["kind"] != "parts", F.array(leaf)).when(F.coalesce(t["boundary"], F.lit("")) != "", children).otherwise(F.array().cast(f"array<{_NODE}>"))
 
     def read(s: Column) -> Column:
-        kind = F.coalesce(F.nullif(header(s["head"], "content-type"), F.lit("")), F.lit("text/plain"))
-        return F.struct(parameters(kind).alias("ct"), parameters(header(s["head"], "content-disposition")).alias("cd"), header(s["head"], "content-transfer-encoding").alias("encoding"), s["body"].alias("body"))
+        kind = F.coalesce(F.nullif(field(s["head"], "content-type"), F.lit("")), F.lit("text/plain"))
+        return F.struct(parameters(kind).alias("ct"), parameters(field(s["head"], "content-disposition")).alias("cd"), field(s["head"], "content-transfer-encoding").alias("encoding"), s["body"].alias("body"))
 
-    return _let(head_and_body(n["source"]), lambda s: _let(read(s), lambda p: _let(told(p), nodes)))
+    lines = lambda s: F.struct(named(s["head"]).alias("head"), s["body"].alias("body"))
+    return _let(_let(head_and_body(n["source"]), lines), lambda s: _let(read(s), lambda p: _let(told(p), nodes)))
 
 
 @F.arrow_udf(_FOUND)

@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lettermill.functions.headers import KEPT_HEADERS
-from lettermill.functions.mime import ADDRESS, address_list, decode_words, head_and_body, header, with_structure
+from lettermill.functions.mime import ADDRESS, address_list, decode_words, empty_line, field, head_and_body, named, with_structure
 from lettermill.functions.numbers import header_date
 from lettermill.functions.text import best_text, message_id, thread_key, trimmed
+from lettermill.sources.shared import small_batches
 
 # Bounds of what is read of one response.
 MAX_LITERAL, MAX_LINE, MAX_NESTING = 8 << 20, 128 << 10, 32
@@ -24,14 +25,16 @@ def normalize(rows: DataFrame, folder: str = "INBOX") -> DataFrame:
     Rows without a uid go. The server's date counts before the header's; without either it is 1970.
     Null raw is a message without headers and body.
     """
+    small_batches(rows.sparkSession)
     raw = F.coalesce("raw", F.lit(""))
     fields = ("message-id", "references", "in-reply-to", "date", "subject")
     people = {"from": "from", "to": "to", "cc": "cc", "replyTo": "reply-to"}
-    head = F.col("__head")
+    head = F.col("__head")  # its lines with their names
     value = lambda n: F.col("__h")[n]
-    p = rows.where("uid is not null").withColumn("__head", head_and_body(raw)["head"])
-    p = p.withColumn("__h", F.struct(*(header(head, n).alias(n) for n in (*fields, *people.values())), F.map_from_arrays(F.array(*map(F.lit, KEPT_HEADERS)), F.array(*(header(head, n) for n in KEPT_HEADERS))).alias("kept")))
-    split = F.regexp_instr(raw, F.lit(r"\r?\n\r?\n"))
+    p = rows.where("uid is not null").withColumn("__head", head_and_body(raw)["head"]).withColumn("__head", named(F.col("__head")))
+    p = p.withColumn("__h", F.struct(*(field(head, n).alias(n) for n in (*fields, *people.values())), F.map_from_arrays(F.array(*map(F.lit, KEPT_HEADERS)), F.array(*(field(head, n) for n in KEPT_HEADERS))).alias("kept")))
+    p = p.withColumn("__split", empty_line(raw))
+    split = F.col("__split")
     has_body = (split > 0) & (F.char_length(raw) > split + 1)
     p = with_structure(p, F.when(has_body, raw).otherwise(""), "__s")
     own = message_id(value("message-id"))
@@ -79,6 +82,21 @@ def responses(data: bytes) -> Iterator[bytes]:
         at = end + 2
 
 
+def streamed(read: Callable[[int], bytes], size: int = 1 << 20) -> Iterator[bytes]:
+    """The responses of a stream; no more is held than one response and ``size`` bytes."""
+    held = b""
+    while True:
+        more = read(size)
+        held += more
+        at = 0
+        for response in responses(held):
+            yield response
+            at += len(response) + 2
+        held = held[at:]
+        if not more:
+            return
+
+
 def tokens(data: bytes) -> list:
     """Atoms and strings as bytes, NIL as None, lists nested."""
     out: list[list] = [[]]
