@@ -16,7 +16,8 @@ from pyarrow import fs
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual
 
-from lettermill.sources.mail import fetched, responses
+from lettermill.sources.mail import fetched, streamed
+from lettermill.sources.shared import small_batches
 
 SCHEMA = "folder string, epoch long, file string, seq long, uid long, flags array<string>, internalDate timestamp, size long, raw string"
 _NAMED = re.compile(r"(?:.*/)?([^/]+)/(\d+)/(\d+)-(\d+)\.session\Z")
@@ -54,11 +55,10 @@ def _rows(part: Session, wanted=lambda uid, date: True) -> Iterator[tuple]:
     """Rows of a session file; what isn't wanted is told by uid and date alone, its text isn't decoded."""
     files, path = fs.FileSystem.from_uri(part.path)
     with files.open_input_stream(path) as f:
-        data = f.read()
-    for response in responses(data):
-        row = fetched(response, lambda uid, date: uid is not None and part.after < uid <= part.upto and wanted(uid, received(date)))
-        if row:
-            yield (part.folder, part.epoch, part.path, row["seq"], row["uid"], row["flags"], received(row["received"]), row["size"], row["raw"])
+        for response in streamed(f.read):
+            row = fetched(response, lambda uid, date: uid is not None and part.after < uid <= part.upto and wanted(uid, received(date)))
+            if row:
+                yield (part.folder, part.epoch, part.path, row["seq"], row["uid"], row["flags"], received(row["received"]), row["size"], row["raw"])
 
 
 def _sessions(path: str) -> list[Session]:
@@ -164,5 +164,6 @@ class MailSessions(DataSource):
 
 def register(spark: SparkSession) -> None:
     """Make the source known to the session and let filters reach it."""
+    small_batches(spark)
     spark.dataSource.register(MailSessions)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", True)
