@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lettermill.functions.mime import address_list, decode_words, head_and_body, header, parameters
-from lettermill.plans.registry import query, table
+from lettermill.plans.registry import query, spread, table
 from lettermill.sources.mail import normalize
+from lettermill.sources.shared import small_batches
 
 #: Four shapes of a message around the whole text; what is encoded differs, the text doesn't.
 _RAW = """
@@ -28,7 +29,7 @@ def mime_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts as the bodies and subjects of raw messages in base64 and quoted-printable, alone and within parts, read back."""
     docs = table(spark, sf_dir, "documents").selectExpr(
         "doc_id", "source", "lang", "replace(base64(encode(concat('A ', text, ' Z'), 'UTF-8')), '\\r\\n', '') AS b64", "replace(base64(encode(concat('S ', text, ' E'), 'UTF-8')), '\\r\\n', '') AS b64s",
-        "regexp_replace(hex(encode(concat('A ', text, ' Z'), 'UTF-8')), '(.{2})', '=$1') AS qp",
+        "if(doc_id % 2 = 1, regexp_replace(hex(encode(concat('A ', text, ' Z'), 'UTF-8')), '..', '=$0'), null) AS qp",
     )
     rows = docs.select(F.col("doc_id").alias("uid"), F.expr(_RAW).alias("raw"), F.array().cast("array<string>").alias("flags"), F.lit(None).cast("timestamp").alias("internalDate"), F.lit(0).alias("size"))
     files = F.transform("attachments", lambda a: F.concat_ws("|", a["filename"], a["contentType"], a["size"].cast("string")))
@@ -45,7 +46,7 @@ SELECT c_custkey, u.pos AS pos, u.name AS name, u.email AS email, u.domain AS do
 def address_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names, addresses and domains of address lists made of customers: commas in quotes, groups, escapes, encoded words, odd addresses."""
     value = F.expr("""concat('"', c_name, ', ', c_mktsegment, '" <C', c_custkey, '@', c_mktsegment, '.Example>, , mailto:N', c_nationkey, '@n.example , Team ', c_nationkey, ':;,"=?utf-8?Q?=C3=A9?= \\\\"', c_nationkey, '\\\\"" <X', c_custkey, '@a@B.example >')""")
-    people = table(spark, sf_dir, "customer").select("c_custkey", address_list(value).alias("people"))
+    people = spread(table(spark, sf_dir, "customer"), "c_custkey").select("c_custkey", address_list(value).alias("people"))
     return people.select("c_custkey", F.posexplode("people").alias("pos", "p")).select("c_custkey", "pos", "p.name", "p.email", "p.domain")
 
 
@@ -61,6 +62,7 @@ def header_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT doc_id, sha256(regexp_replace(concat('A ', text, ' Z'), '\\n[ \\t]*', ' ', 'g')) AS folded_sha256, lang AS first, CAST(length(concat('A ', text, ' Z')) AS BIGINT) AS body_chars, sha256(concat('A ', text, ' Z')) AS words_sha256 FROM documents""")
 def header_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts as folded header fields and as encoded words, and what follows the header block."""
+    small_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.concat(F.lit("A "), "text", F.lit(" Z")).alias("t"))
     raw = F.concat(F.lit("X-Lang: "), "lang", F.lit("\r\nX-Text :  "), F.replace("t", F.lit("\n"), F.lit("\r\n\t")), F.lit("\r\nx-lang: other\r\n\r\n"), "t")
     parts = docs.select("doc_id", head_and_body(raw).alias("h"), decode_words(F.concat(F.lit("=?UTF-8?b?"), F.regexp_replace(F.base64(F.encode("t", "UTF-8")), "\r\n", ""), F.lit("?="))).alias("w"))
