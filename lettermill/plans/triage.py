@@ -106,10 +106,14 @@ def rules_of_people(spark, sf_dir):
     answered = F.array_contains("flags", "\\Answered")
     people = m.groupBy(F.col("from.email").alias("e")).agg(F.count_if(answered).alias("sent_to"), F.count("*").alias("received_from"), F.max(F.when(answered, F.unix_millis("date"))).alias("last_sent_ms"))
     waits = m.where(answered).select(F.col("from.email").alias("email"), (F.pmod(F.col("uid") * 7, F.lit(43200)) % 1200 * 60_000).alias("latency_ms"))
-    known = m.join(people, F.col("from.email") == F.col("e")).join(median_latency(waits).withColumnRenamed("email", "w"), F.col("from.email") == F.col("w"), "left")
+    # what is known of people is put together first: texts are shuffled once
+    people = people.join(median_latency(waits).withColumnRenamed("email", "w"), F.col("e") == F.col("w"), "left").drop("w")
+    known = m.join(people, F.col("from.email") == F.col("e"))
     known = known.withColumns({"is_vip": F.lit(False), "is_muted": F.lit(False), "user_messages": F.lit(0), "domain_sent_to": F.lit(0), "median_latency_ms": F.col("median_latency_ms").cast("double")})
     d = classify(known, OWN)
     code = lambda c: F.filter("reasons", lambda r: r["code"] == c)
+    # a generated column: else the filter would judge all rules once more
+    d = d.select("uid", F.explode(F.array("reasons")).alias("reasons"))
     return d.where("not reasons[0].decisive").select("uid", F.get(code("fast-responder"), F.lit(0))["detail"].alias("fast"), (F.size(code("first-contact")) > 0).alias("first_contact"), (F.size(code("failed-authentication")) > 0).alias("failed_authentication"))
 
 
