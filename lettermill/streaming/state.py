@@ -23,13 +23,14 @@ def last_events(rows: DataFrame, cap: int = 500) -> DataFrame:
         epoch, seqs, times = state.get if state.exists else (-1, [], [])
         held = dict(zip(seqs, times, strict=True))
         for frame in frames:
-            frame = frame.assign(epoch=frame["epoch"].fillna(0)).dropna(subset=["seq"])
-            newest = frame["epoch"].max() if len(frame) else epoch
+            rows = [(0 if e is None or e != e else int(e), int(s), t) for e, s, t in zip(*(frame[c].tolist() for c in ("epoch", "seq", "ts_ms")), strict=True) if s is not None and s == s]
+            newest = max((e for e, _, _ in rows), default=epoch)
             if newest > epoch:
-                epoch, held = int(newest), {}
-            frame = frame[frame["epoch"] == epoch]
-            held |= dict(zip(frame["seq"].astype(int).tolist(), frame["ts_ms"].tolist(), strict=True))
-            held = dict(sorted(held.items())[-cap:])
+                epoch, held = newest, {}
+            held |= {s: t for e, s, t in rows if e == epoch}
+            if len(held) > cap:
+                held = {s: held[s] for s in sorted(held)[-cap:]}
+        held = dict(sorted(held.items()))
         seqs, times = list(held), [None if t is None or t != t else int(t) for t in held.values()]
         state.update((epoch, seqs, times))
         yield pd.DataFrame({"email": [key[0]], "direction": [key[1]], "epoch": [epoch], "events": [len(seqs)], "seqs": [seqs], "times": [times]})
