@@ -72,9 +72,10 @@ def features(words: list[str]):
     at, weight = _picks(len(words[0]))
     code = _codes(words)
     number = (code[:, at[:, 0]] * 64 + code[:, at[:, 1]]) * 64 + code[:, at[:, 2]]
-    order = np.argsort(number, axis=1)
-    ranked = np.take_along_axis(number, order, 1)
-    value = weight[order]
+    # numbers and places in one value: rows are sorted, not indexed
+    packed = np.sort((number << 11 | np.arange(len(weight))).astype(np.int32), axis=1)
+    ranked = packed >> 11
+    value = weight[packed & 2047]
     # a feature's weights add up before they are squared
     new = np.ones(ranked.shape, bool)
     new[:, 1:] = ranked[:, 1:] != ranked[:, :-1]
@@ -135,12 +136,12 @@ class Model:
         parts = [stretches(t) for t in tokens]
         flat = [p for ps in parts for p in ps]
         g = self.kernel(flat) @ self.alpha if flat else np.zeros(0)
-        out, at = [], 0
-        for ps in parts:
-            x = float(max(g[at : at + len(ps)], key=abs, default=0.0)) if ps else 0.0
-            out.append(x if abs(x) > 1e-3 else 0.0)
-            at += len(ps)
-        return out
+        sizes = np.array([len(ps) for ps in parts], np.int64)
+        first = np.cumsum(sizes) - sizes
+        best = g[first] if len(g) else g
+        for i in np.flatnonzero(sizes > 1).tolist():
+            best[i] = max(g[first[i] : first[i] + sizes[i]], key=abs)
+        return [float(x) if big else 0.0 for x, big in zip(best.tolist(), (np.abs(best) > 1e-3).tolist(), strict=True)]
 
     def score(self, gains: list[float], words: int) -> float:
         return float(1 / (1 + math.exp(-max(-30.0, min(30.0, float(doc_features(gains, words) @ self.doc))))))
@@ -291,21 +292,24 @@ def train(texts: list[str], labels: list[int]) -> Model | None:
 
 
 class Scorer:
-    """Scores texts; keeps the weights of the letters of tokens it has seen, up to a bound."""
+    """Scores texts; keeps the weights of the letters of tokens it has seen, in two generations of bounded size: what is met again stays."""
 
-    KEPT = 400_000
+    KEPT = 80_000
 
     def __init__(self, model: Model | None):
-        self.model, self.weights = model, {}
+        self.model, self.weights, self.old = model, {}, {}
 
     def __call__(self, texts: list[str | None]) -> list[float]:
         if self.model is None:
             return [0.0] * len(texts)
         if len(self.weights) > self.KEPT:
-            self.weights.clear()
+            self.old, self.weights = self.weights, {}
         docs = [sentences(t or "") for t in texts]
         letters = {t: letters_of(t) for t in {t for d in docs for s in d for t in s}}
-        new = list(set(letters.values()) - self.weights.keys())
+        new = set(letters.values()) - self.weights.keys()
+        kept = {x: self.old[x] for x in new & self.old.keys()}
+        self.weights.update(kept)
+        new = list(new - kept.keys())
         self.weights.update(zip(new, self.model.word_weights(new), strict=True))
         known = {t: self.weights[x] for t, x in letters.items()}
         get = known.__getitem__
@@ -334,8 +338,8 @@ def score_toxicity(df: DataFrame, model: Model | None, id_col: str = "doc_id", t
         score = Scorer(model)
         for batch in batches:
             found: list[float] = []
-            for a in range(0, batch.num_rows, 500):
-                found += score(batch.column(at).slice(a, 500).to_pylist())
+            for a in range(0, batch.num_rows, 200):
+                found += score(batch.column(at).slice(a, 200).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64()), pa.array([int(x >= threshold) for x in found], pa.int32())], names=[*batch.schema.names, "score", "predicted"])
 
     from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
