@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer as Library
 
-from lettermill.llm.common import prepare, released
+from lettermill.llm.common import KEPT_IN_WORKERS, prepare, released
 
 START = 0
 
@@ -237,10 +237,13 @@ class Tokenizer:
 
 @lru_cache(maxsize=2)
 def tokenizer(path: str) -> Tokenizer:
-    """One per worker process and file."""
+    """One per worker process and file, until the worker gets a task of another operator."""
     return Tokenizer(path)
 
 
+KEPT_IN_WORKERS["bpe"] = tokenizer
+
+
 def bpe_encode(df: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, with_decoded: bool = True) -> DataFrame:
     """Encode whole texts and decode them again, a row for each input row.
 
@@ -275,7 +278,7 @@ def bpe_encode(df: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_arrays([*cols.values()], names=[*cols])
 
     schema = f"k {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * with_ids + ", decoded string" * with_decoded
-    return df.select(df[id_col], df[text_col]).mapInArrow(released(run), schema).withColumnRenamed("k", id_col)
+    return df.select(df[id_col], df[text_col]).mapInArrow(released(run, keeps="bpe"), schema).withColumnRenamed("k", id_col)
 
 
 def bpe_decode(df: DataFrame, vocab_path: str, ids_col: str = "token_ids", out_col: str = "decoded") -> DataFrame:

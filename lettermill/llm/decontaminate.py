@@ -144,7 +144,9 @@ def _longest(window: np.ndarray, place: np.ndarray, test: TestSuffixes) -> int:
     return most
 
 
-def _pass(df: DataFrame, test: TestSuffixes, id_col: str, text_col: str, key_type: str) -> DataFrame:
+def _matches(test: TestSuffixes):
+    """The Arrow function from (key, text) to the columns of MATCHES."""
+
     def run(batches):
         low, high = test.bounds()
         for batch in batches:
@@ -181,8 +183,7 @@ def _pass(df: DataFrame, test: TestSuffixes, id_col: str, text_col: str, key_typ
             cols = [pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.string()), pa.int64()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["k", "n_words", "begins", "ends", "items", "longest"])
 
-    schema = f"k {key_type}, n_words long, begins array<long>, ends array<long>, items array<string>, longest long"
-    return df.select(df[id_col], df[text_col]).mapInArrow(released(run), schema)
+    return run
 
 
 def _blocks(test: DataFrame, id_col: str, text_col: str):
@@ -221,6 +222,9 @@ def find_contamination(docs: DataFrame, test: DataFrame, id_col: str = "doc_id",
     return _found(docs, blocks, several, id_col, text_col, width)
 
 
+#: What one block of items finds in a document, and what all blocks do, behind the document's key.
+MATCHES = "n_words long, begins array<long>, ends array<long>, items array<string>, longest long"
+FOUND = "n_words long, n_hit long, n_items long, items array<string>, items_sha256 string, spans array<struct<from: long, to: long>>, contaminated boolean, longest long"
 #: Column with the key of a document's row.
 ROW = "__row"
 
@@ -230,40 +234,42 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "document-rows")
 
 
+def _merged(batches):
+    """From the columns of MATCHES to those of FOUND: spans that touch become one."""
+    for batch in batches:
+        n, begins, ends, items, longest = (batch.column(k).to_pylist() for k in range(1, 6))
+        out: list[list] = [[] for _ in range(6)]
+        for a, b, names in zip(begins, ends, items, strict=True):
+            spans: list[dict] = []
+            for x, y in sorted(zip(a, b, strict=True)):
+                if spans and x <= spans[-1]["to"]:
+                    spans[-1]["to"] = max(spans[-1]["to"], y)
+                else:
+                    spans.append({"from": x, "to": y})
+            names = sorted(set(names))
+            for column, value in zip(out, (sum(s["to"] - s["from"] for s in spans), len(names), names, hashlib.sha256(",".join(names).encode()).hexdigest(), spans), strict=False):
+                column.append(value)
+        out[5] = [h > 0 and 20 * h >= k for h, k in zip(out[0], n, strict=True)]
+        span = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array(n, pa.int64()), *(pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.list_(pa.string()), pa.string(), span, pa.bool_()), strict=True)), pa.array(longest, pa.int64())],
+            names=["k", "n_words", "n_hit", "n_items", "items", "items_sha256", "spans", "contaminated", "longest"],
+        )
+
+
 def _found(docs: DataFrame, blocks, several: bool, id_col: str, text_col: str, width: int) -> DataFrame:
     key = dict(docs.dtypes)[id_col]
-    passes = (_pass(docs, TestSuffixes(block, width), id_col, text_col, key) for block in blocks)
-    if several:
-        every = stored(next(passes), "matches")
-        for more in passes:  # later blocks have something to say of few documents
-            every = every.unionByName(stored(more.where("longest > 0"), "matches"))
-        found = every.groupBy("k").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("begins")).alias("begins"), F.flatten(F.collect_list("ends")).alias("ends"), F.flatten(F.collect_list("items")).alias("items"), F.max("longest").alias("longest"))
-    else:
-        found = next(passes)
-
-    def run(batches):
-        for batch in batches:
-            n, begins, ends, items, longest = (batch.column(k).to_pylist() for k in range(1, 6))
-            out: list[list] = [[] for _ in range(6)]
-            for a, b, names in zip(begins, ends, items, strict=True):
-                spans: list[dict] = []
-                for x, y in sorted(zip(a, b, strict=True)):
-                    if spans and x <= spans[-1]["to"]:
-                        spans[-1]["to"] = max(spans[-1]["to"], y)
-                    else:
-                        spans.append({"from": x, "to": y})
-                names = sorted(set(names))
-                for column, value in zip(out, (sum(s["to"] - s["from"] for s in spans), len(names), names, hashlib.sha256(",".join(names).encode()).hexdigest(), spans), strict=False):
-                    column.append(value)
-            out[5] = [h > 0 and 20 * h >= k for h, k in zip(out[0], n, strict=True)]
-            span = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), *(pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.list_(pa.string()), pa.string(), span, pa.bool_()), strict=True)), pa.array(longest, pa.int64())],
-                names=["k", "n_words", "n_hit", "n_items", "items", "items_sha256", "spans", "contaminated", "longest"],
-            )
-
-    schema = f"k {key}, n_words long, n_hit long, n_items long, items array<string>, items_sha256 string, spans array<struct<from: long, to: long>>, contaminated boolean, longest long"
-    return found.mapInArrow(released(run), schema).withColumnRenamed("k", id_col)
+    texts = docs.select(docs[id_col], docs[text_col])
+    if not several:
+        match = _matches(TestSuffixes(next(blocks), width))
+        # one function: two, one after the other, would take two Python workers for each task
+        return texts.mapInArrow(released(lambda batches: _merged(match(batches))), f"k {key}, {FOUND}").withColumnRenamed("k", id_col)
+    passes = (texts.mapInArrow(released(_matches(TestSuffixes(block, width))), f"k {key}, {MATCHES}") for block in blocks)
+    every = stored(next(passes), "matches")
+    for more in passes:  # later blocks have something to say of few documents
+        every = every.unionByName(stored(more.where("longest > 0"), "matches"))
+    found = every.groupBy("k").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("begins")).alias("begins"), F.flatten(F.collect_list("ends")).alias("ends"), F.flatten(F.collect_list("items")).alias("items"), F.max("longest").alias("longest"))
+    return found.mapInArrow(released(_merged), f"k {key}, {FOUND}").withColumnRenamed("k", id_col)
 
 
 def decontaminate(docs: DataFrame, test: DataFrame, **options) -> DataFrame:
