@@ -89,6 +89,36 @@ def test_bpe_equals_library(tok, library, text):
     assert tok.decode(tok.encode(text)) == library.decode(want, skip_special_tokens=False)
 
 
+@given(st.lists(st.text(alphabet="aehinst's1²é\u0301Σ\u00a0\u2003\x1c\x85 \n\U00010e7e中<|endoftext|>", max_size=80), max_size=8))
+@settings(max_examples=200, deadline=None)
+def test_bpe_of_many_texts_equals_library(tok, library, texts):
+    got = tok.encode_all([x.encode() for x in texts])
+    assert [list(array("I", x)) for x in got] == [library.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_bpe_takes_each_piece_of_a_run_once(docs, library, monkeypatch):
+    tok, calls, learned = Tokenizer(Q.VOCAB), [], []
+    normalize, encode_all = tok.normalize, tok.automaton.encode_all
+    monkeypatch.setattr(tok, "normalize", lambda x: calls.append(x) or normalize(x))
+    monkeypatch.setattr(tok.automaton, "encode_all", lambda x: learned.extend(x) or encode_all(x))
+    texts = [docs[x] or "" for x in sorted(docs)][:40]
+    ids = tok.encode_all([x.encode() for x in texts])
+    assert [list(array("I", x)) for x in ids] == [library.encode(x, add_special_tokens=False).ids for x in texts]
+    assert len(calls) <= 1 + sum(len(x.encode()) for x in texts) // tok.RUN_BYTES  # the library gets a run's pieces in one call
+    assert len(learned) == len(set(learned))
+
+
+def test_bpe_bounds(library, monkeypatch):
+    for name, value in (("RUN_BYTES", 500), ("PIECE_BYTES", 50_000), ("WORD_BYTES", 50_000)):
+        monkeypatch.setattr(Tokenizer, name, value)
+    tok = Tokenizer(Q.VOCAB)
+    texts = [" ".join(f"w{i}x{j}é" * 9 if j % 9 == 0 else f"an{i * j}ing" for j in range(300)) for i in range(12)]
+    for text in texts + texts[:2]:
+        assert list(array("I", tok.encode(text))) == library.encode(text, add_special_tokens=False).ids
+        for kept, most in ((tok.pieces, tok.PIECE_BYTES), (tok.words, tok.WORD_BYTES)):
+            assert sum(len(k) + len(v) + kept.ENTRY_BYTES for d in (kept.young, kept.old) for k, v in d.items()) <= most + 2 * 500 * 200
+
+
 def test_bpe_query(spark, docs, library):
     rows = Q.op1_bpe(spark, SF).collect()
     assert len(rows) == len(docs)
