@@ -4,6 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from lettermill.functions.text import collapse
 from lettermill.operators import voice as V
 from lettermill.plans import catalog
 
@@ -35,3 +36,13 @@ def test_sign_offs_within_the_text(spark, tmp_path):
 def test_lines_of_a_sign_off(spark):
     body = F.lit("Best of all\n\nworks\nCheers, x")
     assert spark.range(1).select(V.sign_off(body), V.sign_off(body, 1)).first()[:] == ("best", "cheers")
+
+
+def test_white_space_in_front_of_texts(spark, tmp_path):
+    texts = [None, "", " ", "\n", "\na. b", "\t\n\n\n\n a", "\r\na", "\v. a", "\f", "\u2028a", "\ufeffa. ", "\xa0\u3000 a", "\xa0\n\xa0a", "\t\xa0\ta", "\u200b a", "\x85a", "\0 a", "a\t\n"]
+    held_against_sql(spark, tmp_path, "collapse_text", documents=(list(enumerate(texts)), "doc_id long, text string"))
+
+
+def test_previews_begin_and_end_with_text(spark):
+    body = F.lit(" \t\n\r\n\n\v\f\u2028\ufeff\xa0a  \t b\n\n\n\n\nc\ufeff\n ")
+    assert spark.range(1).select(collapse(body)).first()[0] == "a b\n\nc"
